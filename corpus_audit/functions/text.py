@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 LINE_COMMENT = r"(^|[ \t])//.*$"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, also where ``body`` uses it inside a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def lines_of(text: Column) -> Column:
     """All lines of a text, a trailing empty line included."""
     return F.split(text, "\n", -1)
@@ -45,8 +50,9 @@ def runs_of(lines: Column, predicate, min_run: int) -> Column:
     """
     breaks = F.concat(F.array(F.lit(0)), positions(lines, lambda line: ~predicate(line)),
                       F.array(F.size(lines) + 1))
-    gaps = F.zip_with(F.slice(breaks, 1, F.size(breaks) - 1), F.slice(breaks, 2, F.size(breaks) - 1),
-                      lambda a, b: F.struct((a + 1).alias("line_start"), (b - 1).alias("line_end")))
+    gaps = let(breaks, lambda at: F.zip_with(
+        F.slice(at, 1, F.size(at) - 1), F.slice(at, 2, F.size(at) - 1),
+        lambda a, b: F.struct((a + 1).alias("line_start"), (b - 1).alias("line_end"))))
     return F.filter(gaps, lambda g: g.line_end - g.line_start + 1 >= min_run)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("scopes", "scans")
+FAMILIES = ("scopes", "scans", "copies", "graphs")
 
 
 def load():
