@@ -20,8 +20,11 @@ def severity_level(column: Column) -> Column:
     return F.element_at(F.create_map(*pairs), column)
 
 
-def as_findings(df: DataFrame, **fixed) -> DataFrame:
-    """Fill ``df`` up to the canonical finding record; ``fixed`` gives constant fields."""
+def as_findings(df: DataFrame, keep: tuple[str, ...] = (), **fixed) -> DataFrame:
+    """Fill ``df`` up to the canonical finding record.
+
+    ``fixed`` gives constant fields, ``keep`` further columns of ``df`` to carry along.
+    """
     defaults = {"tier": "deterministic", "confidence": 1.0}
     columns = []
     for field in FINDING.fields:
@@ -34,7 +37,7 @@ def as_findings(df: DataFrame, **fixed) -> DataFrame:
         else:
             column = F.lit(fixed.get(field.name, defaults.get(field.name)))
         columns.append(column.cast(field.dataType).alias(field.name))
-    return df.select(*columns)
+    return df.select(*columns, *keep)
 
 
 def explode_lines(files: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("scopes", "scans", "copies", "graphs")
+FAMILIES = ("scopes", "scans", "copies", "graphs", "verdicts", "scores")
 
 
 def load():
