@@ -253,12 +253,15 @@ def moving_scores(scored: DataFrame, k: int, keys: list[str] = ("axiom",), order
     """Add the mean over the last ``k`` + 1 scores and the mean so far, per axis.
 
     Ranks, running sums and windows work on pieces of an axis, which may hold a large share of all rows.
+    Sums are decimal, so the pieces add up to the same value however they are cut.
     """
     keys, order = list(keys), list(order)
+    exact = F.col("score").cast("decimal(18,6)")
     bucket = F.floor(F.col(order[0]) / 65536) if bucket is None else bucket
     scored = cut_lineage(scored)
     ranked = ordered.with_rank(scored, keys, order, bucket, "_rank")
-    moving = ordered.over_last_rows(ranked, keys, "_rank", k, {"moving": F.avg("score")})
-    running = ordered.with_running_sum(moving, keys, ["_rank"], F.floor(F.col("_rank") / 65536), F.col("score"), "_sum")
-    return (running.withColumn("moving", F.round("moving", 6)).withColumn("mean_so_far", F.round(F.col("_sum") / F.col("_rank"), 6))
-            .drop("_rank", "_sum"))
+    moving = ordered.over_last_rows(ranked, keys, "_rank", k, {"_near": F.sum(exact)})
+    running = ordered.with_running_sum(moving, keys, ["_rank"], F.floor(F.col("_rank") / 65536), exact, "_sum")
+    mean = lambda total, n: F.round(total.cast("double") / n, 6)
+    return (running.withColumn("moving", mean(F.col("_near"), F.least(F.col("_rank"), F.lit(k + 1))))
+            .withColumn("mean_so_far", mean(F.col("_sum"), F.col("_rank"))).drop("_rank", "_sum", "_near"))

@@ -53,8 +53,7 @@ def rescore(t):
 
 
 @query("trd04_dedupe_history", i.ctes(i.TRENDS_SQL) + """
-SELECT 'k' || commit_sha % 2000 AS record_id, min((error, warning, info)).error AS error, min((error, warning, info)).warning AS warning,
-min((error, warning, info)).info AS info FROM trends GROUP BY 1""")
+SELECT record_id, r.error, r.warning, r.info FROM (SELECT 'k' || commit_sha % 2000 AS record_id, min({'error': error, 'warning': warning, 'info': info}) AS r FROM trends GROUP BY 1)""")
 def dedupe_history(t):
     # Record ids are shortened so that many records carry the same one.
     records = i.trend_records(t).select(F.concat(F.lit("k"), F.col("commit_sha") % 2000).alias("record_id"), "error", "warning", "info")
@@ -138,25 +137,26 @@ def validate_history(t):
 
 def _usage(t):
     """Model usage: suppliers are agents, orders are runs, quantities are units."""
-    usage = t.lineitem.select(F.col("l_suppkey").alias("agent"), F.col("l_orderkey").alias("run_id"), F.col("l_quantity").alias("units"),
+    usage = t.lineitem.select(F.col("l_suppkey").alias("agent"), F.col("l_orderkey").alias("run_id"), F.col("l_quantity").cast("decimal(12,2)").alias("units"),
                               F.col("l_shipdate").alias("at"))
-    prices = t.supplier.select(F.col("s_suppkey").alias("agent"), (F.abs("s_acctbal") / 1000).alias("price"))
+    prices = t.supplier.select(F.col("s_suppkey").alias("agent"), F.abs("s_acctbal").cast("decimal(12,2)").alias("price"))
     return usage, prices
 
 
 @query("trd12_usage_cost", """
-SELECT l_suppkey AS agent, l_orderkey AS run_id, sum(l_quantity) AS units, round(sum(l_quantity) * (abs(any_value(s_acctbal)) / 1000), 4) AS cost
+SELECT l_suppkey AS agent, l_orderkey AS run_id, sum(l_quantity::DECIMAL(12,2))::DOUBLE AS units, (sum(l_quantity::DECIMAL(12,2)) * (abs(any_value(s_acctbal))::DECIMAL(12,2)))::DOUBLE AS cost
 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2""")
 def usage_cost(t):
-    return trends.usage_cost(*_usage(t))
+    return trends.usage_cost(*_usage(t)).withColumns({c: F.col(c).cast("double") for c in ("units", "cost")})
 
 
 @query("trd12_cost_trend", """
-SELECT agent, strftime(month, '%Y-%m') AS month, units, round(cost, 4) AS cost, round(sum(cost) OVER (PARTITION BY agent ORDER BY month), 4) AS cost_to_date FROM (
-SELECT l_suppkey AS agent, date_trunc('month', l_shipdate) AS month, sum(l_quantity) AS units, sum(l_quantity) * (abs(any_value(s_acctbal)) / 1000) AS cost
+SELECT agent, strftime(month, '%Y-%m') AS month, units::DOUBLE AS units, cost::DOUBLE AS cost, (sum(cost) OVER (PARTITION BY agent ORDER BY month))::DOUBLE AS cost_to_date FROM (
+SELECT l_suppkey AS agent, date_trunc('month', l_shipdate) AS month, sum(l_quantity::DECIMAL(12,2)) AS units, sum(l_quantity::DECIMAL(12,2)) * (abs(any_value(s_acctbal))::DECIMAL(12,2)) AS cost
 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)""")
 def cost_trend(t):
-    return trends.cost_trend(*_usage(t), "at").withColumn("month", F.date_format("month", "yyyy-MM"))
+    trend = trends.cost_trend(*_usage(t), "at").withColumn("month", F.date_format("month", "yyyy-MM"))
+    return trend.withColumns({c: F.col(c).cast("double") for c in ("units", "cost", "cost_to_date")})
 
 
 @query("trd13_gaming_guard", """
@@ -203,7 +203,8 @@ def score_series(t):
 
 
 @query("trd17_moving_scores", i.ctes(_SCORED) + """
-SELECT record_id, round(avg(score) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS moving,
-round(avg(score) OVER (w ROWS UNBOUNDED PRECEDING), 6) AS mean_so_far FROM scored WINDOW w AS (PARTITION BY axiom ORDER BY run_id, record_id)""")
+SELECT record_id, round((sum(x) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))::DOUBLE / least(row_number() OVER w, 5), 6) AS moving,
+round((sum(x) OVER (w ROWS UNBOUNDED PRECEDING))::DOUBLE / row_number() OVER w, 6) AS mean_so_far FROM (SELECT *, score::DECIMAL(18,6) AS x FROM scored)
+WINDOW w AS (PARTITION BY axiom ORDER BY run_id, record_id)""")
 def moving_scores(t):
     return trends.moving_scores(scored(t), 4).select("record_id", "moving", "mean_so_far")

@@ -49,8 +49,8 @@ def compare(spark, con, folder, name, job, sql):
     sql_rows = rows([c[0] for c in result.description], result.fetchall())
     if spark_rows == sql_rows:
         return True, f"{len(sql_rows[1])} rows", took
-    missing = [r for r in sql_rows[1] if r not in set(spark_rows[1])][:3]
-    extra = [r for r in spark_rows[1] if r not in set(sql_rows[1])][:3]
+    missing = sorted(set(sql_rows[1]) - set(spark_rows[1]))[:3]
+    extra = sorted(set(spark_rows[1]) - set(sql_rows[1]))[:3]
     return False, (f"spark {len(spark_rows[1])} rows {spark_rows[0]} / sql {len(sql_rows[1])} rows {sql_rows[0]}; "
                    f"only sql {missing}; only spark {extra}"), took
 
