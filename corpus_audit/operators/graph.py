@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..session import cut_lineage
+from .pointers import chain_ends
 
 # Kind of edge and the pattern whose first group is the target.
 EDGE_PATTERNS = {
@@ -96,23 +97,11 @@ def coverage(status: DataFrame) -> DataFrame:
 
 
 def _barrel_ends(reexports: DataFrame) -> DataFrame:
-    """(barrel, symbol, target, ring): where each re-exported name is finally defined.
-
-    Pointer doubling: after k rounds every barrel points 2^k steps ahead, so a chain of n barrels takes
-    log n rounds.  Names passed around in a ring still point at a barrel at the end.
-    """
-    jumps = cut_lineage(reexports.filter("barrel <> target").groupBy("barrel", "symbol")
-                        .agg(F.min("target").alias("target")))
-    barrels = jumps.count()
-    for _ in range(max(1, barrels.bit_length())):
-        after = jumps.select(F.col("barrel").alias("target"), "symbol", F.col("target").alias("further"))
-        stepped = jumps.join(after, ["target", "symbol"], "left")
-        open_ends = cut_lineage(stepped.select("barrel", "symbol", F.coalesce("further", "target").alias("target"),
-                                               F.col("further").isNotNull().alias("ring")))
-        jumps = open_ends.drop("ring")
-        if open_ends.filter("ring").isEmpty():
-            break
-    return open_ends
+    """(barrel, symbol, target, ring): where each re-exported name is finally defined."""
+    first = reexports.filter("barrel <> target").groupBy("barrel", "symbol").agg(F.min("target").alias("target"))
+    ends = chain_ends(first.select(F.struct(F.col("barrel").alias("path"), "symbol").alias("key"),
+                                   F.struct(F.col("target").alias("path"), "symbol").alias("next")))
+    return ends.select(F.col("key.path").alias("barrel"), "key.symbol", F.col("end.path").alias("target"), "ring")
 
 
 def flatten_barrels(edges: DataFrame, reexports: DataFrame) -> DataFrame:
