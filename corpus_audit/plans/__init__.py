@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("scopes", "scans", "copies", "graphs", "verdicts", "scores", "maps", "governance")
+FAMILIES = ("scopes", "scans", "copies", "graphs", "verdicts", "scores", "maps", "governance", "contracts")
 
 
 def load():
