@@ -23,7 +23,7 @@ def lines_of(text: Column) -> Column:
 
 
 def strip_comment(line: Column) -> Column:
-    return F.regexp_replace(line, LINE_COMMENT, "")
+    return F.when(line.contains("//"), F.regexp_replace(line, LINE_COMMENT, "")).otherwise(line)
 
 
 def squeeze(line: Column) -> Column:

@@ -24,58 +24,60 @@ class Rule(NamedTuple):
     path_regex: str | None = None
     lang: str | None = None
     also_regex: str | None = None
+    # Lower-case literals; a line with none of them cannot match, which is cheaper to see than the pattern.
+    needs: tuple[str, ...] = ()
 
 
 RULES = (
     Rule("RUL-01", 5, "Critical", "A04",
          r"""(?i)(api[_-]?key|secret|passw(or)?d|token)[a-z0-9_]*["']?[ \t]*[:=][ \t]*["'][^"']{6,}["']""",
-         "hardcoded credential"),
+         "hardcoded credential", needs=("key", "secret", "passw", "token")),
     Rule("RUL-02", 5, "High", "A07", r"(?i)https?://[^ \"']*[?&](access_token|api_key|token|key|secret|password)=",
-         "secret in a URL query string"),
+         "secret in a URL query string", needs=("http",)),
     Rule("RUL-03", 5, "High", "A04",
          r"(?i)(createHash\([ \t]*[\"'](md5|sha1)[\"']|hashlib\.(md5|sha1)\(|MessageDigest\.getInstance\(\"(MD5|SHA-1)\"|createCipheriv\([\"'](des|rc4))",
-         "weak hash or cipher"),
+         "weak hash or cipher", needs=("md5", "sha1", "sha-1", "des", "rc4")),
     Rule("RUL-05-eval", 5, "Critical", "A05", r"(^|[^A-Za-z0-9_.])(eval|exec|execSync|os\.system|new Function)\(",
-         "dynamic code or command execution"),
+         "dynamic code or command execution", needs=("eval(", "exec", "os.system(", "new function(")),
     Rule("RUL-05-html", 5, "High", "A05", r"(dangerouslySetInnerHTML|\.innerHTML[ \t]*=|document\.write\()",
-         "raw HTML sink"),
+         "raw HTML sink", needs=("innerhtml", "document.write(")),
     Rule("RUL-05-load", 5, "High", "A08", r"(pickle\.loads?\(|yaml\.load\(|unserialize\(|ObjectInputStream\()",
-         "unsafe deserialization"),
+         "unsafe deserialization", needs=("load", "unserialize(", "objectinputstream(")),
     Rule("RUL-06", 5, "High", "A09", r"(console\.(log|info|debug)|print|logger\.[a-z]+)[ \t]*\(",
          "sensitive data written to a log",
-         also_regex=r"(?i)(password|passwd|secret|token|authorization|ssn|email|JSON\.stringify\([ \t]*user)"),
+         also_regex=r"(?i)(password|passwd|secret|token|authorization|ssn|email|JSON\.stringify\([ \t]*user)", needs=("console.", "print", "logger.")),
     Rule("RUL-07-server", 3, "Medium", None, r"(^|[^A-Za-z0-9_.])(console\.(log|info|debug)|print)[ \t]*\(",
-         "raw standard output in a server file, use the structured logger", path_regex=SERVER_PATH),
+         "raw standard output in a server file, use the structured logger", path_regex=SERVER_PATH, needs=("console.", "print")),
     Rule("RUL-07-ui", 3, "Low", None, r"(^|[^A-Za-z0-9_.])(console\.(log|info|debug)|print)[ \t]*\(",
-         "stray debug log in a UI file", path_regex=UI_PATH),
+         "stray debug log in a UI file", path_regex=UI_PATH, needs=("console.", "print")),
     Rule("RUL-08", 5, "Medium", "A10",
          r"(?i)(send|json|write|end|render)\(.*(err|error|e|exception)\.(stack|message)|traceback\.format_exc\(",
-         "error details leak to the client"),
+         "error details leak to the client", needs=(".stack", ".message", "format_exc(")),
     Rule("RUL-09", 5, "Medium", "A02",
          r"(?i)(debug[\"']?[ \t]*[:=][ \t]*true|rejectUnauthorized[ \t]*:[ \t]*false|verify[ \t]*=[ \t]*False|Access-Control-Allow-Origin.*\*)",
-         "insecure default or debug switch", path_regex=r"^(src|app|lib|server|docs)/"),
+         "insecure default or debug switch", path_regex=r"^(src|app|lib|server|docs)/", needs=("debug", "rejectunauthorized", "verify", "access-control")),
     Rule("RUL-11", 5, "High", "A01",
          r"(=[ \t]*(req|request|ctx)\.(params|query|body)|(req|request|ctx)\.(params|query|body)\.[A-Za-z]*[iI]d)",
-         "identity taken from the client"),
+         "identity taken from the client", needs=("params", "query", "body")),
     Rule("RUL-13-ts", 3, "Medium", None, r"(:[ \t]*any\b|<any>|[ \t]as[ \t]+any\b|@ts-ignore|@ts-nocheck)",
-         "type checker bypassed", path_regex=r"\.(ts|tsx)$"),
+         "type checker bypassed", path_regex=r"\.(ts|tsx)$", needs=("any", "@ts-")),
     Rule("RUL-13-py", 3, "Medium", None, r"(type:[ \t]*ignore|:[ \t]*Any\b|typing\.cast\()",
-         "type checker bypassed", path_regex=r"\.py$"),
-    Rule("RUL-13-go", 3, "Medium", None, r"interface\{\}", "empty interface", path_regex=r"\.go$"),
+         "type checker bypassed", path_regex=r"\.py$", needs=("ignore", "any", "cast(")),
+    Rule("RUL-13-go", 3, "Medium", None, r"interface\{\}", "empty interface", path_regex=r"\.go$", needs=("interface{}",)),
     Rule("RUL-17-sync", 4, "Medium", None, r"(readFileSync|writeFileSync|existsSync|execSync)\(",
-         "synchronous I/O"),
+         "synchronous I/O", needs=("sync(",)),
     Rule("RUL-17-unbounded", 4, "Medium", None, r"Promise\.all\([A-Za-z0-9_.]+\.map\(",
-         "unbounded parallel awaits"),
+         "unbounded parallel awaits", needs=("promise.all(",)),
     Rule("RUL-17-timeout", 4, "Low", None, r"(fetch|axios\.(get|post)|requests\.(get|post))\([^)]*\)",
-         "external call without a timeout"),
+         "external call without a timeout", needs=("fetch(", "axios.", "requests.")),
     Rule("RUL-19", 5, "Medium", "A06", r"(?i)(localStorage|sessionStorage|document\.cookie).*(token|secret|password|session)",
-         "sensitive state kept on the client", path_regex=UI_PATH),
+         "sensitive state kept on the client", path_regex=UI_PATH, needs=("storage", "cookie")),
     Rule("RUL-24-email", 5, "Medium", "A09", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
-         "personal data: e-mail address", path_regex=r"^docs/"),
+         "personal data: e-mail address", path_regex=r"^docs/", needs=("@",)),
     Rule("RUL-24-phone", 5, "Medium", "A09", r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}",
-         "personal data: phone number", path_regex=r"^docs/"),
+         "personal data: phone number", path_regex=r"^docs/", needs=("+",)),
     Rule("RUL-24-ip", 5, "Low", "A09", r"(^|[^0-9.])[0-9]{1,3}(\.[0-9]{1,3}){3}",
-         "personal data: network address", path_regex=r"^docs/"),
+         "personal data: network address", path_regex=r"^docs/", needs=(".",)),
 )
 
 # Kinds of personal data for the triage counts.
@@ -110,12 +112,12 @@ def load_pack(table: DataFrame) -> list[Rule]:
     rows = table.select(*columns).orderBy("rule_id").limit(MAX_RULES + 1).collect()
     if len(rows) > MAX_RULES:
         raise ValueError(f"a rule pack holds at most {MAX_RULES} rules; split the table")
-    return [Rule(**{"owasp": None, **row.asDict()}) for row in rows]
+    return [Rule(**{"owasp": None, **row.asDict(), "needs": tuple(row.asDict().get("needs") or ())}) for row in rows]
 
 
 def rule_table(spark, rules: list[Rule]) -> DataFrame:
     """The pack as a table, the counterpart of :func:`load_pack`."""
     return spark.createDataFrame(
-        [tuple(r) for r in rules],
+        [(*r[:-1], list(r.needs)) for r in rules],
         "rule_id string, axiom int, severity string, owasp string, line_regex string, message string, "
-        "path_regex string, lang string, also_regex string").orderBy(F.col("rule_id"))
+        "path_regex string, lang string, also_regex string, needs array<string>").orderBy(F.col("rule_id"))

@@ -15,7 +15,8 @@ def chain_ends(links: DataFrame) -> DataFrame:
     end; it is marked and keeps some member of the ring.
     """
     links = cut_lineage(links.select("key", F.col("next").alias("end"), F.lit(1).cast("bigint").alias("steps")))
-    rounds = max(1, links.count().bit_length())
+    # Enough doublings to pass every key, and one more in which only rings still move.
+    rounds = links.count().bit_length() + 1
     result = links.withColumn("ring", F.lit(True))
     for _ in range(rounds):
         ahead = links.select(F.col("key").alias("end"), F.col("end").alias("end2"), F.col("steps").alias("steps2"))

@@ -6,6 +6,8 @@ transformation of that row, so a scan costs one read of the corpus and no shuffl
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,8 +49,14 @@ def explode_lines(files: DataFrame) -> DataFrame:
             .select(*others, (F.col("pos") + 1).alias("line_no"), "line"))
 
 
-def _applies(rule: Rule, code: Column, has_lang: bool) -> Column:
+def _holds_any(low: Column, literals) -> Column:
+    return reduce(lambda a, b: a | b, [low.contains(literal) for literal in sorted(literals)])
+
+
+def _applies(rule: Rule, code: Column, low: Column, has_lang: bool) -> Column:
     condition = code.rlike(rule.line_regex)
+    if rule.needs:
+        condition = _holds_any(low, rule.needs) & condition
     if rule.also_regex:
         condition &= code.rlike(rule.also_regex)
     if rule.path_regex:
@@ -59,11 +67,10 @@ def _applies(rule: Rule, code: Column, has_lang: bool) -> Column:
 
 
 def _may_hit(rules: list[Rule]) -> Column | None:
-    """Cheap test of the whole text, possible when no rule is tied to a line's end."""
-    if any("$" in r.line_regex.replace(r"\$", "") for r in rules):
+    """Cheap test of the whole text, possible when every rule names literals it needs."""
+    if not all(r.needs for r in rules):
         return None
-    parts = [f"(?i:{r.line_regex[4:]})" if r.line_regex.startswith("(?i)") else f"(?:{r.line_regex})" for r in rules]
-    return F.col("text").rlike("(?m)" + "|".join(parts))
+    return _holds_any(F.lower("text"), {literal for r in rules for literal in r.needs})
 
 
 def rule_hits(files: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -80,8 +87,9 @@ def rule_hits(files: DataFrame, rules: list[Rule]) -> DataFrame:
         files = files.filter(likely)
     has_lang = "lang" in files.columns
     keep = ["path", "text"] + (["lang"] if has_lang else [])
-    lines = explode_lines(files.select(*keep)).withColumn("code", tx.strip_comment(F.col("line")))
-    found = F.array_compact(F.array(*[F.when(_applies(r, F.col("code"), has_lang), F.lit(i + 1))
+    lines = (explode_lines(files.select(*keep)).withColumn("code", tx.strip_comment(F.col("line")))
+             .withColumn("low", F.lower("code")))
+    found = F.array_compact(F.array(*[F.when(_applies(r, F.col("code"), F.col("low"), has_lang), F.lit(i + 1))
                                       for i, r in enumerate(rules)]))
     meta = F.array(*[F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.axiom).alias("axiom"),
                               F.lit(r.severity).alias("severity"), F.lit(r.owasp).cast("string").alias("owasp"),

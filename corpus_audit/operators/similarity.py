@@ -3,7 +3,8 @@
 Comparing all members of a bucket is quadratic in the size of a group of copies.  Here every bucket has
 one leader, its smallest member; all others are verified against it and leave the bucket when they
 match.  Whoever does not match stays, and the rest elects a new leader, until every bucket is empty.  So
-each member is either a leader or carries a verified link, and each round compares a member once.
+each member is either a leader or carries a verified link.  The first round compares a member once;
+later rounds, when the copies are gone, settle 2, 4, 8 and then 16 leaders of a bucket at a time.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import math
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -27,25 +28,52 @@ def hash_parameters(count: int) -> list[tuple[int, int]]:
     return [((MULTIPLIERS_FROM * (i + 1)) % BELOW, (OFFSETS_FROM * (i + 7)) % BELOW) for i in range(count)]
 
 
+MAX_LEADERS_PER_ROUND = 16
+
+
+def _leading(candidates: DataFrame, hits: DataFrame) -> DataFrame:
+    """(bucket, pos) of the candidates that lead: those that match no leading candidate before them.
+
+    A bucket's list holds at most ``MAX_LEADERS_PER_ROUND`` candidates.
+    """
+    own = candidates.select("bucket", F.col("leader").alias("id"), F.col("pos").alias("own"))
+    before = hits.join(own, ["bucket", "id"]).groupBy("bucket", "own").agg(F.collect_set("pos").alias("matched"))
+    rows = candidates.select("bucket", F.col("pos").alias("own")).join(before, ["bucket", "own"], "left")
+    listed = rows.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct(
+        F.col("own").alias("pos"), F.coalesce("matched", F.expr("cast(array() as array<int>)")).alias("matched")))).alias("c"))
+    leads = F.aggregate("c", F.expr("cast(array() as array<int>)"), lambda acc, c: F.when(
+        F.arrays_overlap(acc, c.matched), acc).otherwise(F.concat(acc, F.array(c.pos))))
+    return listed.select("bucket", F.explode(leads).alias("pos"))
+
+
 def leader_links(members: DataFrame, score: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
     """Verified (id, leader, score) links of a table (bucket, id).
 
-    ``score`` adds a ``score`` column to distinct (id, leader) rows.
+    ``score`` adds a ``score`` column to distinct (id, leader) rows.  Each member links to the first
+    leader it matches, leaders being elected in id order.
     """
     remaining = cut_lineage(members.select("bucket", "id").distinct())
-    links = []
+    links, width = [], 1
     while True:
-        leaders = remaining.groupBy("bucket").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        pairs = cut_lineage(remaining.join(leaders.select("bucket", "leader"), "bucket").filter("id <> leader"))
+        # The rank limit works before the shuffle too: a hot bucket ships a few rows per task.
+        position = F.row_number().over(Window.partitionBy("bucket").orderBy("id"))
+        candidates = (remaining.withColumn("pos", position).filter(F.col("pos") <= width)
+                      .select("bucket", F.col("id").alias("leader"), "pos"))
+        pairs = cut_lineage(remaining.join(candidates, "bucket").filter("id > leader"))
         if pairs.isEmpty():
             break
-        matched = cut_lineage(score(pairs.select("id", "leader").distinct())
-                              .filter(F.col("score") >= threshold).select("id", "leader", "score"))
-        links.append(matched)
-        remaining = pairs.join(matched.select("id", "leader"), ["id", "leader"], "left_anti").select("bucket", "id")
+        matched = score(pairs.select("id", "leader").distinct()).filter(F.col("score") >= threshold).select("id", "leader", "score")
+        hits = cut_lineage(pairs.join(matched, ["id", "leader"]))
+        own = pairs.select("bucket", "leader", "pos").distinct()
+        leading = own.join(_leading(own, hits), ["bucket", "pos"]) if width > 1 else own
+        chosen = (hits.join(leading.select("bucket", "pos"), ["bucket", "pos"]).groupBy("bucket", "id")
+                  .agg(F.min(F.struct("pos", "leader", "score")).alias("first")))
+        links.append(chosen.select("id", "first.leader", "first.score").distinct())
+        settled = chosen.select("bucket", "id").unionByName(leading.select("bucket", F.col("leader").alias("id")))
+        remaining = cut_lineage(pairs.select("bucket", "id").distinct().join(settled, ["bucket", "id"], "left_anti"))
+        width = min(2 * width, MAX_LEADERS_PER_ROUND)
     if not links:
-        empty = remaining.select("id", F.col("id").alias("leader"), F.lit(0.0).alias("score"))
-        return empty.limit(0)
+        return remaining.select("id", F.col("id").alias("leader"), F.lit(0.0).alias("score")).limit(0)
     return reduce(DataFrame.unionByName, links).distinct()
 
 
@@ -77,14 +105,16 @@ def near_duplicates(files: DataFrame, threshold: float = 0.7, size: int = 3, ban
     Files with the same word sequence are joined to the smallest of them first, so a group of copies
     enters the hashing as one member.
     """
-    words = files.select("path", tx.words(F.col("text")).alias("w")).filter(F.size("w") > 0)
-    hashed = words.select("path", F.md5(F.concat_ws(" ", "w")).alias("sequence"))
+    # One pass over the texts; later steps only meet hashes.
+    hashed = cut_lineage(
+        files.select("path", F.md5(F.concat_ws(" ", tx.words(F.col("text")))).alias("sequence"),
+                     F.transform(shingles(F.col("text"), size), tx.hash60).alias("grams"))
+        .filter(F.col("sequence") != F.md5(F.lit(""))))
     first = hashed.groupBy("sequence").agg(F.min("path").alias("leader"))
-    copies = (hashed.join(first, "sequence").filter("path <> leader")
+    copies = (hashed.select("path", "sequence").join(first, "sequence").filter("path <> leader")
               .select("path", "leader", F.lit(1.0).alias("score")))
-    kept = files.join(first.select(F.col("leader").alias("path")), "path", "left_semi")
-    sets = cut_lineage(kept.select(
-        F.col("path").alias("id"), F.transform(shingles(F.col("text"), size), tx.hash60).alias("grams")))
+    sets = (hashed.join(first.select(F.col("leader").alias("path")), "path", "left_semi")
+            .select(F.col("path").alias("id"), "grams"))
 
     def jaccard(pairs: DataFrame) -> DataFrame:
         left = pairs.join(sets.withColumnRenamed("grams", "g1"), "id")

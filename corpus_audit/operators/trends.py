@@ -33,7 +33,8 @@ def density(findings: DataFrame, kloc: DataFrame) -> DataFrame:
     """(axiom, error, warning, info, kloc and the counts per KLOC); ``kloc`` is one row."""
     counts = findings.groupBy("axiom").agg(*[
         F.count_if(F.col("severity") == level).alias(level) for level in ("error", "warning", "info")])
-    joined = counts.join(kloc.select("kloc"), how="cross")  # one row
+    one = F.lit(1).alias("_one")
+    joined = counts.select("*", one).join(kloc.select("kloc", one), "_one").drop("_one")
     rates = {f"{level}_rate": F.round(F.col(level) / F.col("kloc"), 6) for level in ("error", "warning", "info")}
     return joined.withColumns(rates)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import configure
+from ..session import configure, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -28,6 +28,10 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+# Tables whose rows carry long texts or vectors, so that work per row and not per byte read dominates.
+HEAVY = {"documents", "pages", "embeddings"}
+
+
 class Tables:
     """The given tables of one scale folder, read lazily."""
 
@@ -36,4 +40,5 @@ class Tables:
         self.sf_dir = sf_dir.rstrip("/")
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(table) if name in HEAVY else table
