@@ -15,7 +15,7 @@ def scan_corpus(spark: SparkSession, folder: str, pattern: str = "*") -> DataFra
     """Every file below a folder of raw text files as (path, text, mtime)."""
     raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
            .option("pathGlobFilter", pattern).load(folder))
-    return raw.select("path", F.decode("content", F.lit("UTF-8")).alias("text"),
+    return raw.select("path", F.decode("content", "UTF-8").alias("text"),
                       F.col("modificationTime").alias("mtime"))
 
 
