@@ -26,11 +26,7 @@ role AS author, turn AS at_turn, CASE length(text) % 2 WHEN 0 THEN 'for' ELSE 'a
 
 
 def ledger(t):
-    return t.part.selectExpr(*[c for c in _split(_LEDGER_COLUMNS)])
-
-
-def _split(columns):
-    return i._split_ctes(columns)
+    return t.part.selectExpr(*i.split_ctes(_LEDGER_COLUMNS))
 
 
 def current(t):

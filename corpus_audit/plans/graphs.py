@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from ..operators import graph, rules
 from . import inputs as i
 from .catalog import query
-from .inputs import sql_text
 
 ALIASES = [("@/", "src/"), ("@ui/", "ui/")]
 

@@ -258,7 +258,7 @@ def ctes(*parts: str) -> str:
     """``WITH`` clause from CTE strings, each defined once."""
     seen, out = set(), []
     for part in parts:
-        for piece in _split_ctes(part):
+        for piece in split_ctes(part):
             name = piece.split(" AS ", 1)[0].strip()
             if name not in seen:
                 seen.add(name)
@@ -266,7 +266,7 @@ def ctes(*parts: str) -> str:
     return "WITH RECURSIVE " + ", ".join(out) + " "
 
 
-def _split_ctes(part: str) -> list[str]:
+def split_ctes(part: str) -> list[str]:
     pieces, depth, quoted, start = [], 0, False, 0
     for i, ch in enumerate(part):
         if ch == "'":

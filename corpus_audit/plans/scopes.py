@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import text as tx
 from ..operators import rules
 from ..sources import scopes, storage
 from . import inputs as i
