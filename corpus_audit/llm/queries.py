@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
-from . import quality, simhash
+from . import quality, simhash, tokens
+from .storage import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -22,6 +23,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def vocabulary() -> str:
+    """The byte-level vocabulary of 50,257 ids among the installed public tokenizers."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, as it lies in its folder."""
     return configure(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -73,3 +80,10 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
     return simhash.grouped(table(spark, sf_dir, "documents"))
+
+
+@query("op10_token_ids")
+def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every document's ids lie in the packed files, with their checksum."""
+    docs = table(spark, sf_dir, "documents")
+    return tokens.read_tokens(tokens.write_tokens(docs, shared_folder(spark, "tokens"), vocabulary()))
