@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import configure
-from . import quality, simhash, tokens
+from . import mixing, quality, simhash, tokens
 from .storage import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +88,38 @@ def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where every document's ids lie in the packed files, with their checksum."""
     docs = table(spark, sf_dir, "documents")
     return tokens.read_tokens(tokens.write_tokens(docs, shared_folder(spark, "tokens"), vocabulary()))
+
+
+MIXING_SQL = """
+WITH RECURSIVE sizes AS (
+  SELECT source, coalesce(sum(strlen(text)), 0)::BIGINT AS size FROM documents GROUP BY source
+), weighed AS (SELECT source, size, sqrt(size) AS weight FROM sizes
+), total AS (SELECT sum(size)::DOUBLE AS size, sum(weight::DECIMAL(30,6))::DOUBLE AS weight FROM weighed
+), rates AS (
+  SELECT w.source, CASE WHEN w.size = 0 THEN 1.0 ELSE round(w.weight * t.size / t.weight / w.size, 9) END::DOUBLE AS rate
+  FROM weighed w, total t
+), steps(source, rate, k, p, c) AS (
+  SELECT source, rate, 0, exp(-rate), exp(-rate) FROM rates
+  UNION ALL
+  SELECT source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM steps
+  WHERE k < ceil(rate + 12 * sqrt(rate) + 40)
+), drawn AS (
+  SELECT doc_id, source, strlen(text) AS n_bytes,
+    ('0x' || substr(md5('17.count|' || coalesce(doc_id::VARCHAR, '') || '|1'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+  FROM documents
+), counted AS (
+  SELECT d.doc_id, d.source, n_bytes, any_value(rate) AS rate, count(*) FILTER (c <= u) AS copies
+  FROM drawn d JOIN steps s ON d.source IS NOT DISTINCT FROM s.source GROUP BY d.doc_id, d.source, n_bytes
+), copied AS (SELECT *, unnest(range(1, copies + 1)) AS copy FROM counted)
+SELECT doc_id, source, n_bytes, rate, copies, copy,
+  ('0x' || substr(md5('17.order|' || coalesce(doc_id::VARCHAR, '') || '|' || copy::VARCHAR), 1, 13))::BIGINT AS shuffle_key
+FROM copied
+"""
+
+
+@query("op6_mix_sources", MIXING_SQL)
+def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every copy of every document in the mix, in shuffled order."""
+    return mixing.mixed(table(spark, sf_dir, "documents")).select(
+        "record.doc_id", "record.source", F.octet_length("record.text").cast("long").alias("n_bytes"),
+        "rate", "copies", "copy", "shuffle_key")
