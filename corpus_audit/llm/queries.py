@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import mixing, quality, simhash, tokens
+from . import decontaminate, mixing, quality, simhash, tokens
 from .storage import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,9 @@ def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select(
         "record.doc_id", "record.source", F.octet_length("record.text").cast("long").alias("n_bytes"),
         "rate", "copies", "copy", "shuffle_key")
+
+
+@query("op4_decontaminate")
+def decontaminate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which benchmark items each document holds, verbatim or with other parameters."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
