@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import decontaminate, mixing, quality, simhash, tokens
+from . import decontaminate, language, mixing, quality, simhash, tokens
 from .storage import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,9 @@ def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decontaminate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which benchmark items each document holds, verbatim or with other parameters."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op5_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    return language.identified(table(spark, sf_dir, "documents"))
