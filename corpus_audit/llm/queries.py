@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import decontaminate, language, mixing, quality, simhash, tokens
+from . import decontaminate, language, mixing, quality, simhash, tokens, toxicity
 from .storage import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,9 @@ def decontaminate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document."""
     return language.identified(table(spark, sf_dir, "documents"))
+
+
+@query("op7_toxicity")
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
