@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import decontaminate, language, mixing, quality, simhash, tokens, toxicity
+from . import decontaminate, language, mixing, quality, sharding, simhash, tokens, toxicity
 from .storage import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,17 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+SHARDS, SHARD_SEED = 24, 11
+
+
+@query("op1_shard_documents")
+def shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every document lies in 24 shuffled shards, and where it would lie in 25."""
+    docs = table(spark, sf_dir, "documents")
+    shards = sharding.write_shards(docs, shared_folder(spark, "shards"), SHARDS, SHARD_SEED)
+    text = F.col("record.text")
+    return sharding.slots(
+        shards, F.col("record.doc_id"), sharding.size_of(text).alias("size"),
+        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.lit("key").alias("law"),
+        sharding.shard_of(F.col("record.doc_id"), SHARDS + 1, SHARD_SEED).alias("grown_shard"))

@@ -16,6 +16,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLOCK_TOKENS = 1 << 16
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 800_000
+TEXTS_AT_ONCE = 32
 BLOCKS = T.StructType([
     T.StructField("part", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("bits", T.IntegerType()),
     T.StructField("n_tokens", T.LongType()), T.StructField("payload", T.BinaryType()),
@@ -67,8 +69,9 @@ def unpack(payload: bytes, bits: int, start: int, count: int) -> np.ndarray:
 class Encoder:
     """Encodes texts word by word with a bounded memory of words.
 
-    The byte-level pattern of the vocabulary never joins a blank to what stands before it, so a text may be cut before
-    each blank that follows or precedes a visible character.  Texts with other runs of white space are encoded whole.
+    The byte-level pattern of the vocabulary never joins white space to what stands before it, a blank joins the word
+    that follows it, and a line end before a visible character stands alone.  So a text may be cut at single blanks and
+    line ends.  Texts with other runs of white space are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -77,23 +80,54 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.bits = bits_for(self.tokenizer.get_vocab_size(with_added_tokens=True))
-        self.known: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(found.ids, dtype="<u4").tobytes() for found in
-                self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if text[:1] in ("", " ") or text[-1] == " " or "  " in text or "\n \n" in text or ODD_SPACE.search(text):
-            return self._whole([text])[0]
-        first, *rest = text.split(" ")
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-        missing = [word for word in set(rest) if word not in self.known]
-        if missing:
-            self.known.update(zip(missing, self._whole([f" {word}" for word in missing])))
-        return self._whole([first])[0] + b"".join(map(self.known.__getitem__, rest))
+        self.line_end = self.whole("\n")
+        # The vocabulary writes bytes as visible characters: those that are not visible in Latin-1 follow from 256 on.
+        hidden = [byte for byte in range(256) if not (33 <= byte <= 126 or 161 <= byte <= 172 or 174 <= byte <= 255)]
+        self.visible = {byte: 256 + at for at, byte in enumerate(hidden)}
+        self.stops = {stop: self.whole(stop) for stop in ",."}
+        self.after_blank: dict[str, bytes] = {}
+        self.line_start: dict[str, bytes] = {"": b""}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _word(self, word: str, before: str) -> bytes:
+        """The ids of one word.  Letters alone are one piece of the pattern and go straight to the model."""
+        if not word.isalpha():
+            return self.whole(before + word)
+        piece = (before.translate(self.visible) + word if word.isascii()
+                 else (before + word).encode("utf-8").decode("latin-1").translate(self.visible))
+        ids = [found.id for found in self.tokenizer.model.tokenize(piece)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _learn(self, known: dict[str, bytes], words: set, before: str) -> None:
+        """Encode unknown words; a stop after a letter or digit is a piece of its own."""
+        for word in words:
+            if word not in known:
+                stem, stop = (word[:-1], word[-1]) if word[-1] in self.stops and word[-2:-1].isalnum() else (word, "")
+                if stem not in known:
+                    known[stem] = self._word(stem, before)
+                if stop:
+                    known[word] = known[stem] + self.stops[stop]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        if len(self.after_blank) + len(self.line_start) > KNOWN_WORDS:
+            self.after_blank.clear()
+            self.line_start = {"": b""}
+        cut = [None if irregular(text) else [line.split(" ") for line in text.split("\n")] for text in texts]
+        lines = [line for found in cut if found for line in found]
+        self._learn(self.line_start, {line[0] for line in lines}, "")
+        self._learn(self.after_blank, {word for line in lines for word in line[1:]}, " ")
+        return [self.whole(text) if found is None else self.line_end.join(
+            [self.line_start[line[0]] + b"".join(map(self.after_blank.__getitem__, line[1:])) for line in found])
+            for text, found in zip(texts, cut)]
+
+
+def irregular(text: str) -> bool:
+    """Whether a text has white space of which the pattern makes more than line ends and word starts."""
+    return bool(text[:1] in ("", " ") or text[-1] == " " or text.endswith("\n\n") or ODD_SPACE.search(text)
+                or any(run in text for run in ("  ", " \n", "\n\n\n", "\n\n ")))
 
 
 @functools.lru_cache(maxsize=2)
@@ -105,7 +139,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, t
                  doc_id: str = "doc_id") -> DataFrame:
     """Write the blocks of all documents in ascending doc_id order to ``path``; returns the dataset as read back."""
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode_one, bits = encoder(vocabulary).encode, encoder(vocabulary).bits
+        encode_some, bits = encoder(vocabulary).encode, encoder(vocabulary).bits
         part, end = TaskContext.get().partitionId(), np.array([end_id], dtype="<u4").tobytes()
         block, ids, owners, lengths = 0, [], [], []
 
@@ -115,13 +149,15 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, t
                                  "payload": [pack(numbers, bits)], "doc_ids": [owners], "lengths": [lengths]})
 
         for batch in batches:
-            for owner, words in zip(batch["doc_id"], batch["text"]):
-                ids.append(encode_one(words or "") + end)
-                owners.append(None if pd.isna(owner) else int(owner))
-                lengths.append(len(ids[-1]) // 4)
-                if sum(lengths) >= BLOCK_TOKENS:
-                    yield row()
-                    block, ids, owners, lengths = block + 1, [], [], []
+            for at in range(0, len(batch), TEXTS_AT_ONCE):
+                some = batch[at:at + TEXTS_AT_ONCE]
+                for owner, found in zip(some["doc_id"], encode_some([words or "" for words in some["text"]])):
+                    ids.append(found + end)
+                    owners.append(None if pd.isna(owner) else int(owner))
+                    lengths.append(len(ids[-1]) // 4)
+                    if sum(lengths) >= BLOCK_TOKENS:
+                        yield row()
+                        block, ids, owners, lengths = block + 1, [], [], []
         if ids:
             yield row()
 
