@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import decontaminate, language, mixing, quality, sharding, simhash, tokens, toxicity
+from . import decontaminate, language, lines, mixing, quality, sharding, simhash, tokens, toxicity
 from .storage import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,9 @@ def shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         shards, F.col("record.doc_id"), sharding.size_of(text).alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.lit("key").alias("law"),
         sharding.shard_of(F.col("record.doc_id"), SHARDS + 1, SHARD_SEED).alias("grown_shard"))
+
+
+@query("op8_line_dedup")
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which occurrence of every line, or of lines much like it, stays."""
+    return lines.decided(table(spark, sf_dir, "documents"))
