@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import decontaminate, language, lines, mixing, quality, sharding, simhash, tokens, toxicity
+from . import decontaminate, language, lines, mixing, passages, quality, sharding, simhash, tokens, toxicity
 from .storage import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,3 +161,9 @@ def shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which occurrence of every line, or of lines much like it, stays."""
     return lines.decided(table(spark, sf_dir, "documents"))
+
+
+@query("op9_repeated_passages")
+def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that different documents share, and documents that are copies."""
+    return passages.repeated(table(spark, sf_dir, "documents"))
