@@ -29,6 +29,7 @@ from .storage import stored
 
 MAX_BITS = 3
 BLOCK = 1024
+BROADCAST_ROWS = 1_000_000
 PAIR_MASK = 0x55555555
 STEPS = 1 << 16
 LINKS = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
@@ -129,15 +130,33 @@ def links(nodes: DataFrame) -> DataFrame:
     return meetings.select(F.explode(_verified("owners", "members")).alias("l")).select("l.a", "l.b")
 
 
+def _rooted(marked: DataFrame) -> DataFrame:
+    """(node, first_doc, root) of all distinct fingerprints; the root names the connected group."""
+    nodes = stored(marked.groupBy("node").agg(F.min("doc_id").alias("first_doc")), "nodes")
+    roots = components(links(nodes)).withColumnRenamed("component", "root")
+    return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
 def grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words_each: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row; the component is named by its smallest doc_id."""
     marked = stored(docs.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text), words_each).alias("node")),
                     "fingerprints")
-    nodes = marked.groupBy("node").agg(F.min("doc_id").alias("first_doc"))
-    nodes = stored(nodes, "nodes")
-    roots = components(links(nodes)).withColumnRenamed("component", "root")
-    named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = _rooted(marked)
     names = named.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     named = named.join(names, "root").select("node", "component_id")
     return (marked.join(named, "node")
             .select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id"))
+
+
+def kept(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words_each: int = 5) -> DataFrame:
+    """``docs`` with one row of every group, the first by doc_id (null last), with all its columns."""
+    record = F.struct(*[F.col(f"`{name}`") for name in docs.columns])
+    marked = stored(docs.select(record.alias("record"), F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"),
+                                fingerprints(F.col(text), words_each).alias("node")), "fingerprints")
+    placed = marked.select("node", "row", "doc_id").join(_rooted(marked).select("node", "root"), "node")
+    place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
+    heads = placed.groupBy("root").agg(F.min(place).alias("head")).select("root", "head.row").withColumnRenamed("row", "head")
+    dropped = stored(placed.join(heads, "root").filter("row <> head").select("row"), "near-copies")
+    if dropped.count() <= BROADCAST_ROWS:
+        dropped = F.broadcast(dropped)
+    return marked.join(dropped, "row", "left_anti").select(*[F.col(f"record.`{name}`").alias(name) for name in docs.columns])
