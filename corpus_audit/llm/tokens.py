@@ -16,8 +16,8 @@ from __future__ import annotations
 import functools
 import os
 import re
-import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLOCK_TOKENS = 1 << 16
-KNOWN_WORDS = 800_000
-TEXTS_AT_ONCE = 32
+KNOWN_WORDS = 1_000_000
 BLOCKS = T.StructType([
     T.StructField("part", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("bits", T.IntegerType()),
     T.StructField("n_tokens", T.LongType()), T.StructField("payload", T.BinaryType()),
@@ -39,6 +38,7 @@ DECODED = T.StructType([
     T.StructField("part", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("offset", T.LongType()),
     T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType()),
 ])
+LETTERS_AND_SIGNS = re.compile(r"([^\W\d_]+)([^\w\s']+)")
 # White space other than blanks and line ends, as any of the involved libraries may understand it.
 ODD_SPACE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -66,6 +66,43 @@ def unpack(payload: bytes, bits: int, start: int, count: int) -> np.ndarray:
     return ((window >> (first & 7).astype(np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.uint32)
 
 
+class _Words(dict):
+    """The ids of words that stand behind ``before``, learnt when first met.
+
+    Letters alone are one piece of the vocabulary's pattern and go straight to the model; signs behind letters are a
+    piece of their own.  Any other word is encoded whole.
+    """
+
+    def __init__(self, tokenizer, before: str):
+        super().__init__({"": b""})
+        self.tokenizer, self.model, self.before = tokenizer, tokenizer.model, before
+        # The vocabulary writes bytes as visible characters: those that are not visible in Latin-1 follow from 256 on.
+        hidden = [byte for byte in range(256) if not (33 <= byte <= 126 or 161 <= byte <= 172 or 174 <= byte <= 255)]
+        self.visible = {byte: 256 + at for at, byte in enumerate(hidden)}
+        self.signs: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _letters(self, word: str) -> bytes:
+        piece = (self.before.translate(self.visible) + word if word.isascii()
+                 else (self.before + word).encode("utf-8").decode("latin-1").translate(self.visible))
+        return array("I", [found.id for found in self.model.tokenize(piece)]).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        if word.isalpha():
+            found = self._letters(word)
+        elif parts := LETTERS_AND_SIGNS.fullmatch(word):
+            stem, signs = parts.groups()
+            if signs not in self.signs:
+                self.signs[signs] = self.whole(signs)
+            found = self[stem] + self.signs[signs]
+        else:
+            found = self.whole(self.before + word)
+        self[word] = found
+        return found
+
+
 class Encoder:
     """Encodes texts word by word with a bounded memory of words.
 
@@ -80,48 +117,21 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.bits = bits_for(self.tokenizer.get_vocab_size(with_added_tokens=True))
-        self.line_end = self.whole("\n")
-        # The vocabulary writes bytes as visible characters: those that are not visible in Latin-1 follow from 256 on.
-        hidden = [byte for byte in range(256) if not (33 <= byte <= 126 or 161 <= byte <= 172 or 174 <= byte <= 255)]
-        self.visible = {byte: 256 + at for at, byte in enumerate(hidden)}
-        self.stops = {stop: self.whole(stop) for stop in ",."}
-        self.after_blank: dict[str, bytes] = {}
-        self.line_start: dict[str, bytes] = {"": b""}
+        self._forget()
+        self.line_end = self.line_start.whole("\n")
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _word(self, word: str, before: str) -> bytes:
-        """The ids of one word.  Letters alone are one piece of the pattern and go straight to the model."""
-        if not word.isalpha():
-            return self.whole(before + word)
-        piece = (before.translate(self.visible) + word if word.isascii()
-                 else (before + word).encode("utf-8").decode("latin-1").translate(self.visible))
-        ids = [found.id for found in self.tokenizer.model.tokenize(piece)]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _learn(self, known: dict[str, bytes], words: set, before: str) -> None:
-        """Encode unknown words; a stop after a letter or digit is a piece of its own."""
-        for word in words:
-            if word not in known:
-                stem, stop = (word[:-1], word[-1]) if word[-1] in self.stops and word[-2:-1].isalnum() else (word, "")
-                if stem not in known:
-                    known[stem] = self._word(stem, before)
-                if stop:
-                    known[word] = known[stem] + self.stops[stop]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
+    def _forget(self) -> None:
+        self.line_start, self.after_blank = _Words(self.tokenizer, ""), _Words(self.tokenizer, " ")
+
+    def encode(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers."""
+        if irregular(text):
+            return self.line_start.whole(text)
         if len(self.after_blank) + len(self.line_start) > KNOWN_WORDS:
-            self.after_blank.clear()
-            self.line_start = {"": b""}
-        cut = [None if irregular(text) else [line.split(" ") for line in text.split("\n")] for text in texts]
-        lines = [line for found in cut if found for line in found]
-        self._learn(self.line_start, {line[0] for line in lines}, "")
-        self._learn(self.after_blank, {word for line in lines for word in line[1:]}, " ")
-        return [self.whole(text) if found is None else self.line_end.join(
-            [self.line_start[line[0]] + b"".join(map(self.after_blank.__getitem__, line[1:])) for line in found])
-            for text, found in zip(texts, cut)]
+            self._forget()
+        first, after = self.line_start.__getitem__, self.after_blank.__getitem__
+        return self.line_end.join([first(words[0]) + b"".join(map(after, words[1:]))
+                                   for words in (line.split(" ") for line in text.split("\n"))])
 
 
 def irregular(text: str) -> bool:
@@ -139,9 +149,9 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, t
                  doc_id: str = "doc_id") -> DataFrame:
     """Write the blocks of all documents in ascending doc_id order to ``path``; returns the dataset as read back."""
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode_some, bits = encoder(vocabulary).encode, encoder(vocabulary).bits
+        encode_one, bits = encoder(vocabulary).encode, encoder(vocabulary).bits
         part, end = TaskContext.get().partitionId(), np.array([end_id], dtype="<u4").tobytes()
-        block, ids, owners, lengths = 0, [], [], []
+        block, held, ids, owners, lengths = 0, 0, [], [], []
 
         def row():
             numbers = np.frombuffer(b"".join(ids), dtype="<u4")
@@ -149,15 +159,14 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, t
                                  "payload": [pack(numbers, bits)], "doc_ids": [owners], "lengths": [lengths]})
 
         for batch in batches:
-            for at in range(0, len(batch), TEXTS_AT_ONCE):
-                some = batch[at:at + TEXTS_AT_ONCE]
-                for owner, found in zip(some["doc_id"], encode_some([words or "" for words in some["text"]])):
-                    ids.append(found + end)
-                    owners.append(None if pd.isna(owner) else int(owner))
-                    lengths.append(len(ids[-1]) // 4)
-                    if sum(lengths) >= BLOCK_TOKENS:
-                        yield row()
-                        block, ids, owners, lengths = block + 1, [], [], []
+            for owner, words in zip(batch["doc_id"], batch["text"]):
+                ids.append(encode_one(words or "") + end)
+                owners.append(None if pd.isna(owner) else int(owner))
+                lengths.append(len(ids[-1]) // 4)
+                held += lengths[-1]
+                if held >= BLOCK_TOKENS:
+                    yield row()
+                    block, held, ids, owners, lengths = block + 1, 0, [], [], []
         if ids:
             yield row()
 
