@@ -39,7 +39,7 @@ FLOOR = 1.0
 CERTAINTY = 2.0
 MIN_COUNT = 2
 CALIBRATION = 5
-BROADCAST_ENTRIES = 6_000_000
+BROADCAST_ENTRIES = 2_000_000
 BROADCAST_LABELS = 1_000_000
 START, END = 0, 1
 # ASCII characters as they count in words: letters in lower case, any digit as 0, all others end a word.
@@ -116,7 +116,8 @@ def _certain(ratio: Column, toxic: Column, ordinary: Column) -> Column:
 def log_ratios(rows: DataFrame) -> tuple[DataFrame, DataFrame] | None:
     """The model of rows (text, toxic): bigrams (key, value) and words (key, value).
 
-    A bigram of the table adds its ``value``, any other the ``value`` of its second word.
+    A bigram of the table adds its ``value``, any other the ``value`` of its second word, if that has one.  Entries that
+    would change nothing are left out, and these are nearly all: rare expressions have no certain ratio.
     """
     counted = stored(_split(_pair_counts(rows)), "toxicity-counts")
     words = stored(counted.filter("types IS NOT NULL").groupBy("key").agg(*[F.sum(n).alias(n) for n in WORDS]),
@@ -144,8 +145,8 @@ def log_ratios(rows: DataFrame) -> tuple[DataFrame, DataFrame] | None:
     # A history that one class has not seen tells nothing about the words after it.
     kept = (pairs.join(priced.withColumnRenamed("key", "word"), "word")
             .join(history.filter("h0 > 0 AND h1 > 0"), "before")
-            .select("key", (F.col("value") + beyond).alias("value")))
-    return stored(kept, "toxicity-bigrams"), stored(priced.select("key", "value"), "toxicity-ratios")
+            .withColumn("beyond", beyond).filter("beyond <> 0").select("key", (F.col("value") + F.col("beyond")).alias("value")))
+    return stored(kept, "toxicity-bigrams"), stored(priced.filter("value <> 0").select("key", "value"), "toxicity-ratios")
 
 
 class _Table:
