@@ -137,10 +137,10 @@ def zone_quantile(measures: DataFrame, value: str, q: float, out: str, zone: str
 
 
 def complexity_hotspots(files: DataFrame, threshold: int, q: float = 0.9) -> DataFrame:
-    """Files above a fixed threshold or above their zone's ``q`` quantile."""
+    """Files above a fixed threshold or above their zone's ``q`` quantile; a file without a zone only has the threshold."""
     measured = complexity(files)
     bars = zone_quantile(measured, "complexity", q, "zone_bar")
-    return (measured.join(bars, "zone")
+    return (measured.join(bars, "zone", "left")
             .filter((F.col("complexity") > threshold) | (F.col("complexity") > F.col("zone_bar"))))
 
 

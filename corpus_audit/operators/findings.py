@@ -65,45 +65,48 @@ def with_finding_id(findings: DataFrame) -> DataFrame:
     arrived as one cell.
     """
     anchor = F.coalesce("symbol", "context", F.lit(""))
-    window = Window.partitionBy("path", "axiom", "rule_id", "_anchor").orderBy("line_start", "line_end")
+    window = Window.partitionBy("run_id", "path", "axiom", "rule_id", "_anchor").orderBy("line_start", "line_end")
     numbered = findings.withColumn("_anchor", anchor).withColumn("_ordinal", F.row_number().over(window))
     identity = F.concat_ws("|", F.col("axiom").cast("string"), "rule_id", "path", "_anchor", F.col("_ordinal").cast("string"))
     return numbered.withColumn("finding_id", F.sha2(identity, 256)).drop("_anchor", "_ordinal")
 
 
 def merge_groups(findings: DataFrame) -> DataFrame:
-    """``findings`` with ``group``: ranges of one file and axis that overlap by more than half, transitively."""
+    """``findings`` with ``group``: ranges of one run, file and axis that overlap by more than half, transitively."""
     # Findings are small next to the corpus they were scanned from: scan once, then group.
-    findings = cut_lineage(findings)
-    groups = intervals.overlap_groups(findings, ["path", "axiom"])
-    return findings.join(groups, ["path", "axiom", "line_start", "line_end"])
+    run = F.coalesce("run_id", F.lit("")) if "run_id" in findings.columns else F.lit("")
+    findings = cut_lineage(findings.withColumn("_run", run))
+    groups = intervals.overlap_groups(findings, ["_run", "path", "axiom"])
+    return findings.join(groups, ["_run", "path", "axiom", "line_start", "line_end"])
+
+
+GROUP = ["_run", "path", "axiom", "group"]
 
 
 def merge_overlaps(findings: DataFrame) -> DataFrame:
     """One row per overlap group.
 
-    The row is the group's first finding (by line, rule, id) with the group's extent, strongest severity,
-    all sources and the number of merged findings.  :func:`merged_messages` holds every message.
+    The row is the group's first finding (by line, rule, id), with all its columns, and with the group's extent, strongest
+    severity, all sources and the number of merged findings.  :func:`merged_messages` holds every message.
     """
     grouped = merge_groups(findings)
-    first = F.min_by(F.struct("rule_id", "finding_id", "message"), F.struct("line_start", "rule_id", "finding_id"))
-    # Sources are a closed set of words, so the union of sources is an aggregate of flags.
-    sources = ("agg", "graph", "llm", "regex")
-    flags = [F.max(F.array_contains("source", s)).alias(f"_{s}") for s in sources]
-    merged = grouped.groupBy("path", "axiom", "group").agg(
+    own = [name for name in findings.columns if name not in ("line_start", "line_end", "severity", "source")]
+    first = F.min_by(F.struct(*own), F.struct("line_start", "rule_id", "finding_id"))
+    # Sources are words for kinds of detectors: few, whatever the number of findings.
+    sources = F.array_sort(F.array_distinct(F.flatten(F.collect_set("source"))))
+    merged = grouped.groupBy(*GROUP).agg(
         first.alias("first"), F.min("line_start").alias("line_start"), F.max("line_end").alias("line_end"),
-        F.max(severity_rank(F.col("severity"))).alias("rank"), F.count(F.lit(1)).alias("merged"), *flags)
-    source = F.array_compact(F.array(*[F.when(F.col(f"_{s}"), F.lit(s)) for s in sources]))
-    return merged.select("path", "axiom", "first.rule_id", "first.finding_id", "first.message", "line_start", "line_end",
-                         _severity_name(F.col("rank")).alias("severity"), source.alias("source"), "merged")
+        F.max(severity_rank(F.col("severity"))).alias("rank"), sources.alias("source"), F.count(F.lit(1)).alias("merged"))
+    rest = merged.select("first.*", "line_start", "line_end", _severity_name(F.col("rank")).alias("severity"), "source", "merged")
+    return rest.select(*findings.columns, "merged")
 
 
 def merged_messages(findings: DataFrame) -> DataFrame:
     """(path, axiom, line_start, line_end, message): every distinct message of every merged row."""
     grouped = merge_groups(findings)
-    extent = grouped.groupBy("path", "axiom", "group").agg(F.min("line_start").alias("line_start"), F.max("line_end").alias("line_end"))
-    messages = grouped.select("path", "axiom", "group", "message").distinct()
-    return messages.join(extent, ["path", "axiom", "group"]).drop("group")
+    extent = grouped.groupBy(*GROUP).agg(F.min("line_start").alias("line_start"), F.max("line_end").alias("line_end"))
+    messages = grouped.select(*GROUP, "message").distinct()
+    return messages.join(extent, GROUP).drop("group", "_run")
 
 
 def ordered(findings: DataFrame) -> DataFrame:
@@ -290,26 +293,41 @@ def same_verdict_class(a: DataFrame, b: DataFrame) -> DataFrame:
     return same_findings(a, b, ["axiom", "severity", "finding_id"])
 
 
-def reuse_findings(files: DataFrame, cache: DataFrame, ruleset: str, scan) -> DataFrame:
+def path_signature(pack) -> Column:
+    """Which path rules of a pack hold for a file, and its language if a rule asks for one.
+
+    Two files of equal content have equal findings only if they also agree in this.
+    """
+    patterns = sorted({rule.path_regex for rule in pack if rule.path_regex})
+    bits = [F.col("path").rlike(pattern).cast("int").cast("string") for pattern in patterns]
+    lang = [F.coalesce(F.col("lang"), F.lit(""))] if any(rule.lang for rule in pack) else []
+    return F.concat_ws("", F.lit(""), *bits, *lang)
+
+
+def _cache_keys(files: DataFrame, pack) -> DataFrame:
+    return files.select("path", content_hash(F.col("text")).alias("content_hash"), path_signature(pack).alias("signature"))
+
+
+def reuse_findings(files: DataFrame, cache: DataFrame, ruleset: str, scan, pack=()) -> DataFrame:
     """Findings of a corpus where files already scanned under ``ruleset`` are not scanned again.
 
-    ``cache`` holds (content_hash, ruleset, and the finding columns but path); a scanned file without
-    findings has one row with a null rule.
+    ``cache`` holds (content_hash, signature, ruleset, and the finding columns but path); a scanned file without findings
+    has one row with a null rule.  ``pack`` are the rules that ``scan`` runs: their path conditions make the signature.
+    Only paths and hashes meet the cache; texts of files to scan are picked by path.
     """
-    keyed = files.withColumn("content_hash", content_hash(F.col("text")))
+    keys = ["content_hash", "signature"]
+    keyed = cut_lineage(_cache_keys(files, pack))
     known = cache.filter(F.col("ruleset") == ruleset)
-    hashes = known.select("content_hash").distinct()
-    fresh = scan(keyed.join(hashes, "content_hash", "left_anti").drop("content_hash"))
-    stored = (known.filter("rule_id is not null").join(keyed.select("path", "content_hash"), "content_hash")
-              .drop("content_hash", "ruleset"))
+    old = keyed.join(known.select(*keys).distinct(), keys, "left_semi").select("path")
+    fresh = scan(files.join(old, "path", "left_anti"))
+    stored = known.filter("rule_id is not null").join(keyed, keys).drop(*keys, "ruleset")
     return (fresh.withColumn("reused", F.lit(False))
             .unionByName(stored.withColumn("reused", F.lit(True)), allowMissingColumns=True))
 
 
-def cache_entries(files: DataFrame, findings: DataFrame, ruleset: str) -> DataFrame:
-    """Rows to store for :func:`reuse_findings` after a scan, one set per distinct content."""
-    first = (files.select("path", content_hash(F.col("text")).alias("content_hash"))
-             .groupBy("content_hash").agg(F.min("path").alias("path")))
+def cache_entries(files: DataFrame, findings: DataFrame, ruleset: str, pack=()) -> DataFrame:
+    """Rows to store for :func:`reuse_findings` after a scan, one set per distinct content and signature."""
+    first = _cache_keys(files, pack).groupBy("content_hash", "signature").agg(F.min("path").alias("path"))
     return first.join(findings, "path", "left").drop("path").withColumn("ruleset", F.lit(ruleset))
 
 
@@ -343,11 +361,11 @@ def merge_inferred(deterministic: DataFrame, inferred: DataFrame) -> DataFrame:
     both = deterministic.withColumn("_own", F.lit(True)).unionByName(
         inferred.withColumn("_own", F.lit(False)), allowMissingColumns=True)
     grouped = merge_groups(both)
-    covered = (grouped.groupBy("path", "axiom", "group")
+    covered = (grouped.groupBy(*GROUP)
                .agg(F.bool_or("_own").alias("_covered"), F.bool_or(~F.col("_own")).alias("confirmed")))
-    joined = grouped.join(covered, ["path", "axiom", "group"])
+    joined = grouped.join(covered, GROUP)
     kept = joined.filter(F.col("_own") | ~F.col("_covered"))
-    return (kept.withColumn("confirmed", F.col("confirmed") & F.col("_own")).drop("_own", "_covered", "group"))
+    return (kept.withColumn("confirmed", F.col("confirmed") & F.col("_own")).drop("_own", "_covered", "group", "_run"))
 
 
 def lost_deterministic(merged: DataFrame, deterministic: DataFrame) -> DataFrame:

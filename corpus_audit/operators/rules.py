@@ -49,11 +49,16 @@ def explode_lines(files: DataFrame) -> DataFrame:
             .select(*others, (F.col("pos") + 1).alias("line_no"), "line"))
 
 
+# Rules tested in one array expression.
+RULE_GROUP = 64
+
+
 def _holds_any(low: Column, literals) -> Column:
     return reduce(lambda a, b: a | b, [low.contains(literal) for literal in sorted(literals)])
 
 
-def _applies(rule: Rule, code: Column, low: Column, has_lang: bool) -> Column:
+def _applies(rule: Rule, line: Column, code: Column, low: Column, has_lang: bool) -> Column:
+    code = line if rule.in_comments else code
     condition = code.rlike(rule.line_regex)
     if rule.needs:
         condition = _holds_any(low, rule.needs) & condition
@@ -76,7 +81,8 @@ def _may_hit(rules: list[Rule]) -> Column | None:
 def rule_hits(files: DataFrame, rules: list[Rule]) -> DataFrame:
     """(path, rule_id, ..., line_start, line) for every rule and line that match.
 
-    The pack becomes one projection over the lines: the corpus is read once however many rules run.
+    The pack becomes one projection over the lines: the corpus is read once however many rules run.  Rules are tested in
+    groups of ``RULE_GROUP``, each an array of its own, and the arrays are joined before the explode.
     """
     if not rules:
         return files.sparkSession.createDataFrame(
@@ -88,9 +94,10 @@ def rule_hits(files: DataFrame, rules: list[Rule]) -> DataFrame:
     has_lang = "lang" in files.columns
     keep = ["path", "text"] + (["lang"] if has_lang else [])
     lines = (explode_lines(files.select(*keep)).withColumn("code", tx.strip_comment(F.col("line")))
-             .withColumn("low", F.lower("code")))
-    found = F.array_compact(F.array(*[F.when(_applies(r, F.col("code"), F.col("low"), has_lang), F.lit(i + 1))
-                                      for i, r in enumerate(rules)]))
+             .withColumn("low", F.lower("line")))
+    tests = [F.when(_applies(r, F.col("line"), F.col("code"), F.col("low"), has_lang), F.lit(i + 1)) for i, r in enumerate(rules)]
+    groups = [F.array_compact(F.array(*tests[at:at + RULE_GROUP])) for at in range(0, len(tests), RULE_GROUP)]
+    found = F.concat(*groups) if len(groups) > 1 else groups[0]
     meta = F.array(*[F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.axiom).alias("axiom"),
                               F.lit(r.severity).alias("severity"), F.lit(r.owasp).cast("string").alias("owasp"),
                               F.lit(r.message).alias("message")) for r in rules])

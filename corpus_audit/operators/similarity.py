@@ -52,7 +52,10 @@ def leader_links(members: DataFrame, score: Callable[[DataFrame], DataFrame], th
     ``score`` adds a ``score`` column to distinct (id, leader) rows.  Each member links to the first
     leader it matches, leaders being elected in id order.
     """
-    remaining = cut_lineage(members.select("bucket", "id").distinct())
+    members = members.select("bucket", "id").distinct()
+    # A member that is alone in its bucket has nobody to meet there.
+    crowded = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
+    remaining = cut_lineage(members.join(crowded, "bucket", "left_semi"))
     links, width = [], 1
     while True:
         # The rank limit works before the shuffle too: a hot bucket ships a few rows per task.
@@ -86,16 +89,12 @@ def shingles(text: Column, size: int = 3) -> Column:
     return tx.let(tx.words(text), build)
 
 
-def minhash_buckets(sets: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(bucket, id) of a table (id, grams array<bigint>): one bucket per band of equal minima."""
-    family = hash_parameters(bands * rows)
-    exploded = sets.select("id", F.explode("grams").alias("x"))
-    x = F.col("x") % (1 << 32)
-    minima = exploded.groupBy("id").agg(*[
-        F.min((F.lit(a).cast("bigint") * x + F.lit(b)) % F.lit(PRIME)).alias(f"h{i}") for i, (a, b) in enumerate(family)])
-    keys = F.array(*[F.concat_ws("-", F.lit(str(band)), *[F.col(f"h{band * rows + r}").cast("string") for r in range(rows)])
-                     for band in range(bands)])
-    return minima.select("id", F.explode(keys).alias("bucket"))
+def minhash_keys(grams: Column, bands: int, rows: int) -> Column:
+    """The bucket of each band, from the minima of an array of gram hashes; nothing leaves the row."""
+    def minimum(a: int, b: int) -> Column:
+        return F.array_min(F.transform(grams, lambda x: (F.lit(a).cast("bigint") * (x % (1 << 32)) + F.lit(b)) % F.lit(PRIME)))
+    minima = [minimum(a, b).cast("string") for a, b in hash_parameters(bands * rows)]
+    return F.array(*[F.concat_ws("-", F.lit(str(band)), *minima[band * rows:(band + 1) * rows]) for band in range(bands)])
 
 
 def near_duplicates(files: DataFrame, threshold: float = 0.7, size: int = 3, bands: int = 8,
@@ -103,18 +102,22 @@ def near_duplicates(files: DataFrame, threshold: float = 0.7, size: int = 3, ban
     """(path, leader, score): near copies with their verified Jaccard similarity.
 
     Files with the same word sequence are joined to the smallest of them first, so a group of copies
-    enters the hashing as one member.
+    enters the hashing as one member.  A file keeps one bucket per band; gram arrays are built, once, only
+    for files that share a bucket with another.
     """
-    # One pass over the texts; later steps only meet hashes.
-    hashed = cut_lineage(
+    grams = F.transform(shingles(F.col("text"), size), tx.hash60)
+    keyed = cut_lineage(
         files.select("path", F.md5(F.concat_ws(" ", tx.words(F.col("text")))).alias("sequence"),
-                     F.transform(shingles(F.col("text"), size), tx.hash60).alias("grams"))
+                     tx.let(grams, lambda g: minhash_keys(g, bands, rows)).alias("buckets"))
         .filter(F.col("sequence") != F.md5(F.lit(""))))
-    first = hashed.groupBy("sequence").agg(F.min("path").alias("leader"))
-    copies = (hashed.select("path", "sequence").join(first, "sequence").filter("path <> leader")
+    first = keyed.groupBy("sequence").agg(F.min("path").alias("leader"))
+    copies = (keyed.select("path", "sequence").join(first, "sequence").filter("path <> leader")
               .select("path", "leader", F.lit(1.0).alias("score")))
-    sets = (hashed.join(first.select(F.col("leader").alias("path")), "path", "left_semi")
-            .select(F.col("path").alias("id"), "grams"))
+    members = cut_lineage(keyed.join(first.select(F.col("leader").alias("path")), "path", "left_semi")
+                          .select(F.col("path").alias("id"), F.explode("buckets").alias("bucket")))
+    crowded = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
+    candidates = cut_lineage(members.join(crowded, "bucket", "left_semi").select(F.col("id").alias("path")).distinct())
+    sets = cut_lineage(files.join(candidates, "path", "left_semi").select(F.col("path").alias("id"), grams.alias("grams")))
 
     def jaccard(pairs: DataFrame) -> DataFrame:
         left = pairs.join(sets.withColumnRenamed("grams", "g1"), "id")
@@ -122,43 +125,65 @@ def near_duplicates(files: DataFrame, threshold: float = 0.7, size: int = 3, ban
         shared = F.size(F.array_intersect("g1", "g2"))
         return both.select("id", "leader", F.round(shared / (F.size("g1") + F.size("g2") - shared), 6).alias("score"))
 
-    links = leader_links(minhash_buckets(sets, bands, rows), jaccard, threshold)
+    links = leader_links(members, jaccard, threshold)
     return links.withColumnRenamed("id", "path").unionByName(copies)
 
 
-def sign_bits(vector: Column, row: Column) -> Column:
-    """Side of the hyperplane whose normal is the given row of a Walsh matrix."""
-    signed = F.transform(vector, lambda v, j: v.cast("double") * (1 - 2 * (F.bit_count(row.bitwiseAND(j)) % 2)))
-    total = F.aggregate(signed, F.lit(0.0), lambda acc, v: acc + v)
-    return F.when(total >= 0, F.lit("1")).otherwise(F.lit("0"))
+# Rows of the Walsh matrix that serve as hyperplanes; row 0 is left out, its side is the sign of the sum.
+PLANES = 63
+
+
+def sign_bits(vector: Column) -> Column:
+    """The sides of all hyperplanes as the bits of one long."""
+    def side(row: Column) -> Column:
+        signed = F.transform(vector, lambda v, j: v.cast("double") * (1 - 2 * (F.bit_count(row.bitwiseAND(j)) % 2)))
+        total = F.aggregate(signed, F.lit(0.0), lambda acc, v: acc + v)
+        return F.when(total >= 0, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
+    sides = F.transform(F.sequence(F.lit(1), F.lit(PLANES)), side)
+    weights = F.array(*[F.lit(1 << at).cast("bigint") for at in range(PLANES)])
+    return F.aggregate(F.zip_with(sides, weights, lambda s, w: s * w), F.lit(0).cast("bigint"), lambda acc, v: acc + v)
+
+
+def bands_for(threshold: float, bits: int, recall: float) -> int:
+    """How many buckets of ``bits`` sides a vector needs, so that a pair at ``threshold`` shares one with chance ``recall``."""
+    together = (1 - math.acos(threshold) / math.pi) ** bits
+    return math.ceil(math.log(1 - recall) / math.log(1 - together))
+
+
+def band_masks(bands: int, bits: int) -> list[int]:
+    """The sides each band looks at: different rows within a band, other strides from band to band."""
+    strides = [n for n in range(1, PLANES) if math.gcd(n, PLANES) == 1]
+    return [sum(1 << ((band * 5 + k * strides[band % len(strides)]) % PLANES) for k in range(bits)) for band in range(bands)]
 
 
 def cosine(a: Column, b: Column) -> Column:
+    """Cosine of two vectors, null if one has no length."""
     def dot(x, y):
         return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0),
                            lambda acc, v: acc + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
 
 
-def semantic_duplicates(vectors: DataFrame, threshold: float, bands: int = 16, bits: int | None = None) -> DataFrame:
+def semantic_duplicates(vectors: DataFrame, threshold: float, bits: int = 8, recall: float = 0.995) -> DataFrame:
     """(vec_id, leader, score): vectors whose cosine with their bucket's leader reaches the threshold.
 
-    Equal vectors are joined to the smallest id first.  ``bits`` per bucket follow the number of vectors,
-    so unrelated vectors rarely share a bucket at any scale.
+    Equal vectors are joined to the smallest id first.  The buckets follow from ``threshold``, ``bits`` and ``recall``
+    alone, so further vectors never change a link between those that are there: they only fill the buckets.  More bits
+    make smaller buckets and more of them: 8 bits suit a million vectors, 16 a billion.  A vector without length has no
+    direction and links only to its copies.
     """
     keyed = vectors.select("vec_id", F.md5(F.concat_ws(",", F.col("embedding").cast("array<string>"))).alias("key"))
     first = keyed.groupBy("key").agg(F.min("vec_id").alias("leader"))
     copies = keyed.join(first, "key").filter("vec_id <> leader").select("vec_id", "leader", F.lit(1.0).alias("score"))
     own = cut_lineage(vectors.join(first.select(F.col("leader").alias("vec_id")), "vec_id", "left_semi")
-                      .select(F.col("vec_id").alias("id"), "embedding"))
-    bits = bits or max(4, math.ceil(math.log2(max(own.count(), 2))))
-    bands_of = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda band: F.concat(
-        band.cast("string"), F.lit(":"), F.array_join(F.transform(
-            F.sequence(F.lit(0), F.lit(bits - 1)), lambda r: sign_bits(F.col("embedding"), 1 + (band * 5 + r * 11) % 63)), "")))
-    members = own.select("id", F.explode(bands_of).alias("bucket"))
+                      .select(F.col("vec_id").alias("id"), "embedding", sign_bits(F.col("embedding")).alias("sides")))
+    masks = band_masks(bands_for(threshold, bits, recall), bits)
+    buckets = F.array(*[F.concat(F.lit(f"{band}:"), F.col("sides").bitwiseAND(F.lit(mask).cast("bigint")).cast("string"))
+                        for band, mask in enumerate(masks)])
+    members = own.select("id", F.explode(buckets).alias("bucket"))
 
     def score(pairs: DataFrame) -> DataFrame:
-        both = (pairs.join(own.withColumnRenamed("embedding", "e1"), "id")
+        both = (pairs.join(own.select("id", F.col("embedding").alias("e1")), "id")
                 .join(own.select(F.col("id").alias("leader"), F.col("embedding").alias("e2")), "leader"))
         return both.select("id", "leader", F.round(cosine(F.col("e1"), F.col("e2")), 6).alias("score"))
 

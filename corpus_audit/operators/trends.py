@@ -100,13 +100,16 @@ def ancestry_rank(commits: DataFrame) -> DataFrame:
 def deltas(scored: DataFrame, ranks: DataFrame) -> DataFrame:
     """Add ``previous`` and ``delta``: score against the previous run of the same branch, scope and axis.
 
-    Order is commit generation, then record id.  Generations cut long branches into pieces.
+    Order is commit generation, then record id.  Generations cut long branches into pieces.  A record whose commit is not
+    ranked has no place in that order: it stays, without generation, previous and delta, and ``reason`` says why.
     """
-    placed = scored.join(ranks, scored.commit_sha == ranks.sha).drop("sha")
+    joined = scored.join(ranks, scored.commit_sha == ranks.sha, "left").drop("sha")
+    placed, lost = joined.filter("generation is not null"), joined.filter("generation is null")
     chained = ordered.with_previous(placed, ["branch", "scope", "axiom"], ["generation", "record_id"],
                                     F.floor(F.col("generation") / 64), ["score"])
-    return (chained.withColumn("delta", F.round(F.col("score") - F.col("prev_score"), 6))
-            .withColumnRenamed("prev_score", "previous"))
+    known = (chained.withColumn("delta", F.round(F.col("score") - F.col("prev_score"), 6))
+             .withColumnRenamed("prev_score", "previous").withColumn("reason", F.lit(None).cast("string")))
+    return known.unionByName(lost.withColumn("reason", F.lit("unknown commit")), allowMissingColumns=True)
 
 
 def ancestor_baseline(first_runs: DataFrame, scored: DataFrame, commits: DataFrame) -> DataFrame:
@@ -184,25 +187,31 @@ def validate_history(trends: DataFrame, min_version: int = 1) -> DataFrame:
 
 
 def usage_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
-    """(agent, run_id, units, cost) from ``usage(agent, run_id, units)`` and ``prices(agent, price)``."""
+    """(agent, run_id, units, cost, unpriced) from ``usage(agent, run_id, units)`` and ``prices(agent, price)``.
+
+    Usage of an agent without a price has no cost and is marked.
+    """
     sums = usage.groupBy("agent", "run_id").agg(F.sum("units").alias("units"))
-    return sums.join(prices, "agent").select("agent", "run_id", "units", F.round(F.col("units") * F.col("price"), 4).alias("cost"))
+    cost = F.round(F.col("units") * F.col("price"), 4)
+    return sums.join(prices, "agent", "left").select("agent", "run_id", "units", cost.alias("cost"), F.col("price").isNull().alias("unpriced"))
 
 
 def cost_trend(usage: DataFrame, prices: DataFrame, at: str) -> DataFrame:
-    """(agent, month, units, cost, cost_to_date): one row per agent and month is left for the window."""
+    """(agent, month, units, cost, cost_to_date, unpriced): one row per agent and month is left for the window."""
     monthly = usage.groupBy("agent", F.date_trunc("month", F.col(at)).cast("date").alias("month")).agg(F.sum("units").alias("units"))
-    priced = monthly.join(prices, "agent").withColumn("cost", F.col("units") * F.col("price"))
+    priced = monthly.join(prices, "agent", "left").withColumn("cost", F.col("units") * F.col("price"))
     running = F.sum("cost").over(Window.partitionBy("agent").orderBy("month"))
-    return priced.select("agent", "month", "units", F.round("cost", 4).alias("cost"), F.round(running, 4).alias("cost_to_date"))
+    return priced.select("agent", "month", "units", F.round("cost", 4).alias("cost"),
+                         F.round(running, 4).alias("cost_to_date"), F.col("price").isNull().alias("unpriced"))
 
 
 def gaming_guard(totals_by_period: DataFrame, thresholds: DataFrame, confirmed: DataFrame) -> DataFrame:
     """(period, findings, fell, credited): a fall counts only when the bar did not move.
 
-    Inputs have one row per period: (period, findings), (period, threshold), (period, confirmed).
+    Inputs have one row per period: (period, findings), (period, threshold), (period, confirmed).  A period that one of
+    them lacks stays; what is not known there credits nothing.  The one window spans the periods, which are few.
     """
-    joined = totals_by_period.join(thresholds, "period").join(confirmed, "period")
+    joined = totals_by_period.join(thresholds, "period", "full").join(confirmed, "period", "full")
     window = Window.orderBy("period")
     fell = F.col("findings") < F.lag("findings").over(window)
     steady = (F.col("threshold") == F.lag("threshold").over(window)) & (F.col("confirmed") >= F.lag("confirmed").over(window))

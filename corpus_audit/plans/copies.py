@@ -80,28 +80,22 @@ def near_duplicates(t):
     return similarity.near_duplicates(i.prose_files(t), 0.7)
 
 
-# Both engines place vectors by the same Walsh rows; the SQL compares a bucket's members directly.
+# Every tenth vector comes again with two of its places exchanged and one cut down.  The SQL compares all pairs.
 _SEMANTIC = """
-n AS (SELECT greatest(4, ceil(log2(count(*)))::INT) AS bits FROM embeddings),
-v AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
-sides AS (SELECT vec_id, r, CASE WHEN list_sum(list_transform(range(0, 64), lambda j: e[j + 1] * (1 - 2 * (bit_count(r & j) % 2)))) >= 0
-THEN '1' ELSE '0' END AS side FROM v, range(1, 64) q(r)),
-big0 AS (SELECT vec_id, band || ':' || string_agg(side, '' ORDER BY k) AS bucket FROM range(0, 16) b(band), n, range(0, 64) kk(k), sides
-WHERE k < bits AND r = 1 + (band * 5 + k * 11) % 63 GROUP BY vec_id, band),
-big AS MATERIALIZED (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY bucket) AS c FROM big0) WHERE c > 1),
-cand AS MATERIALIZED (SELECT DISTINCT x.vec_id, y.vec_id AS leader, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM big x JOIN big y
-ON x.bucket = y.bucket AND x.vec_id > y.vec_id JOIN v a ON a.vec_id = x.vec_id JOIN v b ON b.vec_id = y.vec_id),
-hit AS MATERIALIZED (SELECT * FROM cand WHERE score >= 0.2),
-rounds AS (SELECT 0 AS depth, bucket, vec_id FROM big UNION ALL
-SELECT depth + 1, bucket, vec_id FROM (SELECT depth, bucket, vec_id, min(vec_id) OVER (PARTITION BY bucket) AS leader FROM rounds) r
-WHERE vec_id <> leader AND (vec_id, leader) NOT IN (SELECT vec_id, leader FROM hit))"""
+v AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings UNION ALL
+SELECT vec_id + 100000000, list_transform(embedding::DOUBLE[], lambda x, j: CASE j WHEN 1 THEN embedding[2]::DOUBLE WHEN 2 THEN embedding[1]::DOUBLE
+WHEN 3 THEN x / 2 ELSE x END) FROM embeddings WHERE vec_id % 10 = 0),
+hit AS MATERIALIZED (SELECT a.vec_id, b.vec_id AS leader, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM v a JOIN v b ON a.vec_id > b.vec_id
+WHERE round(list_cosine_similarity(a.e, b.e), 6) >= 0.8)"""
 
 
 @query("dup05_semantic_duplicates", i.ctes(_SEMANTIC) + """
-SELECT DISTINCT p.vec_id, p.leader, score FROM (SELECT vec_id, min(vec_id) OVER (PARTITION BY depth, bucket) AS leader FROM rounds) p
-JOIN hit USING (vec_id, leader)""")
+SELECT vec_id, leader, score FROM hit WHERE leader NOT IN (SELECT vec_id FROM hit)""")
 def semantic_duplicates(t):
-    return similarity.semantic_duplicates(t.embeddings, 0.2)
+    e = F.col("embedding").cast("array<double>")
+    changed = F.transform(e, lambda x, j: F.when(j == 0, e[1]).when(j == 1, e[0]).when(j == 2, x / 2).otherwise(x))
+    again = t.embeddings.filter("vec_id % 10 = 0").select((F.col("vec_id") + 100000000).alias("vec_id"), changed.alias("embedding"))
+    return similarity.semantic_duplicates(t.embeddings.select("vec_id", e.alias("embedding")).unionByName(again), 0.8)
 
 
 _IMPORTS = i.CODE_SQL + r""", ed AS (SELECT path AS src, regexp_extract(x, '''([^'']*)''', 1) AS spec FROM (
@@ -167,7 +161,7 @@ def complexity(t):
 
 
 @query("dup09_hotspots", i.ctes(i.CODE_SQL, _CX) + """
-SELECT path, zone, complexity, round(zone_bar, 6) AS zone_bar FROM cx JOIN (SELECT zone, quantile_cont(complexity, 0.9) AS zone_bar FROM cx GROUP BY 1) USING (zone)
+SELECT path, zone, complexity, round(zone_bar, 6) AS zone_bar FROM cx LEFT JOIN (SELECT zone, quantile_cont(complexity, 0.9) AS zone_bar FROM cx GROUP BY 1) USING (zone)
 WHERE complexity > 12 OR complexity > zone_bar""")
 def hotspots(t):
     return duplicates.complexity_hotspots(i.code_files(t), 12).select(

@@ -125,16 +125,16 @@ def evidence_bar(t):
 
 
 @query("cnv06_drop_rejected", i.ctes(_CAND, LEDGER) + """
-SELECT convention_id, sub_category, pattern FROM cand WHERE (sub_category, pattern) NOT IN (SELECT sub_category, pattern FROM ledger WHERE status = 'rejected' AND family IN ('Brand#1', 'Brand#2'))""")
+SELECT convention_id, sub_category, pattern FROM cand WHERE (sub_category, pattern) NOT IN (SELECT sub_category, pattern FROM ledger WHERE status = 'rejected')""")
 def drop_rejected(t):
-    return conventions.drop_rejected(candidates(t), ledger(t).filter("family in ('Brand#1', 'Brand#2')")).select("convention_id", "sub_category", "pattern")
+    return conventions.drop_rejected(candidates(t), ledger(t)).select("convention_id", "sub_category", "pattern")
 
 
 @query("cnv07_damped", i.ctes(_CAND, LEDGER) + """
 SELECT convention_id, needed, incidence >= needed AS passes FROM (SELECT convention_id, incidence, round(least(0.1 * pow(2, coalesce(n, 0)), 0.95), 6) AS needed FROM cand
-LEFT JOIN (SELECT family, max(rejections) AS n FROM ledger WHERE status = 'rejected' AND sub_category = 'SMALL' GROUP BY 1) USING (family))""")
+LEFT JOIN (SELECT family, max(rejections) AS n FROM ledger WHERE status = 'rejected' GROUP BY 1) USING (family))""")
 def damped(t):
-    rejected = ledger(t).filter("status = 'rejected' and sub_category = 'SMALL'").groupBy("family").agg(F.max("rejections").alias("rejections"))
+    rejected = ledger(t).filter("status = 'rejected'").groupBy("family").agg(F.max("rejections").alias("rejections"))
     return conventions.damped(candidates(t), rejected, 0.1).select("convention_id", "needed", "passes")
 
 

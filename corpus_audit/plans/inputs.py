@@ -22,25 +22,25 @@ CODE_LINES = (
     "export { value{n} } from '../src{s}/doc_{n}';",
     "const mod{n} = require('../src{s}/doc_{n}');",
     "const page{n} = await import('../src{s}/doc_{n}');",
-    "const API_KEY = 'sk-live-{n}abcdef';",
-    "const authUrl = `https://api.example.com/auth?token=${token{n}}`;",
-    "const digest = crypto.createHash('md5').update(value{n}).digest('hex');",
-    "  const rows = await db.query(",
-    "    `SELECT * FROM users WHERE id = ${userId{n}}`",
+    "tide_secret = 'harbour-{n}-plum'",
+    "chart = 'http://tiles.harbour.test/v2/sheet?key=' + slot{n}",
+    "  hasher = hashlib.md5(block{n})",
+    "  berths = ledger.query(",
+    "    'SELECT berth, depth FROM quays WHERE depth > ' + draft{n}",
     "  eval(input{n});",
-    "  console.log('User found:', JSON.stringify(user{n}));",
+    "  console.info('pilot cleared by token', pass{n});",
     "  console.log('loaded', {n});",
     "  res.status(500).send(err.stack);",
     "const config = { debug: true, id: {n} };",
-    "router.get('/users/:id', async (req, res) => {",
-    "  const userId = req.params.id;",
-    "  const { tenantId } = req.body;",
+    "server.post('/quays/{n}/arrivals', admitVessel);",
+    "  skipper = ctx.query.skipper",
+    "  manifest = request.body",
     "export function pick{n}(item: any): string {",
     "  return value as any;",
-    "  <div style={{ width: '1200px' }}>",
-    "  <button onClick={() => pick({n})}>",
-    "  {items.map((item) => (",
-    "    <li onClick={() => pick(item.id)}>",
+    "  <aside style={{ minWidth: '940px' }}>",
+    "  <button className=\"hoist\" onClick={raise}>",
+    "  {cranes.map((crane, slot) =>",
+    "    <td className=\"bay\" onClick={inspect}>",
     "  const raw = fs.readFileSync(path{n});",
     "  await Promise.all(rows{n}.map(load));",
     "  for (const row of rows) {",
@@ -59,8 +59,8 @@ CODE_LINES = (
     "}",
     "export const value{n} = {n};",
     "import { Button } from '@ui/kit';",
-    "  <button aria-label=\"Save\" onClick={save}>",
-    "  <li key={item.id}>{item.name}</li>",
+    "  <button aria-label=\"Raise\" onClick={raise}>",
+    "  <td key={slot}>{crane}</td>",
     "  switch (kind) { case 'a': return one; }",
     "",
 )

@@ -16,8 +16,8 @@ def rules_sql(pack: list[Rule], name: str = "rules") -> str:
     rows = ", ".join(
         "(" + ", ".join([sql_text(r.rule_id), str(r.axiom), sql_text(packs_severity(r)),
                          sql_text(r.owasp) if r.owasp else "NULL", sql_text(r.message), sql_text(r.line_regex),
-                         sql_text(r.also_regex or ""), sql_text(r.path_regex or "")]) + ")" for r in pack)
-    return (f"{name}(rule_id, axiom, severity, owasp, message, line_regex, also_regex, path_regex) AS (VALUES {rows})")
+                         sql_text(r.also_regex or ""), sql_text(r.path_regex or ""), str(r.in_comments)]) + ")" for r in pack)
+    return f"{name}(rule_id, axiom, severity, owasp, message, line_regex, also_regex, path_regex, in_comments) AS (VALUES {rows})"
 
 
 def packs_severity(rule: Rule) -> str:
@@ -28,7 +28,8 @@ def packs_severity(rule: Rule) -> str:
 def hits_sql(pack: list[Rule], lines: str, name: str = "hits") -> str:
     """Line hits of a pack over a CTE of (path, line_no, raw, line)."""
     return (rules_sql(pack) + f", {name} AS (SELECT path, rule_id, axiom, severity, owasp, message, line_no AS line_start, raw "
-            f"FROM {lines}, rules WHERE regexp_matches(line, line_regex) AND regexp_matches(line, also_regex) "
+            f"FROM (SELECT *, CASE WHEN in_comments THEN raw ELSE line END AS seen FROM {lines}, rules) "
+            "WHERE regexp_matches(seen, line_regex) AND regexp_matches(seen, also_regex) "
             "AND regexp_matches(path, path_regex))")
 
 

@@ -69,15 +69,16 @@ def ancestry_rank(t):
     return trends.ancestry_rank(i.commits(t))
 
 
-_DELTA = """dl AS (SELECT record_id, branch, scope, axiom, commit_sha, score, lag(score) OVER (PARTITION BY branch, scope, axiom ORDER BY generation, record_id) AS previous
-FROM scored JOIN rk ON sha = commit_sha)"""
+_DELTA = """dl AS (SELECT record_id, branch, scope, axiom, commit_sha, score, CASE WHEN generation IS NOT NULL THEN lag(score) OVER (PARTITION BY branch, scope, axiom, generation IS NULL ORDER BY generation, record_id) END AS previous,
+CASE WHEN generation IS NULL THEN 'unknown commit' ELSE '-' END AS reason FROM scored LEFT JOIN rk ON sha = commit_sha)"""
 
 
 @query("trd06_deltas", i.ctes(_SCORED, _RANK, _DELTA) + """
-SELECT record_id, coalesce(previous, -1) AS previous, coalesce(round(score - previous, 6), 0) AS delta FROM dl""")
+SELECT record_id, coalesce(previous, -1) AS previous, coalesce(round(score - previous, 6), 0) AS delta, reason FROM dl""")
 def deltas(t):
     moved = trends.deltas(scored(t), trends.ancestry_rank(i.commits(t)))
-    return moved.select("record_id", F.coalesce("previous", F.lit(-1.0)).alias("previous"), F.coalesce("delta", F.lit(0.0)).alias("delta"))
+    return moved.select("record_id", F.coalesce("previous", F.lit(-1.0)).alias("previous"), F.coalesce("delta", F.lit(0.0)).alias("delta"),
+                        F.coalesce("reason", F.lit("-")).alias("reason"))
 
 
 _CLIMB = """climb AS (SELECT record_id, scope, axiom, parent_sha AS at_sha, 1 AS distance FROM dl JOIN commits ON sha = commit_sha WHERE previous IS NULL AND parent_sha IS NOT NULL
@@ -139,24 +140,25 @@ def _usage(t):
     """Model usage: suppliers are agents, orders are runs, quantities are units."""
     usage = t.lineitem.select(F.col("l_suppkey").alias("agent"), F.col("l_orderkey").alias("run_id"), F.col("l_quantity").cast("decimal(12,2)").alias("units"),
                               F.col("l_shipdate").alias("at"))
-    prices = t.supplier.select(F.col("s_suppkey").alias("agent"), F.abs("s_acctbal").cast("decimal(12,2)").alias("price"))
+    # One agent in seven is not on the price list.
+    prices = t.supplier.filter("s_suppkey % 7 <> 3").select(F.col("s_suppkey").alias("agent"), F.abs("s_acctbal").cast("decimal(12,2)").alias("price"))
     return usage, prices
 
 
 @query("trd12_usage_cost", """
-SELECT l_suppkey AS agent, l_orderkey AS run_id, sum(l_quantity::DECIMAL(12,2))::DOUBLE AS units, (sum(l_quantity::DECIMAL(12,2)) * (abs(any_value(s_acctbal))::DECIMAL(12,2)))::DOUBLE AS cost
-FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2""")
+SELECT l_suppkey AS agent, l_orderkey AS run_id, sum(l_quantity::DECIMAL(12,2))::DOUBLE AS units, coalesce((sum(l_quantity::DECIMAL(12,2)) * (abs(any_value(s_acctbal))::DECIMAL(12,2)))::DOUBLE, -1) AS cost,
+any_value(s_acctbal) IS NULL AS unpriced FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey AND s_suppkey % 7 <> 3 GROUP BY 1, 2""")
 def usage_cost(t):
-    return trends.usage_cost(*_usage(t)).withColumns({c: F.col(c).cast("double") for c in ("units", "cost")})
+    return trends.usage_cost(*_usage(t)).withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(-1.0)) for c in ("units", "cost")})
 
 
 @query("trd12_cost_trend", """
-SELECT agent, strftime(month, '%Y-%m') AS month, units::DOUBLE AS units, cost::DOUBLE AS cost, (sum(cost) OVER (PARTITION BY agent ORDER BY month))::DOUBLE AS cost_to_date FROM (
+SELECT agent, strftime(month, '%Y-%m') AS month, units::DOUBLE AS units, coalesce(cost::DOUBLE, -1) AS cost, coalesce((sum(cost) OVER (PARTITION BY agent ORDER BY month))::DOUBLE, -1) AS cost_to_date, cost IS NULL AS unpriced FROM (
 SELECT l_suppkey AS agent, date_trunc('month', l_shipdate) AS month, sum(l_quantity::DECIMAL(12,2)) AS units, sum(l_quantity::DECIMAL(12,2)) * (abs(any_value(s_acctbal))::DECIMAL(12,2)) AS cost
-FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)""")
+FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey AND s_suppkey % 7 <> 3 GROUP BY 1, 2)""")
 def cost_trend(t):
     trend = trends.cost_trend(*_usage(t), "at").withColumn("month", F.date_format("month", "yyyy-MM"))
-    return trend.withColumns({c: F.col(c).cast("double") for c in ("units", "cost", "cost_to_date")})
+    return trend.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(-1.0)) for c in ("units", "cost", "cost_to_date")})
 
 
 @query("trd13_gaming_guard", """

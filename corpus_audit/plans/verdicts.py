@@ -33,7 +33,7 @@ def inferred(t):
     rows = i.code_files(t).join(bad, "doc_id", "left_semi").select(
         "path", F.lit("LLM-01").alias("rule_id"), F.lit(1).alias("line_start"), F.lit(4).alias("line_end"),
         F.concat(F.lit("llm:"), "path").alias("finding_id"))
-    return rules.as_findings(rows, axiom=5, severity="warning", message="suspicious", tier="inferred", source="llm", confidence=0.5)
+    return rules.as_findings(rows, axiom=5, severity="warning", message="suspicious", tier="inferred", source="llm", confidence=0.5, run_id="run")
 
 
 def _found_sql(lines: str, hits: str, name: str) -> str:
@@ -272,8 +272,8 @@ def noise_trend(t):
 
 
 @query("fnd18_score_oracle", i.ctes(*BASE, f"""
-ex AS (SELECT DISTINCT path, 'RUL-' || CASE WHEN raw LIKE '%createHash%' THEN '03' ELSE '06' END AS rule_id, line_no + 1 AS line_start FROM cl
-WHERE raw LIKE '%createHash%' OR raw LIKE '%console.log%'),
+ex AS (SELECT DISTINCT path, 'RUL-' || CASE WHEN raw LIKE '%hashlib%' THEN '03' ELSE '06' END AS rule_id, line_no + 1 AS line_start FROM cl
+WHERE raw LIKE '%hashlib%' OR raw LIKE '%console.log%'),
 fo AS (SELECT DISTINCT path, rule_id, line_start FROM fnd WHERE rule_id IN ('RUL-03', 'RUL-06'))""") + """
 SELECT rule_id, tp, found - hit AS fp, total - tp AS fn, round(hit / found, 6) AS precision, round(tp / total, 6) AS recall FROM (
 SELECT rule_id, count(*) AS total, count(*) FILTER (EXISTS (SELECT 1 FROM fo WHERE fo.path = ex.path AND fo.rule_id = ex.rule_id AND abs(fo.line_start - ex.line_start) <= 1)) AS tp FROM ex GROUP BY 1)
@@ -281,7 +281,7 @@ JOIN (SELECT rule_id, count(*) AS found, count(*) FILTER (EXISTS (SELECT 1 FROM
 def score_oracle(t):
     # Labels drift by one line and also name harmless log lines: both are part of the check.
     lines = rules.explode_lines(i.code_files(t).select("path", "text"))
-    kind = F.when(F.col("line").contains("createHash"), "RUL-03").when(F.col("line").contains("console.log"), "RUL-06")
+    kind = F.when(F.col("line").contains("hashlib"), "RUL-03").when(F.col("line").contains("console.log"), "RUL-06")
     expected = lines.select("path", kind.alias("rule_id"), (F.col("line_no") + 1).alias("line_start")).filter("rule_id is not null")
     return findings.score_oracle(rules.scan_rules(i.code_files(t), packs.pack("RUL-03", "RUL-06")), expected)
 
@@ -306,8 +306,8 @@ SELECT path, rule_id, line_start, h IN (SELECT sha256(text) FROM code) AS reused
 def reuse_findings(t):
     base = i.code_files(t)
     scan = lambda files: rules.rule_hits(files, RULES).select("path", "rule_id", "line_start")
-    cache = findings.cache_entries(base, scan(base), "v1")
-    return findings.reuse_findings(i.head_files(t), cache, "v1", scan)
+    cache = findings.cache_entries(base, scan(base), "v1", RULES)
+    return findings.reuse_findings(i.head_files(t), cache, "v1", scan, RULES)
 
 
 @query("fnd22_dashboard", i.ctes(*BOTH, _STATUS) + """

@@ -16,6 +16,9 @@ RUNTIME_SETTINGS = {
 }
 
 
+SINGLE = 2
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the SQL settings the jobs rely on; sizing settings stay the cluster's own."""
     for key, value in RUNTIME_SETTINGS.items():
@@ -57,10 +60,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-bound text work at least one partition per core.
+    """Give CPU-bound text work on a table of one or two files several partitions.
 
-    A corpus in a few unsplittable files would keep most cores idle.  Large inputs already have more
-    splits than cores and pass through without a shuffle.
+    A table that is a single unsplittable file would keep all cores but one idle.  What is in more files than ``SINGLE``
+    passes through as it is, whatever the number of cores, so a large table is never shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) <= SINGLE < cores else df

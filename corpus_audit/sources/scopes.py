@@ -11,12 +11,19 @@ OWN_FOLDER = r"(^|/)\.corpus-audit/"
 GENERATED = (r"\.generated\.", r"\.min\.js$", r"(^|/)node_modules/", r"(^|/)vendor/", r"(^|/)fixtures/")
 
 
-def scan_corpus(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """Every file below a folder of raw text files as (path, text, mtime)."""
+def scan_corpus(spark: SparkSession, folder: str, pattern: str = "*", max_bytes: int = 64 << 20) -> DataFrame:
+    """Every file below a folder of raw text files as (path, text, mtime, reason).
+
+    A file that is no UTF-8 text or larger than ``max_bytes`` has a null text and says why in ``reason``; the content of
+    large files is not loaded.
+    """
     raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
            .option("pathGlobFilter", pattern).load(folder))
-    return raw.select("path", F.decode("content", "UTF-8").alias("text"),
-                      F.col("modificationTime").alias("mtime"))
+    small = raw.filter(F.col("length") <= max_bytes).select(
+        "path", F.try_validate_utf8(F.col("content").cast("string")).alias("text"), F.col("modificationTime").alias("mtime"))
+    large = raw.filter(F.col("length") > max_bytes).select(
+        "path", F.lit(None).cast("string").alias("text"), F.col("modificationTime").alias("mtime"), F.lit("too large").alias("reason"))
+    return small.withColumn("reason", F.when(F.col("text").isNull(), "no UTF-8 text")).unionByName(large)
 
 
 def scan_table(spark: SparkSession, path: str, **renames: str) -> DataFrame:

@@ -9,10 +9,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def write_findings(findings: DataFrame, folder: str) -> None:
-    """Review artifact per scope and run; writing a run again replaces just that run."""
-    (findings.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("scope", "run_id").parquet(folder))
+def write_findings(findings: DataFrame, folder: str, scope: str | None = None, run_id: str | None = None) -> None:
+    """Review artifact per scope and run; writing a run again replaces just that run.
+
+    With ``scope`` and ``run_id`` exactly that run is written, also if it found nothing: an empty partition then takes the
+    place of what an earlier attempt left there.
+    """
+    if scope is None or run_id is None:
+        (findings.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("scope", "run_id").parquet(folder))
+        return
+    own = findings.filter((F.col("scope") == scope) & (F.col("run_id") == run_id)).drop("scope", "run_id")
+    own.write.mode("overwrite").parquet(f"{folder}/scope={scope}/run_id={run_id}")
 
 
 def append_history(records: DataFrame, folder: str) -> None:

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..operators import rules
 from ..operators.packs import Rule
@@ -59,6 +60,25 @@ def latest_rows(batches: DataFrame, keys: list[str]) -> DataFrame:
     return batches.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("r")).select(*keys, "r.*")
 
 
+class _LateRows(StreamingQueryListener):
+    """Sums the rows dropped by the watermark over all batches, however many there are."""
+
+    def __init__(self) -> None:
+        self.late, self.ended = 0, threading.Event()
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        self.late += sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.ended.set()
+
+
 def stream_scan(files: DataFrame, pack: list[Rule], out: str, checkpoint: str) -> StreamingQuery:
     """Scan newly arriving files; the same rule scan as in batch, without state."""
     return write_batches(rules.scan_rules(files, pack), out, checkpoint)
@@ -67,10 +87,14 @@ def stream_scan(files: DataFrame, pack: list[Rule], out: str, checkpoint: str) -
 def stream_ingest(records: DataFrame, at: str, watermark: str, out: str, checkpoint: str) -> tuple[StreamingQuery, int]:
     """Keep each record id once within the watermark; returns how many rows came too late."""
     unique = records.withWatermark(at, watermark).dropDuplicatesWithinWatermark(["record_id"])
-    query = write_batches(unique, out, checkpoint)
-    late = sum(int(op.get("numRowsDroppedByWatermark", 0)) for progress in query.recentProgress
-               for op in progress["stateOperators"])
-    return query, late
+    counter = _LateRows()
+    records.sparkSession.streams.addListener(counter)
+    try:
+        query = write_batches(unique, out, checkpoint)
+        counter.ended.wait(60)
+    finally:
+        records.sparkSession.streams.removeListener(counter)
+    return query, counter.late
 
 
 def stream_counts(findings: DataFrame, at: str, watermark: str, window: str, slide: str | None, out: str,
