@@ -2,9 +2,10 @@
 
 A fingerprint is cut into 32 segments of two bits, and each segment is mapped to its number of set bits.  The Manhattan
 distance of these vectors never exceeds the Hamming distance of the fingerprints, so it is a lower bound.  Two
-fingerprints at most three bits apart are at most one bit apart in one of their halves, and there their vectors are
-equal or differ by one in one segment.  Each fingerprint therefore lies in the grid cell of each half and also shows
-itself in the cells one step above; whoever meets in a cell is within the bound and is then verified exactly.
+fingerprints at most three bits apart are at most one bit apart in one of their halves (at most seven: in one of their
+quarters), and there their vectors are equal or differ by one in one segment.  Each fingerprint therefore lies in the grid
+cell of each part and also shows itself in the cells one step above; whoever meets in a cell is within the bound and is
+then verified exactly.  Wider limits mean smaller parts and fuller cells: seven bits suit tens of millions of texts.
 
 Equal fingerprints are one node.  A crowded cell is cut into blocks of about ``BLOCK`` nodes, blocks meet in tasks of
 their own, and every meeting returns a spanning forest of its links, so the links of a dense group grow with its
@@ -28,6 +29,7 @@ from ..operators.components import components
 from .storage import stored
 
 MAX_BITS = 3
+SEGMENTS = 32
 BLOCK = 1024
 BROADCAST_ROWS = 1_000_000
 PAIR_MASK = 0x55555555
@@ -65,25 +67,33 @@ def fingerprints(text: Column, words_each: int = 3) -> Column:
     return of(text)
 
 
-def _cells(node: Column) -> Column:
-    """Both halves' own cells (``own``) and the cells one step above them."""
+def _parts(max_bits: int) -> list[tuple[int, int]]:
+    """(first segment, segments) of the parts, one of which holds at most one of ``max_bits`` differing bits."""
+    n = max(2, max_bits // 2 + 1)
+    bounds = [SEGMENTS * part // n for part in range(n + 1)]
+    return [(low, high - low) for low, high in zip(bounds, bounds[1:])]
+
+
+def _cells(node: Column, max_bits: int) -> Column:
+    """The own cell of each part (``own``) and the cells one step above it."""
     found = []
-    for half, bits in enumerate((node.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(node, 32))):
+    for part, (first, segments) in enumerate(_parts(max_bits)):
+        bits = F.shiftrightunsigned(node, 2 * first).bitwiseAND(F.lit((1 << (2 * segments)) - 1))
         counts = bits.bitwiseAND(F.lit(PAIR_MASK)) + F.shiftright(bits, 1).bitwiseAND(F.lit(PAIR_MASK))
-        place = F.lit(half << 32)
+        place = F.lit(part << 34)
         found.append(F.array(F.struct((counts + place).alias("cell"), F.lit(True).alias("own"))))
         above = [F.when(F.shiftright(counts, 2 * at).bitwiseAND(F.lit(3)) < 2, F.struct(
-            (counts + place + F.lit(1 << (2 * at))).alias("cell"), F.lit(False).alias("own"))) for at in range(16)]
+            (counts + place + F.lit(1 << (2 * at))).alias("cell"), F.lit(False).alias("own"))) for at in range(segments)]
         found.append(F.array_compact(F.array(*above)))
     return F.concat(*found)
 
 
-def _forest(own: np.ndarray, members: np.ndarray) -> list[tuple[int, int]]:
+def _forest(own: np.ndarray, members: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     """A spanning forest of the links between ``own`` and ``members``."""
     if len(own) * len(members) <= 16:
         return [(int(a), int(b)) for a in own for b in members
-                if a != b and int(np.bitwise_count(np.uint64(a ^ b))) <= MAX_BITS]
-    linked = np.bitwise_count(own[:, None] ^ members[None, :]) <= MAX_BITS
+                if a != b and int(np.bitwise_count(np.uint64(a ^ b))) <= max_bits]
+    linked = np.bitwise_count(own[:, None] ^ members[None, :]) <= max_bits
     links, seen_own, seen_members = [], np.zeros(len(own), bool), np.zeros(len(members), bool)
     for first in range(len(own)):
         if seen_own[first]:
@@ -108,16 +118,18 @@ def _signed(number: int) -> int:
     return number - (1 << 64) if number >> 63 else number
 
 
-@F.pandas_udf(LINKS)
-def _verified(own: pd.Series, members: pd.Series) -> pd.Series:
-    return pd.Series([[(_signed(a), _signed(b)) for a, b in
-                       _forest(np.asarray(x, np.int64).view(np.uint64), np.asarray(y, np.int64).view(np.uint64))]
-                      for x, y in zip(own, members)])
+def _verified(own: Column, members: Column, max_bits: int) -> Column:
+    @F.pandas_udf(LINKS)
+    def of(owners: pd.Series, others: pd.Series) -> pd.Series:
+        return pd.Series([[(_signed(a), _signed(b)) for a, b in _forest(
+            np.asarray(x, np.int64).view(np.uint64), np.asarray(y, np.int64).view(np.uint64), max_bits)]
+            for x, y in zip(owners, others)])
+    return of(own, members)
 
 
-def links(nodes: DataFrame) -> DataFrame:
-    """(a, b): a forest that connects all distinct fingerprints ``node`` with links of at most three bits."""
-    entries = nodes.select("node", F.explode(_cells(F.col("node"))).alias("c")).select("node", "c.cell", "c.own")
+def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(a, b): a forest that connects all distinct fingerprints ``node`` with links of at most ``max_bits`` bits."""
+    entries = nodes.select("node", F.explode(_cells(F.col("node"), max_bits)).alias("c")).select("node", "c.cell", "c.own")
     crowds = (entries.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.count_if("own").alias("n_own"))
               .filter("n_own > 0 AND n > 1").select("cell", F.ceil(F.col("n") / BLOCK).alias("blocks")))
     blocks = (entries.join(crowds, "cell")
@@ -127,33 +139,34 @@ def links(nodes: DataFrame) -> DataFrame:
     blocks = stored(blocks, "cells")
     meetings = (blocks.filter(F.size("owners") > 0).select("cell", "owners")
                 .join(blocks.select("cell", "members"), "cell"))
-    return meetings.select(F.explode(_verified("owners", "members")).alias("l")).select("l.a", "l.b")
+    return meetings.select(F.explode(_verified(F.col("owners"), F.col("members"), max_bits)).alias("l")).select("l.a", "l.b")
 
 
-def _rooted(marked: DataFrame) -> DataFrame:
+def _rooted(marked: DataFrame, max_bits: int) -> DataFrame:
     """(node, first_doc, root) of all distinct fingerprints; the root names the connected group."""
     nodes = stored(marked.groupBy("node").agg(F.min("doc_id").alias("first_doc")), "nodes")
-    roots = components(links(nodes)).withColumnRenamed("component", "root")
+    roots = components(links(nodes, max_bits)).withColumnRenamed("component", "root")
     return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words_each: int = 3) -> DataFrame:
+def grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words_each: int = 3,
+            max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row; the component is named by its smallest doc_id."""
     marked = stored(docs.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text), words_each).alias("node")),
                     "fingerprints")
-    named = _rooted(marked)
+    named = _rooted(marked, max_bits)
     names = named.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     named = named.join(names, "root").select("node", "component_id")
     return (marked.join(named, "node")
             .select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id"))
 
 
-def kept(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words_each: int = 5) -> DataFrame:
+def kept(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words_each: int = 5, max_bits: int = 7) -> DataFrame:
     """``docs`` with one row of every group, the first by doc_id (null last), with all its columns."""
     record = F.struct(*[F.col(f"`{name}`") for name in docs.columns])
     marked = stored(docs.select(record.alias("record"), F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"),
                                 fingerprints(F.col(text), words_each).alias("node")), "fingerprints")
-    placed = marked.select("node", "row", "doc_id").join(_rooted(marked).select("node", "root"), "node")
+    placed = marked.select("node", "row", "doc_id").join(_rooted(marked, max_bits).select("node", "root"), "node")
     place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
     heads = placed.groupBy("root").agg(F.min(place).alias("head")).select("root", "head.row").withColumnRenamed("row", "head")
     dropped = stored(placed.join(heads, "root").filter("row <> head").select("row"), "near-copies")

@@ -71,13 +71,15 @@ def near_texts(n=400, seed=3):
     return list(enumerate(texts[:n]))
 
 
-def test_simhash_groups(spark, monkeypatch):
+@pytest.mark.parametrize("max_bits", [3, 5, 7])
+def test_simhash_groups(spark, monkeypatch, max_bits):
     monkeypatch.setattr(simhash, "BLOCK", 8)
     rows = near_texts()
-    found = {row["doc_id"]: row for row in simhash.grouped(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {row["doc_id"]: row for row in simhash.grouped(docs, max_bits=max_bits).collect()}
     prints = {doc: slow_fingerprint(text) for doc, text in rows}
     assert {doc: int(row["fingerprint"], 16) for doc, row in found.items()} == prints
-    roots = grouped([doc for doc, _ in rows], lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3)
+    roots = grouped([doc for doc, _ in rows], lambda a, b: (prints[a] ^ prints[b]).bit_count() <= max_bits)
     firsts = {}
     for doc in sorted(roots):
         firsts.setdefault(roots[doc], doc)
