@@ -31,6 +31,11 @@ def squeeze(line: Column) -> Column:
     return F.trim(F.regexp_replace(line, r"[ \t\r]+", " "))
 
 
+def squeeze_all(text: Column) -> Column:
+    """Like :func:`squeeze`, for a text of several lines."""
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
 def numbered(lines: Column) -> Column:
     """Array of (line_no, line), 1-based."""
     return F.transform(lines, lambda line, i: F.struct((i + 1).alias("line_no"), line.alias("line")))

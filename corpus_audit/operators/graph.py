@@ -13,13 +13,17 @@ from .pointers import chain_ends
 
 # Kind of edge and the pattern whose first group is the target.
 EDGE_PATTERNS = {
-    "import": r"(?m)^[ \t]*import[ \t](?:[^'\"\n]*[ \t]from[ \t]+)?['\"]([^'\"\n]+)['\"]",
-    "reexport": r"(?m)^[ \t]*export[ \t][^'\"\n]*[ \t]from[ \t]+['\"]([^'\"\n]+)['\"]",
+    "import": r"(?m)^[ \t]*import[ \t]+(?:[A-Za-z0-9_$*, \t]*(?:\{[A-Za-z0-9_$,\s]*\})?[ \t]*from[ \t]+)?['\"]([^'\"\n]+)['\"]",
+    "reexport": r"(?m)^[ \t]*export[ \t]+(?:type[ \t]+)?(?:\{[A-Za-z0-9_$,\s]*\}|\*(?:[ \t]+as[ \t]+[A-Za-z0-9_$]+)?)[ \t]*from[ \t]+['\"]([^'\"\n]+)['\"]",
+    "pyimport": r"(?m)^[ \t]*from[ \t]+([.A-Za-z_][.A-Za-z0-9_]*)[ \t]+import[ \t(]",
     "require": r"\brequire\([ \t]*['\"]([^'\"\n]+)['\"]",
     "dynamic": r"\bimport\([ \t]*['\"]([^'\"\n]+)['\"]",
     "href": r"href=\"([^\"]*)\"",
 }
-SYMBOL_EDGE = r"(?m)^[ \t]*(import|export)[ \t]+(?:type[ \t]+)?\{([^}\n]*)\}[ \t]+from[ \t]+['\"]([^'\"\n]+)['\"]"
+# Statement, default name, braced names, star, target.
+SYMBOL_EDGE = (r"(?m)^[ \t]*(import|export)[ \t]+(?:type[ \t]+)?(?:([A-Za-z_$][A-Za-z0-9_$]*)[ \t]*,?[ \t]*)?(?:\{([A-Za-z0-9_$,\s]*)\}|(\*)[A-Za-z0-9_$ \t]*?)?"
+               r"[ \t]*from[ \t]+['\"]([^'\"\n]+)['\"]")
+PY_SYMBOL_EDGE = r"(?m)^[ \t]*from[ \t]+([.A-Za-z_][.A-Za-z0-9_]*)[ \t]+import[ \t]+(\([^)]*\)|[^\n#;(]+)"
 SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx", ".py", "/index.ts", "/index.tsx", "/index.js", "/__init__.py")
 
 
@@ -32,15 +36,33 @@ def extract_edges(files: DataFrame, kinds: tuple[str, ...] = tuple(EDGE_PATTERNS
     return files.select(F.col("path").alias("src"), F.explode(found).alias("e")).select("src", "e.spec", "e.kind")
 
 
+def _named(listed: Column) -> Column:
+    """(symbol, name) of a list such as ``a, b as c``: the name in the other module and the name here."""
+    entries = F.filter(F.transform(F.split(listed, ",", -1), tx.squeeze_all), lambda n: n != "")
+    return F.transform(entries, lambda n: F.struct(F.regexp_replace(n, r"^type | as .*$", "").alias("symbol"),
+                                                   F.regexp_replace(n, r"^.* as |^type ", "").alias("name")))
+
+
 def extract_symbol_edges(files: DataFrame) -> DataFrame:
-    """(src, spec, kind, symbol): one row per name taken from another module."""
-    statements = F.regexp_extract_all("text", F.lit(SYMBOL_EDGE), F.lit(0))
-    rows = files.select(F.col("path").alias("src"), F.explode(statements).alias("s"))
-    names = F.split(F.regexp_extract("s", SYMBOL_EDGE, 2), ",", -1)
-    cleaned = F.transform(names, lambda n: F.trim(F.regexp_replace(n, r"[ \t]as[ \t].*$", "")))
-    kind = F.when(F.regexp_extract("s", SYMBOL_EDGE, 1) == "import", "import").otherwise("reexport")
-    return rows.select("src", F.regexp_extract("s", SYMBOL_EDGE, 3).alias("spec"), kind.alias("kind"),
-                       F.explode(F.filter(cleaned, lambda n: n != "")).alias("symbol"))
+    """(src, spec, kind, symbol, name): one row per name taken from another module, also over several lines.
+
+    ``symbol`` is the name there and ``name`` the one here.  A default import takes ``default``; a namespace import or
+    ``export *`` takes ``*``.
+    """
+    part = lambda n: F.regexp_extract("s", SYMBOL_EDGE, n)
+    rows = files.select(F.col("path").alias("src"), F.explode(F.regexp_extract_all("text", F.lit(SYMBOL_EDGE), F.lit(0))).alias("s"))
+    pair = lambda symbol, name: F.array(F.struct(F.lit(symbol).alias("symbol"), name.alias("name")))
+    nothing = F.expr("cast(array() as array<struct<symbol:string,name:string>>)")
+    star = F.coalesce(F.nullif(F.regexp_extract("s", r"\*[ \t]+as[ \t]+([A-Za-z_$][A-Za-z0-9_$]*)", 1), F.lit("")), F.lit("*"))
+    taken = F.concat(F.when(part(2) != "", pair("default", part(2))).otherwise(nothing), _named(part(3)),
+                     F.when(part(4) != "", pair("*", star)).otherwise(nothing))
+    kind = F.when(part(1) == "import", "import").otherwise("reexport")
+    script = rows.select("src", part(5).alias("spec"), kind.alias("kind"), F.explode(taken).alias("n"))
+    own = lambda n: F.regexp_extract("s", PY_SYMBOL_EDGE, n)
+    python = (files.select(F.col("path").alias("src"), F.explode(F.regexp_extract_all("text", F.lit(PY_SYMBOL_EDGE), F.lit(0))).alias("s"))
+              .select("src", own(1).alias("spec"), F.lit("pyimport").alias("kind"),
+                      F.explode(_named(F.regexp_replace(own(2), r"[()]", ""))).alias("n")))
+    return script.unionByName(python).select("src", "spec", "kind", "n.symbol", "n.name")
 
 
 def package_of(spec: Column) -> Column:
@@ -59,7 +81,13 @@ def package_imports(edges: DataFrame, aliases: list[tuple[str, str]]) -> DataFra
 def _target(aliases: list[tuple[str, str]]) -> Column:
     """Corpus path an import means, without suffix; null for packages and addresses."""
     spec = F.col("spec")
-    target = F.when(spec.rlike(r"^\.{1,2}(/|$)"), tx.joined_path(tx.parent_dir(F.col("src")), spec))
+    # Python counts folders in dots: one for its own, one more for each above.
+    dots = F.length(F.regexp_extract(spec, r"^(\.*)", 1))
+    module = F.replace(F.regexp_replace(spec, r"^\.*", ""), F.lit("."), F.lit("/"))
+    above = F.concat(F.lit("./"), F.repeat(F.lit("../"), F.greatest(dots - 1, F.lit(0))), module)
+    target = F.when((F.col("kind") == "pyimport") & (dots > 0), tx.joined_path(tx.parent_dir(F.col("src")), above))
+    target = target.when(F.col("kind") == "pyimport", module)
+    target = target.when(spec.rlike(r"^\.{1,2}(/|$)"), tx.joined_path(tx.parent_dir(F.col("src")), spec))
     # Longest prefix first, so overlapping aliases go to the most specific one.
     for prefix, path in sorted(aliases, key=lambda pair: -len(pair[0])):
         target = target.when(spec.startswith(prefix), F.concat(F.lit(path), F.substring(spec, F.lit(len(prefix) + 1), F.length(spec))))
@@ -80,8 +108,12 @@ def resolve_edges(edges: DataFrame, files: DataFrame, aliases: list[tuple[str, s
     found = (targets.select("target", F.explode(candidates).alias("c")).select("target", "c.rank", "c.path")
              .join(files.select("path").distinct(), "path", "left_semi")
              .groupBy("target").agg(F.min_by("path", "rank").alias("dst")))
-    status = aimed.join(found, "target", "left").withColumn(
-        "reason", F.when(F.col("target").isNull(), "external").when(F.col("dst").isNull(), "no such file"))
+    # Edges without a target all share the null key and need no lookup: they pass by the join.
+    outside = aimed.filter("target is null").withColumn("dst", F.lit(None).cast("string"))
+    looked_up = aimed.filter("target is not null").join(found, "target", "left")
+    elsewhere = F.col("target").isNull() | ((F.col("kind") == "pyimport") & F.col("dst").isNull() & ~F.col("spec").startswith("."))
+    status = looked_up.unionByName(outside).withColumn(
+        "reason", F.when(elsewhere, "external").when(F.col("dst").isNull(), "no such file"))
     resolved = status.filter("dst is not null").drop("target", "reason")
     return resolved, status.drop("target")
 
@@ -98,22 +130,53 @@ def coverage(status: DataFrame) -> DataFrame:
 
 def _barrel_ends(reexports: DataFrame) -> DataFrame:
     """(barrel, symbol, target, ring): where each re-exported name is finally defined."""
-    first = reexports.filter("barrel <> target").groupBy("barrel", "symbol").agg(F.min("target").alias("target"))
+    source = F.col("source") if "source" in reexports.columns else F.col("symbol")
+    first = (reexports.filter("barrel <> target").withColumn("source", source)
+             .groupBy("barrel", "symbol").agg(F.min(F.struct("target", "source")).alias("to")))
     ends = chain_ends(first.select(F.struct(F.col("barrel").alias("path"), "symbol").alias("key"),
-                                   F.struct(F.col("target").alias("path"), "symbol").alias("next")))
-    return ends.select(F.col("key.path").alias("barrel"), "key.symbol", F.col("end.path").alias("target"), "ring")
+                                   F.struct(F.col("to.target").alias("path"), F.col("to.source").alias("symbol")).alias("next")))
+    return ends.select(F.col("key.path").alias("barrel"), "key.symbol", F.col("end.path").alias("target"),
+                       F.col("end.symbol").alias("source"), "ring")
+
+
+def ambiguous_reexports(reexports: DataFrame) -> DataFrame:
+    """(barrel, symbol, targets): names that a barrel takes from several modules; only the first by path is followed."""
+    return (reexports.groupBy("barrel", "symbol").agg(F.count_distinct("target").alias("targets")).filter("targets > 1"))
 
 
 def flatten_barrels(edges: DataFrame, reexports: DataFrame) -> DataFrame:
     """Edges (src, dst, symbol) moved from re-exporting files to the defining ones.
 
-    ``reexports(barrel, symbol, target)``; names that are only passed around keep the edge they had.
+    ``reexports(barrel, symbol, target[, source])``: a barrel offers ``symbol``, which is called ``source`` in the target.
+    Names that are only passed around keep the edge they had.
     """
-    ends = _barrel_ends(reexports).filter("not ring").select(F.col("barrel").alias("dst"), "symbol", "target")
+    ends = _barrel_ends(reexports).filter("not ring").select(F.col("barrel").alias("dst"), "symbol", "target", "source")
     return (edges.join(ends, ["dst", "symbol"], "left")
+            .withColumn("symbol", F.coalesce("source", "symbol"))
             .withColumn("dst", F.coalesce("target", "dst")).select(*edges.columns))
 
 
+def expand_stars(reexports: DataFrame, exported: DataFrame) -> DataFrame:
+    """``reexports`` with every ``*`` row replaced by one row for each name its target offers, its own stars included.
+
+    ``exported(path, symbol)`` are the names that files define.  A round passes names on by one barrel.
+    """
+    stars = reexports.filter("symbol = '*'").select("barrel", "target").distinct()
+    plain = reexports.filter("symbol <> '*'").select("barrel", "symbol", "target", "source")
+    offered = cut_lineage(exported.select("path", "symbol").unionByName(plain.select(F.col("barrel").alias("path"), "symbol")).distinct())
+    found = None
+    while True:
+        passed = stars.join(offered.withColumnRenamed("path", "target"), "target").filter("symbol <> 'default' and barrel <> target")
+        fresh = cut_lineage(passed.select(F.col("barrel").alias("path"), "symbol").distinct().join(offered, ["path", "symbol"], "left_anti"))
+        found = passed
+        if fresh.isEmpty():
+            break
+        offered = cut_lineage(offered.unionByName(fresh))
+    own = exported.select(F.col("path").alias("barrel"), "symbol")
+    spread = found.select("barrel", "symbol", "target", F.col("symbol").alias("source")).join(own, ["barrel", "symbol"], "left_anti")
+    return plain.unionByName(spread).distinct()
+
+
 def barrel_rings(reexports: DataFrame) -> DataFrame:
     """(barrel, symbol) of names that no file defines: the re-exports run in a ring."""
     return _barrel_ends(reexports).filter("ring").select("barrel", "symbol")
@@ -153,6 +216,17 @@ def zone_edges(edges: DataFrame, assigned: DataFrame) -> DataFrame:
             .join(zone.select(F.col("path").alias("dst"), F.col("zone").alias("dst_zone")), "dst"))
 
 
+def unzoned_edges(edges: DataFrame, assigned: DataFrame) -> DataFrame:
+    """(src, dst, reason): edges that no boundary rule can judge, because one of their ends has no zone."""
+    zone = assigned.filter("zone is not null").select("path", F.lit(True).alias("zoned"))
+    ends = (_distinct_edges(edges)
+            .join(zone.select(F.col("path").alias("src"), F.col("zoned").alias("s")), "src", "left")
+            .join(zone.select(F.col("path").alias("dst"), F.col("zoned").alias("d")), "dst", "left"))
+    reason = F.when(F.col("s").isNull() & F.col("d").isNull(), "no zone").when(F.col("s").isNull(), "source without zone").when(
+        F.col("d").isNull(), "target without zone")
+    return ends.withColumn("reason", reason).filter("reason is not null").select("src", "dst", "reason")
+
+
 def boundary_breaches(edges: DataFrame, assigned: DataFrame, allowed: DataFrame) -> DataFrame:
     """Edges whose zone pair is not in ``allowed(src_zone, dst_zone)``."""
     return zone_edges(edges, assigned).join(allowed, ["src_zone", "dst_zone"], "left_anti")

@@ -91,12 +91,13 @@ def spec_tier(t):
 
 
 @query("spc08_spec_drift", """
-WITH a AS (SELECT DISTINCT user_id AS spec_id, event_type AS symbol FROM events WHERE ts < TIMESTAMP '2024-01-16'),
-b AS (SELECT DISTINCT user_id AS spec_id, event_type AS symbol FROM events WHERE ts >= TIMESTAMP '2024-01-16')
+WITH a AS (SELECT DISTINCT user_id AS spec_id, event_type || '-' || (regexp_extract(props, '[0-9]+')::INT % 10) AS symbol FROM events WHERE ts < TIMESTAMP '2024-01-16'),
+b AS (SELECT DISTINCT user_id AS spec_id, event_type || '-' || (regexp_extract(props, '[0-9]+')::INT % 10) AS symbol FROM events WHERE ts >= TIMESTAMP '2024-01-16')
 SELECT spec_id, symbol, CASE WHEN b_in IS NULL THEN 'missing' ELSE 'extra' END AS drift FROM (SELECT *, true AS a_in FROM a) FULL OUTER JOIN (SELECT *, true AS b_in FROM b) USING (spec_id, symbol)
 WHERE a_in IS NULL OR b_in IS NULL""")
 def spec_drift(t):
-    rows = t.events.select(F.col("user_id").alias("spec_id"), F.col("event_type").alias("symbol"), "ts")
+    number = F.regexp_extract("props", "[0-9]+", 0).cast("int") % 10
+    rows = t.events.select(F.col("user_id").alias("spec_id"), F.concat_ws("-", "event_type", number.cast("string")).alias("symbol"), "ts")
     return specs.spec_drift(rows.filter("ts < timestamp_ntz'2024-01-16'"), rows.filter("ts >= timestamp_ntz'2024-01-16'"))
 
 

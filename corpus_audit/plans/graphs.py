@@ -115,6 +115,13 @@ def boundary_breaches(t):
     return graph.boundary_breaches(module_edges(t)[0], zoned(t), i.allowed_pairs(t))
 
 
+@query("grf05_unzoned_edges", i.ctes(*GRAPH) + """
+SELECT src, dst, CASE WHEN s.zone IS NULL AND d.zone IS NULL THEN 'no zone' WHEN s.zone IS NULL THEN 'source without zone' ELSE 'target without zone' END AS reason
+FROM e LEFT JOIN zn s ON s.path = src LEFT JOIN zn d ON d.path = dst WHERE s.zone IS NULL OR d.zone IS NULL""")
+def unzoned_edges(t):
+    return graph.unzoned_edges(module_edges(t)[0], zoned(t))
+
+
 _REACH = "reach AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM reach r JOIN e ON e.src = r.dst)"
 
 
