@@ -214,9 +214,15 @@ def enforceable(ledger: DataFrame, toggles: DataFrame) -> DataFrame:
 def check_naming(entities: DataFrame, naming: DataFrame) -> DataFrame:
     """(entity, kind, expected): names that do not fit the shape the ledger asks of their kind.
 
-    ``naming(kind, shape)`` holds one regular expression per kind.
+    ``naming(kind, shape)`` holds one regular expression per kind.  It is configuration and comes to the driver, so that every
+    pattern is compiled once and not for every row.
     """
-    return entities.join(naming, "kind").filter(~F.expr("name rlike shape")).select("entity", "kind", F.col("shape").alias("expected"))
+    expected = None
+    for row in naming.select("kind", "shape").distinct().collect():
+        broken = (F.col("kind") == row["kind"]) & ~F.col("name").rlike(row["shape"])
+        expected = F.when(broken, F.lit(row["shape"])) if expected is None else expected.when(broken, F.lit(row["shape"]))
+    expected = F.lit(None).cast("string") if expected is None else expected
+    return entities.select("entity", "kind", expected.alias("expected")).filter("expected is not null")
 
 
 def check_import_source(edges: DataFrame, banned: DataFrame) -> DataFrame:
@@ -228,10 +234,13 @@ def check_import_source(edges: DataFrame, banned: DataFrame) -> DataFrame:
 def check_registry(files: DataFrame, registry: DataFrame) -> DataFrame:
     """(path, line_start, primitive, component): raw primitives where a house component exists.
 
-    Distinct tokens per line meet ``registry(primitive, component)`` in an equi join.
+    ``registry(primitive, component)`` is configuration: its primitives become a literal, and only tokens among them leave
+    their line.
     """
+    names = [row["primitive"] for row in registry.select("primitive").distinct().orderBy("primitive").collect()]
     lines = rules.explode_lines(files.select("path", "text"))
-    tokens = F.array_distinct(F.regexp_extract_all(tx.strip_comment(F.col("line")), F.lit(r"</?[A-Za-z]+|[A-Za-z_.]+\("), F.lit(0)))
+    tokens = F.regexp_extract_all(tx.strip_comment(F.col("line")), F.lit(r"</?[A-Za-z]+|[A-Za-z_.]+\("), F.lit(0))
+    tokens = F.array_intersect(tokens, F.array(*map(F.lit, names)).cast("array<string>"))
     used = lines.select("path", F.col("line_no").alias("line_start"), F.explode(tokens).alias("primitive"))
     return used.join(registry.select("primitive", "component"), "primitive")
 
@@ -239,13 +248,16 @@ def check_registry(files: DataFrame, registry: DataFrame) -> DataFrame:
 def placement_leak(fan_in: DataFrame, files: DataFrame, vocabulary: DataFrame, q: float = 0.9) -> DataFrame:
     """(module, fan_in, terms): widely used modules that speak domain language.
 
-    ``vocabulary(term)``; the quantile comes from counts per distinct fan-in.
+    ``vocabulary(term)`` is configuration; its terms are counted in the file's own row, so no text moves.  The quantile comes
+    from counts per distinct fan-in and is one number.
     """
-    bar = zone_quantile(fan_in.withColumn("_all", F.lit(1)), "fan_in", q, "_bar", zone="_all")
-    wide = fan_in.withColumn("_all", F.lit(1)).join(bar, "_all").filter(F.col("fan_in") >= F.col("_bar")).select("module", "fan_in")
-    terms = (files.join(wide, files.path == wide.module).select("module", "fan_in", F.explode(F.array_distinct(tx.words(F.col("text")))).alias("term"))
-             .join(vocabulary.select("term").distinct(), "term", "left_semi"))
-    return terms.groupBy("module", "fan_in").agg(F.count(F.lit(1)).alias("terms"))
+    histogram = fan_in.groupBy("fan_in").agg(F.count(F.lit(1)).alias("n"))
+    bar = histogram.agg(F.percentile("fan_in", F.lit(q), F.col("n")).alias("bar")).first()["bar"]
+    words = [row["term"] for row in vocabulary.select("term").distinct().orderBy("term").collect()]
+    found = F.size(F.array_intersect(tx.words(F.col("text")), F.array(*map(F.lit, words)).cast("array<string>")))
+    terms = files.select("path", found.cast("bigint").alias("terms")).filter("terms > 0")
+    wide = fan_in.filter(F.col("fan_in") >= F.lit(bar)).select("module", "fan_in")
+    return wide.join(terms, wide.module == terms.path).select("module", "fan_in", "terms")
 
 
 def placement_layer(files: DataFrame, assigned: DataFrame, factor: float = 2.0, role: str = "thin") -> DataFrame:

@@ -258,6 +258,10 @@ def score_series(scored: DataFrame) -> DataFrame:
     return scored.select("branch", "axiom", "run_id", "record_id", "score").orderBy("branch", "axiom", "run_id", "record_id")
 
 
+# Pieces that one ordered computation is cut into.
+PIECES = 256
+
+
 def moving_scores(scored: DataFrame, k: int, keys: list[str] = ("axiom",), order: list[str] = ("run_id", "record_id"),
                   bucket: Column | None = None) -> DataFrame:
     """Add the mean over the last ``k`` + 1 scores and the mean so far, per axis.
@@ -267,8 +271,12 @@ def moving_scores(scored: DataFrame, k: int, keys: list[str] = ("axiom",), order
     """
     keys, order = list(keys), list(order)
     exact = F.col("score").cast("decimal(18,6)")
-    bucket = F.floor(F.col(order[0]) / 65536) if bucket is None else bucket
     scored = cut_lineage(scored)
+    if bucket is None:
+        # Pieces follow the quantiles of the order, so they are alike in size whatever the ids are: dense numbers, times or hashes.
+        shares = F.array(*[F.lit(n / PIECES) for n in range(1, PIECES)])
+        bounds = scored.agg(F.percentile_approx(order[0], shares, 10 * PIECES).alias("b")).first()["b"] or []
+        bucket = F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda b: b < F.col(order[0]))) if bounds else F.lit(0)
     ranked = ordered.with_rank(scored, keys, order, bucket, "_rank")
     moving = ordered.over_last_rows(ranked, keys, "_rank", k, {"_near": F.sum(exact)})
     running = ordered.with_running_sum(moving, keys, ["_rank"], F.floor(F.col("_rank") / 65536), exact, "_sum")

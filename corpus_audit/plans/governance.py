@@ -266,10 +266,10 @@ def check_import_source(t):
 
 
 @query("cnv20_check_registry", i.ctes(i.CODE_LINES_SQL) + r"""
-SELECT DISTINCT path, line_no AS line_start, tok AS primitive, CASE tok WHEN '<button' THEN 'Button' WHEN '<li' THEN 'ListItem' ELSE 'useTimer' END AS component FROM (
-SELECT path, line_no, unnest(regexp_extract_all(line, '</?[A-Za-z]+|[A-Za-z_.]+\(')) AS tok FROM sl) WHERE tok IN ('<button', '<li', 'setInterval(')""")
+SELECT DISTINCT path, line_no AS line_start, tok AS primitive, CASE tok WHEN '<button' THEN 'Button' WHEN '<td' THEN 'Cell' ELSE 'useTimer' END AS component FROM (
+SELECT path, line_no, unnest(regexp_extract_all(line, '</?[A-Za-z]+|[A-Za-z_.]+\(')) AS tok FROM sl) WHERE tok IN ('<button', '<td', 'setInterval(')""")
 def check_registry(t):
-    registry = t.spark.createDataFrame([("<button", "Button"), ("<li", "ListItem"), ("setInterval(", "useTimer")], "primitive string, component string")
+    registry = t.spark.createDataFrame([("<button", "Button"), ("<td", "Cell"), ("setInterval(", "useTimer")], "primitive string, component string")
     return conventions.check_registry(i.code_files(t), registry)
 
 

@@ -24,7 +24,7 @@ def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared one the cluster names; a temporary one only in local mode."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         shared = tempfile.mkdtemp(prefix="corpus-audit-stream-")
     return os.path.join(shared, f"{name}-{uuid.uuid4().hex}")
