@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@functools.cache
+def _test_folder() -> str:
+    return tempfile.mkdtemp(prefix="corpus-audit-")
+
+
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A new path below ``spark.checkpoint.dir``; tests in local mode get a temporary folder where that is unset."""
     context = spark.sparkContext
@@ -15,8 +21,7 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     if not base:
         if not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="corpus-audit-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _test_folder()
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
