@@ -166,10 +166,12 @@ def kept(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words_each
     record = F.struct(*[F.col(f"`{name}`") for name in docs.columns])
     marked = stored(docs.select(record.alias("record"), F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"),
                                 fingerprints(F.col(text), words_each).alias("node")), "fingerprints")
-    placed = marked.select("node", "row", "doc_id").join(_rooted(marked, max_bits).select("node", "root"), "node")
-    place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
-    heads = placed.groupBy("root").agg(F.min(place).alias("head")).select("root", "head.row").withColumnRenamed("row", "head")
-    dropped = stored(placed.join(heads, "root").filter("row <> head").select("row"), "near-copies")
+    # Rows are counted in by fingerprint before groups come in, so that a large group of copies is one row from then on.
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("row"))
+    firsts = marked.groupBy("node").agg(F.min(place).alias("first")).join(_rooted(marked, max_bits).select("node", "root"), "node")
+    heads = firsts.groupBy("root").agg(F.min("first").alias("head"))
+    heads = firsts.join(heads, "root").select("node", F.col("head.row").alias("head"))
+    dropped = stored(marked.select("node", "row").join(heads, "node").filter("row <> head").select("row"), "near-copies")
     if dropped.count() <= BROADCAST_ROWS:
         dropped = F.broadcast(dropped)
     return marked.join(dropped, "row", "left_anti").select(*[F.col(f"record.`{name}`").alias(name) for name in docs.columns])
