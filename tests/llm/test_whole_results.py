@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from corpus_audit.llm import passages
+from corpus_audit.llm import decontaminate, passages
 
 
 @pytest.mark.parametrize("between", [250, 600, 1500])
@@ -34,3 +34,37 @@ def test_chains_take_the_best_predecessor_within_the_gap():
         path = passages.chain(a, b)[0]
         gained = passages.SEED * len(path) - passages.GAP_COST * (a[path[-1]] - a[path[0]] + b[path[-1]] - b[path[0]]) / 2
         assert gained == pytest.approx(score.max())
+
+
+ITEMS = {
+    1: "Compute 12 + 7 * 3 - 4 for 5 m and 6 kg",
+    2: "Who wrote Hamlet?",
+    3: "水的沸点是多少度",
+    4: "น้ำเดือดที่กี่องศา",
+    5: " ".join(f"{a} + {a + 1} = {2 * a + 1}" for a in range(10, 30)),
+    6: "甲車出發，乙車等候，丙車回家，丁車停下，戊車跟隨，己車先行",
+    7: "Anna paid 3 kg, 4 m, 5 s, 6 kg for the red boat and for the blue cart of Peter",
+    8: "Yes",
+}
+
+
+def test_short_items_and_items_of_placeholders_are_found_verbatim(spark):
+    around = {3: "大家都知道{}請回答", 4: "คำถาม{}ครับ", 6: "問題如下{}然後呢"}
+    docs = [(item, around.get(item, "Some people ask: {} And nobody knows.").format(text)) for item, text in ITEMS.items()]
+    docs += [(11, "Compute 12 - 7 + 3 * 4 for 5 m and 6 kg"), (12, "Who wrote this? Hamlet did."), (13, "水的沸點"),
+             (14, ITEMS[5].replace("20 + 21", "20 + 22")), (None, "who wrote   hamlet"), (15, "Yes, yes and yes")]
+    rows = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"),
+                               spark.createDataFrame(list(ITEMS.items()), "item_id long, text string")).collect()
+    found = {(row["doc_id"], row["item_id"]) for row in rows}
+    assert found - {(11, 1)} == {(item, item) for item in range(1, 8)} | {(None, 2)}
+    assert len(found) == len(rows)
+
+
+def test_only_comparable_windows_count_as_an_items_windows(spark):
+    item = "take 1 2 3 4 5 6 7 8 9 and then add them up one by one"
+    docs = [(1, f"Now {item} again")]
+    row, = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"),
+                               spark.createDataFrame([(9, item)], "item_id long, text string")).collect()
+    tokens = decontaminate.template_tokens(item)
+    comparable = sum(sum(decontaminate.canonical(token) != token for token in tokens[at:at + 5]) <= 3 for at in range(len(tokens) - 4))
+    assert row["n_windows"] == comparable < len(tokens) - 4 and row["coverage"] == 1.0
