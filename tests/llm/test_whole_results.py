@@ -5,6 +5,8 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
+from cases import PROSE, documents
 from corpus_audit.llm import decontaminate, passages
 
 
@@ -68,3 +70,15 @@ def test_only_comparable_windows_count_as_an_items_windows(spark):
     tokens = decontaminate.template_tokens(item)
     comparable = sum(sum(decontaminate.canonical(token) != token for token in tokens[at:at + 5]) <= 3 for at in range(len(tokens) - 4))
     assert row["n_windows"] == comparable < len(tokens) - 4 and row["coverage"] == 1.0
+
+
+def test_clean_rows_stay_whatever_rows_share_their_id(spark, tmp_path):
+    spark.createDataFrame([(1, PROSE)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    half = len(PROSE.split()) // 2
+    docs = documents(spark, [(1, f"so {PROSE}", "en", "a"), (1, "clean under the same id", "en", "a"), (None, PROSE, None, "b"),
+                             (None, "clean and without an id", None, "b"), (None, None, None, None), (2, "clean", "en", "c"),
+                             (3, " ".join(PROSE.split()[:7]), "en", "c"), (3, " ".join(PROSE.split()[half:half + 7]), "en", "c")])
+    kept = corpus_pipeline.drop_benchmark_leaks(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    assert sorted((row["doc_id"] or 0, row["text"] or "") for row in kept.collect()) == sorted(
+        (row["doc_id"] or 0, row["text"] or "") for row in docs.collect() if PROSE not in (row["text"] or ""))
