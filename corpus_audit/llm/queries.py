@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import decontaminate, language, lines, mixing, passages, quality, sharding, simhash, tokens, toxicity
+from . import bpe, decontaminate, language, lines, mixing, passages, quality, sharding, simhash, tokens, toxicity
 from .storage import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,10 +24,10 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def vocabulary() -> str:
-    """The byte-level vocabulary of 50,257 ids among the installed public tokenizers."""
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """The file of one of the installed public tokenizers."""
     import public_tokenizers
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -167,3 +167,14 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages that different documents share, and documents that are copies."""
     return passages.repeated(table(spark, sf_dir, "documents"))
+
+
+@query("op13_byte_bpe")
+def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of the bytes they decode to."""
+    import public_tokenizers
+    ranks, pattern = vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    ids = bpe.encoded(table(spark, sf_dir, "documents"), ranks, pattern)
+    return bpe.decoded(ids, ranks, pattern).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
