@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import bpe, decontaminate, language, lines, mixing, passages, quality, sharding, simhash, tokens, toxicity
-from .storage import shared_folder
+from . import bpe, conversations, decontaminate, language, lines, mixing, passages, quality, sharding, simhash, tokens, toxicity
+from .storage import shared_folder, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -178,3 +178,20 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decoded(ids, ranks, pattern).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op12_conversation_repair")
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest repair and digest of the repaired rows of every damaged conversation."""
+    given = table(spark, sf_dir, "conversations")
+    turns = conversations.damaged(given)
+    planned = stored(conversations.plans(turns), "plans")
+    digests = conversations.digests(conversations.repaired(turns, planned))
+    found = (given.select(F.col("conv_id").alias("id")).distinct()
+             .join(planned, F.col("id").eqNullSafe(F.col("conv_id")), "left").drop("conv_id")
+             .join(digests, F.col("id").eqNullSafe(F.col("conv_id")), "left").drop("conv_id"))
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return found.select(
+        F.col("id").alias("conv_id"), *[F.coalesce(name, F.lit(0).cast("long")).alias(name) for name in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.lit(conversations.EMPTY_SHA256)).alias("repaired_sha256"))
