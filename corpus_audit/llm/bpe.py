@@ -33,12 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .memory import Recent
 from .tokens import irregular
 
-KNOWN_WORDS, KNOWN_PIECES = 250_000, 400_000
+KNOWN_WORDS, KNOWN_PIECES = 100_000, 120_000
 LONG_PIECE = 256
-MAX_ROWS = 400_000
-TEXT_SLICE = 4 << 20
+MAX_ROWS = 250_000
+TEXT_SLICE = 2 << 20
 UNIT = re.compile(r"\n| ?[^ \n]+")
 ENCODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.BinaryType())])
 DECODED = T.StructType([*ENCODED.fields, T.StructField("decoded", T.BinaryType())])
@@ -118,8 +119,7 @@ class Codec:
         self._load("merges", merges_of(self.ranks))
         self._load("vocabulary", pa.table({"id": pa.array(self.ranks.values(), pa.int32()),
                                            "hex": [token.hex() for token in self.ranks]}))
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words, self.pieces = Recent(KNOWN_WORDS), Recent(KNOWN_PIECES)
 
     def _load(self, name: str, rows: pa.Table) -> None:
         self.con.register("given", rows)
@@ -161,16 +161,16 @@ class Codec:
 
         def close():
             if batch:
-                self.pieces.update(zip([piece for piece, _ in batch], self._contract([raw for _, raw in batch])))
+                self.pieces.learn(zip([piece for piece, _ in batch], self._contract([raw for _, raw in batch])))
 
         for piece in pieces:
             raw = piece.encode("utf-8")
             if raw in self.ranks:
-                self.pieces[piece] = np.array([self.ranks[raw]], "<u4").tobytes()
+                self.pieces.now[piece] = np.array([self.ranks[raw]], "<u4").tobytes()
             elif len(raw) > LONG_PIECE:
-                self.pieces[piece] = self._contract_long(raw)
+                self.pieces.now[piece] = self._contract_long(raw)
             else:
-                if held + len(raw) > MAX_ROWS // 4:
+                if held + len(raw) > MAX_ROWS // 2:
                     close()
                     batch, held = [], 0
                 batch.append((piece, raw))
@@ -179,16 +179,13 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of every text as little-endian unsigned 32-bit integers."""
-        if len(self.words) > KNOWN_WORDS:
-            self.words = {}
-        if len(self.pieces) > KNOWN_PIECES:
-            self.pieces, self.words = {}, {}
         cut = [None if irregular(text) else UNIT.findall(text) for text in texts]
-        unknown = {word: self.pieces_of(word) for word in set().union(*filter(None, cut)) - self.words.keys()}
+        unknown = {word: self.pieces_of(word) for word in self.words.unknown(set().union(*filter(None, cut)))}
         whole = [self.pieces_of(text) if units is None else () for text, units in zip(texts, cut)]
-        self._learn(set().union(*unknown.values(), *whole) - self.pieces.keys())
-        of_piece, of_word = self.pieces.__getitem__, self.words.__getitem__
-        self.words.update((word, b"".join(map(of_piece, pieces))) for word, pieces in unknown.items())
+        self._learn(self.pieces.unknown(set().union(*unknown.values(), *whole)))
+        of_piece = self.pieces.now.__getitem__
+        self.words.learn((word, b"".join(map(of_piece, pieces))) for word, pieces in unknown.items())
+        of_word = self.words.now.__getitem__
         return [b"".join(map(of_piece, pieces) if units is None else map(of_word, units)) for units, pieces in zip(cut, whole)]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:

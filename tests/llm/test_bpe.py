@@ -62,11 +62,14 @@ def test_both_contractions_agree(codec):
         assert codec._contract_long(piece) == next(iter(codec._contract([piece])))
 
 
-def test_forgetting_changes_nothing(codec, library, monkeypatch):
-    monkeypatch.setattr(bpe, "KNOWN_WORDS", 3)
-    monkeypatch.setattr(bpe, "KNOWN_PIECES", 3)
-    for text in ("one two three four five", "two three six", "one two"):
-        same(codec, library, [text])
+def test_forgetting_changes_nothing(library, monkeypatch):
+    monkeypatch.setattr(bpe, "KNOWN_WORDS", 2)
+    monkeypatch.setattr(bpe, "KNOWN_PIECES", 2)
+    with open(RANKS, "rb") as file:
+        forgetful = bpe.Codec(file.read(), PATTERN)
+    for text in ("one two three four five", "two three six", "one two", "seven eight nine ten", "two six seven", "two six seven"):
+        same(forgetful, library, [text])
+    assert len(forgetful.words.before) + len(forgetful.words.now) < 12
 
 
 def test_unknown_ids_are_an_error(codec):
