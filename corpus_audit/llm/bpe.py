@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from .memory import Recent
 from .tokens import irregular
 
-KNOWN_WORDS, KNOWN_PIECES = 100_000, 120_000
+KNOWN_WORDS, KNOWN_PIECES = 150_000, 180_000
 LONG_PIECE = 256
 MAX_ROWS = 250_000
 TEXT_SLICE = 2 << 20
@@ -225,11 +225,12 @@ def codec(content: bytes, pattern: str) -> Codec:
     return Codec(content, pattern)
 
 
-def _sizes(column: pa.Array) -> list[int]:
+def sizes_of(column: pa.Array) -> list[int]:
+    """The bytes of every text or binary value."""
     return pc.fill_null(pc.binary_length(column), 0).to_pylist()
 
 
-def _slices(sizes: list[int], most: int) -> Iterator[slice]:
+def slices(sizes: list[int], most: int) -> Iterator[slice]:
     """Runs of rows with at most ``most`` together, or of a single row."""
     start, held = 0, 0
     for at, size in enumerate(sizes):
@@ -249,7 +250,7 @@ def encoded(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text",
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = codec(content.value, pattern)
         for batch in batches:
-            for part in _slices(_sizes(batch["text"]), TEXT_SLICE):
+            for part in slices(sizes_of(batch["text"]), TEXT_SLICE):
                 texts = [value or "" for value in batch["text"][part].to_pylist()]
                 yield pa.record_batch({"doc_id": batch["doc_id"][part], "ids": pa.array(work.encode(texts), pa.binary())})
 
@@ -264,7 +265,7 @@ def decoded(rows: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = codec(content.value, pattern)
         for batch in batches:
-            for part in _slices(_sizes(batch["ids"]), TEXT_SLICE):
+            for part in slices(sizes_of(batch["ids"]), TEXT_SLICE):
                 ids = batch["ids"][part]
                 found = pa.array(work.decode([value or b"" for value in ids.to_pylist()]), pa.binary())
                 yield pa.record_batch({"doc_id": batch["doc_id"][part], "ids": ids, "decoded": found})

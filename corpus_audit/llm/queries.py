@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import bpe, conversations, decontaminate, language, lines, mixing, passages, quality, sharding, simhash, tokens, toxicity
+from . import alignment, bpe, conversations, decontaminate, language, lines, mixing, passages, quality, sharding, simhash, tokens, toxicity
 from .storage import shared_folder, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,3 +195,11 @@ def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("conv_id"), *[F.coalesce(name, F.lit(0).cast("long")).alias(name) for name in counts],
         F.coalesce("audit", F.lit("")).alias("audit"),
         F.coalesce("repaired_sha256", F.lit(conversations.EMPTY_SHA256)).alias("repaired_sha256"))
+
+
+@query("op11_tokenizer_alignment")
+def tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two vocabularies meet in every document, with the corpus's counts of their links."""
+    a, b = vocabulary(), vocabulary("piece_bpe_32k.model")
+    found = alignment.scored(alignment.chunks(table(spark, sf_dir, "documents"), a, b), a, b)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
