@@ -11,8 +11,9 @@ second query, which contracts all places of the least rank at once, left to righ
 must be one whose later merges all rank behind it.  Both ask for ``MAX_ROWS`` rows at a time.  What a worker knows of words
 and pieces is a bounded memory for speed; it changes no result.
 
-Decoding joins rows (text, place, id) with the bytes of the ids and aggregates them in the order of the places.  Texts of
-many ids are cut into spans, so that no query grows with the length of a text.
+Decoding cuts sequences of ids in front of ids that open with a blank or a line end, and after ``MAX_ROWS`` ids at the latest.
+Runs a worker has not met become rows (run, place, id); they are joined with the bytes of the ids and aggregated in the
+order of the places.  No query grows with the length of a text.
 
 Defined cases: null and empty texts have no ids and decode to no bytes; rows without doc_id and repeated rows give a row
 each; an empty table gives an empty result.  Only the named columns are read.  An id outside the vocabulary cannot be
@@ -83,7 +84,7 @@ SELECT round, list(id ORDER BY place) AS ids FROM steps WHERE round = (SELECT ma
 """
 
 DECODE = """
-SELECT span, string_agg(hex, '' ORDER BY place) AS hex, count(*) AS n FROM ids_of_spans JOIN vocabulary USING (id) GROUP BY span ORDER BY span
+SELECT run, string_agg(hex, '' ORDER BY place) AS hex FROM ids_of_runs JOIN vocabulary USING (id) GROUP BY run ORDER BY run
 """
 
 
@@ -119,7 +120,10 @@ class Codec:
         self._load("merges", merges_of(self.ranks))
         self._load("vocabulary", pa.table({"id": pa.array(self.ranks.values(), pa.int32()),
                                            "hex": [token.hex() for token in self.ranks]}))
-        self.words, self.pieces = Recent(KNOWN_WORDS), Recent(KNOWN_PIECES)
+        self.exists, self.opens = np.zeros((2, max(self.ranks.values()) + 1), dtype=bool)
+        self.exists[list(self.ranks.values())] = True
+        self.opens[[rank for token, rank in self.ranks.items() if token[:1] in (b" ", b"\n")]] = True
+        self.words, self.pieces, self.runs = Recent(KNOWN_WORDS), Recent(KNOWN_PIECES), Recent(KNOWN_WORDS)
 
     def _load(self, name: str, rows: pa.Table) -> None:
         self.con.register("given", rows)
@@ -188,36 +192,32 @@ class Codec:
         of_word = self.words.now.__getitem__
         return [b"".join(map(of_piece, pieces) if units is None else map(of_word, units)) for units, pieces in zip(cut, whole)]
 
+    def _join(self, runs: list[bytes]) -> Iterator[bytes]:
+        """The bytes behind runs of ids, in their order."""
+        lengths = np.array([len(run) // 4 for run in runs])
+        flat = np.frombuffer(b"".join(runs), "<u4").astype(np.int32)
+        starts = np.cumsum(lengths) - lengths
+        rows = pa.table({"run": np.repeat(np.arange(len(runs), dtype=np.int32), lengths),
+                         "place": (np.arange(len(flat)) - np.repeat(starts, lengths)).astype(np.int32), "id": flat})
+        return map(bytes.fromhex, self._ask(DECODE, "ids_of_runs", rows)["hex"].to_pylist())
+
+    def _cut(self, ids: bytes) -> list[bytes]:
+        numbers = np.frombuffer(ids, "<u4")
+        if len(numbers) and (numbers.max() >= len(self.opens) or not self.exists[numbers].all()):
+            raise ValueError("an id is not in the vocabulary")
+        cuts = np.flatnonzero(self.opens[numbers[1:]]) + 1
+        if len(numbers) > MAX_ROWS:
+            cuts = np.union1d(cuts, np.arange(MAX_ROWS, len(numbers), MAX_ROWS))
+        ends = (4 * cuts).tolist()
+        return [ids[start:end] for start, end in zip([0, *ends], [*ends, len(ids)])] if ids else []
+
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """The bytes behind every sequence of ids."""
-        decoded: list[list[bytes]] = [[] for _ in ids]
-        spans, owners, held = [], [], 0
-
-        def close():
-            lengths = np.array([len(span) for span in spans])
-            flat = np.concatenate(spans)
-            starts = np.cumsum(lengths) - lengths
-            rows = pa.table({"span": np.repeat(np.arange(len(spans), dtype=np.int32), lengths),
-                             "place": (np.arange(len(flat)) - np.repeat(starts, lengths)).astype(np.int32), "id": flat.astype(np.int64)})
-            found = self._ask(DECODE, "ids_of_spans", rows)
-            if found["n"].to_numpy().sum() != len(flat):
-                raise ValueError("an id is not in the vocabulary")
-            for owner, piece in zip(owners, found["hex"].to_pylist()):
-                decoded[owner].append(bytes.fromhex(piece))
-
-        for owner, sequence in enumerate(ids):
-            numbers = np.frombuffer(sequence, "<u4")
-            for start in range(0, len(numbers), MAX_ROWS):
-                span = numbers[start:start + MAX_ROWS]
-                if spans and held + len(span) > MAX_ROWS:
-                    close()
-                    spans, owners, held = [], [], 0
-                spans.append(span)
-                owners.append(owner)
-                held += len(span)
-        if spans:
-            close()
-        return [b"".join(parts) for parts in decoded]
+        cut = [self._cut(sequence) for sequence in ids]
+        unknown = list(self.runs.unknown(set().union(*cut)))
+        for part in slices([len(run) // 4 for run in unknown], MAX_ROWS):
+            self.runs.learn(zip(unknown[part], self._join(unknown[part])))
+        return [b"".join(map(self.runs.now.__getitem__, runs)) for runs in cut]
 
 
 @functools.lru_cache(maxsize=2)
