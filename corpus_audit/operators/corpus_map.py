@@ -33,7 +33,8 @@ def build_map(files: DataFrame, edges: DataFrame, history: DataFrame, assigned:
 def refresh_map(old: DataFrame, files: DataFrame, derive: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Map of the current files where only new and changed ones are derived again.
 
-    ``derive`` gets the changed files and returns map rows; ``refreshed`` marks them.
+    ``derive`` gets the changed files and returns map rows; ``refreshed`` marks them.  Counts of unchanged entities stay as
+    they were; :func:`refresh.refresh` moves them too.
     """
     hashes = files.select(F.col("path").alias("entity"), content_hash(F.col("text")).alias("hash"))
     kept = old.join(hashes, ["entity", "hash"], "left_semi").withColumn("refreshed", F.lit(False))

@@ -248,29 +248,44 @@ def noise_trend(noise_by_detector: DataFrame) -> DataFrame:
     return noise_by_detector.select("step", "noise", F.coalesce(F.col("noise") > previous, F.lit(False)).alias("rose"))
 
 
+def matched(found: Column, labels: Column, tolerance: int) -> Column:
+    """Size of a maximum matching of two arrays of distinct lines, a finding and a label at most ``tolerance`` apart.
+
+    One sweep over both in order.  Those that wait are all of one kind; one of the other kind takes the earliest that is
+    near enough.  Windows are all equally wide, so the earliest is never a worse choice than a later one.
+    """
+    lines = lambda column, kind: F.transform(column, lambda line: F.struct(line.alias("line"), F.lit(kind).alias("kind")))
+    state = F.expr("named_struct('kind', 0, 'waiting', cast(array() as array<int>), 'pairs', cast(0 as bigint))")
+
+    def see(seen: Column, item: Column) -> Column:
+        near = F.filter(seen.waiting, lambda line: line >= item.line - tolerance)
+        met = (seen.kind != item.kind) & (F.size(near) > 0)
+        queue = F.when(met, F.slice(near, 2, F.greatest(F.size(near), F.lit(1)))).when(
+            seen.kind == item.kind, F.concat(near, F.array(item.line))).otherwise(F.array(item.line))
+        return F.struct(F.when(met, seen.kind).otherwise(item.kind).alias("kind"), queue.alias("waiting"),
+                        (seen.pairs + F.when(met, F.lit(1)).otherwise(F.lit(0))).cast("bigint").alias("pairs"))
+
+    both = F.array_sort(F.concat(lines(found, 1), lines(labels, 2)))
+    return F.aggregate(both, state, see, lambda seen: seen.pairs)
+
+
 def score_oracle(found: DataFrame, expected: DataFrame, tolerance: int = 1, by: list[str] = ("rule_id",)) -> DataFrame:
-    """True and false positives, misses, precision and recall against labelled rows.
+    """True and false positives, misses, precision and recall against labelled rows, one to one.
 
-    Rows are (path, rule_id, line_start).  A label is met by a finding of the same file and rule at most
-    ``tolerance`` lines away; each label looks at the 2 * tolerance + 1 line numbers around it.
+    Rows are (path, rule_id, line_start).  A finding meets one label of the same file and rule at most ``tolerance`` lines
+    away, and a label one finding; as many pairs are formed as possible.  The lines of one file and rule are one row.
     """
-    spots = found.select("path", "rule_id", "line_start").distinct()
-    labels = expected.select("path", "rule_id", "line_start").distinct()
-    near = F.explode(F.sequence(F.col("line_start") - tolerance, F.col("line_start") + tolerance))
-    met = (labels.select("path", "rule_id", F.col("line_start").alias("label"), near.alias("line_start"))
-           .join(spots, ["path", "rule_id", "line_start"]))
+    sides = [rows.select("path", "rule_id", F.col("line_start").cast("int").alias("line"), F.lit(kind).alias("kind")).distinct()
+             for rows, kind in ((found, 1), (expected, 2))]
+    lines = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.col("line")))
+    spots = sides[0].unionByName(sides[1]).groupBy("path", "rule_id").agg(lines(1).alias("found"), lines(2).alias("labels"))
     by = list(by)
-    parts = [
-        met.select("path", "rule_id", "label").distinct().select(*by, F.lit(1).alias("met"), F.lit(0).alias("all"), F.lit(0).alias("hit"), F.lit(0).alias("found")),
-        labels.select(*by, F.lit(0).alias("met"), F.lit(1).alias("all"), F.lit(0).alias("hit"), F.lit(0).alias("found")),
-        met.select("path", "rule_id", "line_start").distinct().select(*by, F.lit(0).alias("met"), F.lit(0).alias("all"), F.lit(1).alias("hit"), F.lit(0).alias("found")),
-        spots.select(*by, F.lit(0).alias("met"), F.lit(0).alias("all"), F.lit(0).alias("hit"), F.lit(1).alias("found")),
-    ]
-    sums = reduce(DataFrame.unionByName, parts).groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("met", "all", "hit", "found")])
-    return sums.select(*by, F.col("met").alias("tp"), (F.col("found") - F.col("hit")).alias("fp"),
-                       (F.col("all") - F.col("met")).alias("fn"),
-                       F.round(F.col("hit") / F.nullif("found", F.lit(0)), 6).alias("precision"),
-                       F.round(F.col("met") / F.nullif("all", F.lit(0)), 6).alias("recall"))
+    counts = spots.select(*by, matched(F.col("found"), F.col("labels"), tolerance).alias("tp"),
+                          F.size("found").alias("found"), F.size("labels").alias("labels"))
+    sums = counts.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("tp", "found", "labels")])
+    return sums.select(*by, "tp", (F.col("found") - F.col("tp")).alias("fp"), (F.col("labels") - F.col("tp")).alias("fn"),
+                       F.round(F.col("tp") / F.nullif("found", F.lit(0)), 6).alias("precision"),
+                       F.round(F.col("tp") / F.nullif("labels", F.lit(0)), 6).alias("recall"))
 
 
 def same_findings(a: DataFrame, b: DataFrame, columns: list[str] = ("finding_id", "severity", "line_start", "line_end")) -> DataFrame:

@@ -1,6 +1,6 @@
-"""Near and semantic duplicates: banded hashing, then exact verification against bucket leaders.
+"""Near duplicates by an exact join of shingle sets; semantic duplicates by banded hashing and bucket leaders.
 
-Comparing all members of a bucket is quadratic in the size of a group of copies.  Here every bucket has
+For vectors, comparing all members of a bucket is quadratic in the size of a group of copies.  Here every bucket has
 one leader, its smallest member; all others are verified against it and leave the bucket when they
 match.  Whoever does not match stays, and the rest elects a new leader, until every bucket is empty.  So
 each member is either a leader or carries a verified link.  The first round compares a member once;
@@ -18,15 +18,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..session import cut_lineage
-
-# Parameters of the hash family h_i(x) = (a_i x + b_i) mod p over 32-bit values.
-PRIME = 4294967311
-MULTIPLIERS_FROM, OFFSETS_FROM, BELOW = 1103515245, 97755555, 1073741789
-
-
-def hash_parameters(count: int) -> list[tuple[int, int]]:
-    return [((MULTIPLIERS_FROM * (i + 1)) % BELOW, (OFFSETS_FROM * (i + 7)) % BELOW) for i in range(count)]
-
+from . import setjoin
+from .components import components
 
 MAX_LEADERS_PER_ROUND = 16
 
@@ -89,44 +82,26 @@ def shingles(text: Column, size: int = 3) -> Column:
     return tx.let(tx.words(text), build)
 
 
-def minhash_keys(grams: Column, bands: int, rows: int) -> Column:
-    """The bucket of each band, from the minima of an array of gram hashes; nothing leaves the row."""
-    def minimum(a: int, b: int) -> Column:
-        return F.array_min(F.transform(grams, lambda x: (F.lit(a).cast("bigint") * (x % (1 << 32)) + F.lit(b)) % F.lit(PRIME)))
-    minima = [minimum(a, b).cast("string") for a, b in hash_parameters(bands * rows)]
-    return F.array(*[F.concat_ws("-", F.lit(str(band)), *minima[band * rows:(band + 1) * rows]) for band in range(bands)])
-
+def near_duplicates(files: DataFrame, threshold: float = 0.7, size: int = 3) -> DataFrame:
+    """(path, leader, score): files that chains of similar files connect, and the Jaccard similarity with the group's first.
 
-def near_duplicates(files: DataFrame, threshold: float = 0.7, size: int = 3, bands: int = 8,
-                    rows: int = 3) -> DataFrame:
-    """(path, leader, score): near copies with their verified Jaccard similarity.
-
-    Files with the same word sequence are joined to the smallest of them first, so a group of copies
-    enters the hashing as one member.  A file keeps one bucket per band; gram arrays are built, once, only
-    for files that share a bucket with another.
+    Files are similar if their sets of ``size``-word shingles reach ``threshold``; ``leader`` is the smallest path of the group,
+    and ``score`` may be below the threshold for files that others connect with it.  No pair that reaches the threshold is
+    lost.  Files with the same word sequence enter as one.  Files without words are like none.
     """
-    grams = F.transform(shingles(F.col("text"), size), tx.hash60)
-    keyed = cut_lineage(
-        files.select("path", F.md5(F.concat_ws(" ", tx.words(F.col("text")))).alias("sequence"),
-                     tx.let(grams, lambda g: minhash_keys(g, bands, rows)).alias("buckets"))
-        .filter(F.col("sequence") != F.md5(F.lit(""))))
-    first = keyed.groupBy("sequence").agg(F.min("path").alias("leader"))
-    copies = (keyed.select("path", "sequence").join(first, "sequence").filter("path <> leader")
-              .select("path", "leader", F.lit(1.0).alias("score")))
-    members = cut_lineage(keyed.join(first.select(F.col("leader").alias("path")), "path", "left_semi")
-                          .select(F.col("path").alias("id"), F.explode("buckets").alias("bucket")))
-    crowded = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
-    candidates = cut_lineage(members.join(crowded, "bucket", "left_semi").select(F.col("id").alias("path")).distinct())
-    sets = cut_lineage(files.join(candidates, "path", "left_semi").select(F.col("path").alias("id"), grams.alias("grams")))
-
-    def jaccard(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(sets.withColumnRenamed("grams", "g1"), "id")
-        both = left.join(sets.select(F.col("id").alias("leader"), F.col("grams").alias("g2")), "leader")
-        shared = F.size(F.array_intersect("g1", "g2"))
-        return both.select("id", "leader", F.round(shared / (F.size("g1") + F.size("g2") - shared), 6).alias("score"))
-
-    links = leader_links(members, jaccard, threshold)
-    return links.withColumnRenamed("id", "path").unionByName(copies)
+    keyed = cut_lineage(files.select("path", F.md5(F.concat_ws(" ", tx.words(F.col("text")))).alias("sequence"))
+                        .filter(F.col("sequence") != F.md5(F.lit(""))))
+    first = keyed.groupBy("sequence").agg(F.min("path").alias("first"))
+    members = F.array_distinct(F.transform(shingles(F.col("text"), size), lambda gram: F.xxhash64(gram)))
+    sets = cut_lineage(files.join(first.select(F.col("first").alias("path")), "path", "left_semi")
+                       .select(F.col("path").alias("id"), members.alias("members")))
+    groups = cut_lineage(components(setjoin.similar_sets(sets, threshold)))
+    others = groups.filter("node <> component")
+    scored = (setjoin.scores(others.select(F.col("component").alias("a"), F.col("node").alias("b")), sets)
+              .select(F.col("b").alias("first"), F.col("a").alias("leader"), "score"))
+    copies = keyed.join(first, "sequence").select("path", "first")
+    return (copies.join(scored, "first", "left").select(
+        "path", F.coalesce("leader", "first").alias("leader"), F.coalesce("score", F.lit(1.0)).alias("score")).filter("path <> leader"))
 
 
 # Rows of the Walsh matrix that serve as hyperplanes; row 0 is left out, its side is the sign of the sum.

@@ -49,30 +49,22 @@ def repeated_lines(t):
     return duplicates.repeated_lines(i.prose_files(t), 3)
 
 
-_BANDS, _ROWS = 8, 3
-_MINIMA = ", ".join(f"list_min(list_transform(xs, lambda x: ({a} * x + {b}) % {similarity.PRIME}))"
-                    for a, b in similarity.hash_parameters(_BANDS * _ROWS))
+# All pairs that share a shingle are counted, and closed over.
 _NEAR = r"""
 ws AS (SELECT path, list_filter(regexp_split_to_array(lower(text), '[^\p{L}0-9]+'), lambda x: x <> '') AS w FROM prose),
-lead0 AS (SELECT path, w, min(path) OVER (PARTITION BY array_to_string(w, ' ')) AS leader FROM ws WHERE len(w) > 0),
+lead0 AS (SELECT path, w, min(path) OVER (PARTITION BY array_to_string(w, ' ')) AS first FROM ws WHERE len(w) > 0),
 sets AS MATERIALIZED (SELECT path, list_distinct(list_transform(range(1, greatest(len(w) - 1, 2)), lambda i: array_to_string(w[i:i+2], ' '))) AS grams
-FROM lead0 WHERE path = leader),
-minima AS (SELECT path, [""" + _MINIMA + r"""] AS h FROM (SELECT path,
-list_transform(grams, lambda g: ('0x' || substr(md5(g), 1, 15))::BIGINT % 4294967296) AS xs FROM sets)),
-buckets AS (SELECT DISTINCT path, band || '-' || h[3 * band + 1] || '-' || h[3 * band + 2] || '-' || h[3 * band + 3] AS bucket
-FROM minima, range(0, 8) r(band)),
-big AS MATERIALIZED (SELECT path, bucket FROM (SELECT *, count(*) OVER (PARTITION BY bucket) AS n FROM buckets) WHERE n > 1),
-cand AS MATERIALIZED (SELECT a.path AS path, b.path AS leader FROM (SELECT DISTINCT x.path AS p, y.path AS q FROM big x JOIN big y
-ON x.bucket = y.bucket AND x.path > y.path) c JOIN sets a ON a.path = c.p JOIN sets b ON b.path = c.q
-WHERE round(len(list_intersect(a.grams, b.grams)) / (len(a.grams) + len(b.grams) - len(list_intersect(a.grams, b.grams))), 6) >= 0.7),
-rounds AS (SELECT 0 AS depth, bucket, path FROM big UNION ALL
-SELECT depth + 1, bucket, path FROM (SELECT depth, bucket, path, min(path) OVER (PARTITION BY bucket) AS leader FROM rounds) r
-WHERE path <> leader AND (path, leader) NOT IN (SELECT path, leader FROM cand)),
-picked AS (SELECT DISTINCT path, leader FROM (SELECT path, min(path) OVER (PARTITION BY depth, bucket) AS leader FROM rounds)
-WHERE (path, leader) IN (SELECT path, leader FROM cand)),
-links AS (SELECT p.path, p.leader, round(len(list_intersect(a.grams, b.grams)) / (len(a.grams) + len(b.grams) - len(list_intersect(a.grams, b.grams))), 6) AS score
-FROM picked p JOIN sets a ON a.path = p.path JOIN sets b ON b.path = p.leader
-UNION ALL SELECT path, leader, 1.0 FROM lead0 WHERE path <> leader)"""
+FROM lead0 WHERE path = first),
+grams AS MATERIALIZED (SELECT path, unnest(grams) AS gram FROM sets),
+met AS (SELECT a.path AS a, b.path AS b, count(*) AS n FROM grams a JOIN grams b ON a.gram = b.gram AND a.path < b.path GROUP BY 1, 2),
+hit AS MATERIALIZED (SELECT a, b FROM met JOIN sets x ON x.path = a JOIN sets y ON y.path = b WHERE round(n / (len(x.grams) + len(y.grams) - n), 6) >= 0.7),
+tied AS (SELECT a, b FROM hit UNION SELECT b, a FROM hit),
+joined AS (SELECT a AS path, a AS m FROM tied UNION SELECT t.b, j.m FROM joined j JOIN tied t ON t.a = j.path),
+grouped AS (SELECT path, min(m) AS leader FROM joined GROUP BY 1),
+scored AS (SELECT g.path, g.leader, len(list_intersect(x.grams, y.grams)) AS n, len(x.grams) AS nx, len(y.grams) AS ny
+FROM grouped g JOIN sets x ON x.path = g.path JOIN sets y ON y.path = g.leader WHERE g.path <> g.leader),
+links AS (SELECT l.path, coalesce(leader, first) AS leader, coalesce(round(n / (nx + ny - n), 6), 1.0) AS score
+FROM lead0 l LEFT JOIN scored s ON s.path = l.first WHERE l.path <> coalesce(leader, first))"""
 
 
 @query("dup04_near_duplicates", i.ctes(i.PROSE_SQL, _NEAR) + "SELECT path, leader, score FROM links")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import corpus_map, graph
+from ..operators import corpus_map, graph, refresh
 from . import inputs as i
 from .catalog import query
-from .graphs import GRAPH, module_edges, zoned
+from .graphs import ALIASES, GRAPH, module_edges, zoned
 
 _NAMED = r"hs AS (SELECT c.path AS entity, h.author, h.kind, changed_at, event_id, h.zone FROM history h JOIN code c ON regexp_replace(c.path, '\.[a-z]+$', '') = h.entity)"
 _MAP = r"""fi AS (SELECT dst AS path, count(*) AS fan_in FROM e GROUP BY 1), au AS (SELECT entity, count(DISTINCT author) AS authors FROM hs GROUP BY 1),
@@ -58,6 +58,22 @@ def refresh_map(t):
     return corpus_map.refresh_map(derive(i.code_files(t)), i.head_files(t), derive).select("entity", "kind", "refreshed")
 
 
+# The map of the later version as if it were the only one: its files are ``code`` here, and errors have left the history.
+_LATER = (i.HEAD_SQL.replace("code AS (", "base AS (").replace("FROM code LEFT JOIN", "FROM base LEFT JOIN")
+          + ", code AS (SELECT *, NULL AS doc_id FROM head)",)
+_LATER_HISTORY = i.HISTORY_SQL.replace("FROM events", "FROM events WHERE event_type <> 'error'")
+
+
+@query("map02_incremental_map", i.ctes(*_LATER, *GRAPH, _LATER_HISTORY, _NAMED, _MAP) + "SELECT * FROM map")
+def incremental_map(t):
+    """The map of the first version, without purchases in its history, brought up to the later one."""
+    history = named_history(t).select("entity", "author", "kind")
+    before = refresh.build_state(i.code_files(t).select("path", "text"), history.filter("kind <> 'purchase'"), i.zone_registry(t), ALIASES)
+    gained = history.filter("kind = 'purchase'").select("entity", "author", F.lit(1).alias("sign"))
+    lost = history.filter("kind = 'error'").select("entity", "author", F.lit(-1).alias("sign"))
+    return refresh.refresh(before, i.head_files(t).select("path", "text"), gained.unionByName(lost), i.zone_registry(t), ALIASES).map
+
+
 @query("map03_map_status", i.ctes(i.HEAD_SQL) + r"""
 SELECT coalesce(h.path, c.path) AS entity, CASE WHEN coalesce(h.path, c.path) LIKE 'src/src0/%' THEN 'excluded' WHEN h.path IS NULL THEN 'orphaned' WHEN c.path IS NULL THEN 'derived'
 WHEN c.text <> h.text THEN 'stale' WHEN c.lang = 'de' THEN 'confirmed' ELSE 'derived' END AS status FROM code c FULL OUTER JOIN head h ON c.path = h.path""")

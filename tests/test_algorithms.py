@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpus_audit.functions import ordered
-from corpus_audit.operators import components, findings, graph, intervals, layered, pointers, similarity, trends
+from corpus_audit.operators import components, findings, graph, intervals, layered, pointers, setjoin, similarity, trends
 
 
 def union_find(nodes, pairs):
@@ -165,6 +165,74 @@ def test_near_duplicates_of_many_copies(spark):
     assert got == {**{f"copy{n:02d}": ("copy00", 1.0) for n in range(1, 20)}, "near": ("copy00", round(58 / 59, 6))}
 
 
+def drifting_families(count, seed):
+    """Sets of which each differs from the one before it by a few members, in families of up to sixty."""
+    rng, sets = random.Random(seed), []
+    while len(sets) < count:
+        members = [rng.getrandbits(40) for _ in range(rng.randint(3, 60))]
+        for _ in range(rng.choice([1, 2, 3, 60])):
+            sets.append(sorted(set(members)))
+            members = list(members)
+            for _ in range(rng.randint(0, max(1, len(members) // 8))):
+                members[rng.randrange(len(members))] = rng.getrandbits(40)
+    return sets[:count]
+
+
+@pytest.mark.parametrize("crowd, block, count", [(32, 512, 2000), (4, 16, 600)])
+def test_similar_sets(spark, monkeypatch, crowd, block, count):
+    monkeypatch.setattr(setjoin, "CROWD", crowd)
+    monkeypatch.setattr(setjoin, "BLOCK", block)
+    sets = [set(members) for members in drifting_families(count, crowd)]
+    pairs = {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) for a, b in combinations(range(count), 2)
+             if 0.69 * max(len(sets[a]), len(sets[b])) <= min(len(sets[a]), len(sets[b]))}
+    linked = {pair: score for pair, score in pairs.items() if score >= 0.7}
+    df = spark.createDataFrame([(f"{n:05d}", list(members)) for n, members in enumerate(sets)] + [("none", [])], "id string, members array<long>")
+    links = {(int(r.a), int(r.b)): r.score for r in setjoin.similar_sets(df, 0.7).collect()}
+    assert links.items() <= linked.items()
+    assert union_find(range(count), links) == union_find(range(count), linked)
+
+
+def test_near_duplicates_of_chains(spark):
+    words = [f"w{n}" for n in range(200)]
+    rows = []
+    for n in range(40):
+        words = [f"v{n}x{k}" if 4 * n <= k < 4 * n + 4 else word for k, word in enumerate(words)]
+        rows.append((f"f{n:02d}", " ".join(words)))
+    got = {r.path: (r.leader, r.score) for r in similarity.near_duplicates(spark.createDataFrame(rows, "path string, text string")).collect()}
+    grams = {path: {tuple(text.split()[at:at + 3]) for at in range(198)} for path, text in rows}
+    assert got == {path: ("f00", round(len(grams[path] & grams["f00"]) / len(grams[path] | grams["f00"]), 6)) for path in list(grams)[1:]}
+    assert got["f39"][1] < 0.2
+
+
+@pytest.mark.parametrize("tolerance", [0, 1, 3])
+def test_findings_meet_labels_one_to_one(spark, tolerance):
+    rng = random.Random(tolerance)
+    spots = lambda: [(f"p{p}", "R", line) for p in range(60) for line in rng.sample(range(1, 16), rng.randint(0, 7))]
+    found, labels = spots(), spots()
+    tp = 0
+    for path in {row[0] for row in found}:
+        lines = [row[2] for row in found if row[0] == path]
+        owner = {}
+        def place(label, tried):
+            for line in lines:
+                if abs(line - label) <= tolerance and line not in tried:
+                    tried.add(line)
+                    if line not in owner or place(owner[line], tried):
+                        owner[line] = label
+                        return True
+            return False
+        tp += sum(place(row[2], set()) for row in labels if row[0] == path)
+    schema = "path string, rule_id string, line_start int"
+    row = findings.score_oracle(spark.createDataFrame(found + found, schema), spark.createDataFrame(labels, schema), tolerance).first()
+    assert (row.tp, row.tp + row.fp, row.tp + row.fn) == (tp, len(found), len(labels))
+
+
+def test_one_finding_meets_one_of_two_labels(spark):
+    schema = "path string, rule_id string, line_start int"
+    row = findings.score_oracle(spark.createDataFrame([("p", "R", 10)], schema), spark.createDataFrame([("p", "R", 9), ("p", "R", 11)], schema)).first()
+    assert (row.tp, row.fp, row.fn, row.precision, row.recall) == (1, 0, 1, 1.0, 0.5)
+
+
 def merged_items(base, override):
     """Keyed merge stated directly on lists of (code, id, item)."""
     both = base + override
