@@ -23,6 +23,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -33,14 +34,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import TEXT_SLICE, UNIT, sizes_of, slices
+from .bpe import sizes_of, slices
 from .memory import Recent
 from .storage import stored
 from .tokens import irregular
 
 KNOWN_WORDS = 150_000
 CHUNK_LINKS = 1 << 20
+TEXT_SLICE = 2 << 20
 BYTE_SIGN = "▁"
+# Words with the blank before them, and line ends.
+UNIT = re.compile(r"\n| ?[^ \n]+")
 COUNTS = ("n_a", "n_b", "n_groups")
 
 

@@ -3,17 +3,14 @@
 The driver reads the rank file, whose size a vocabulary bounds, and broadcasts its bytes.  Each worker makes two DuckDB
 tables of it: the merges (two ids that stand side by side, and the id of their joined bytes) and the bytes of every id.
 
-Encoding.  A text is cut at single blanks and line ends, where the pattern never joins anything, and texts with other runs
-of white space are taken whole; the pattern cuts the rest into pieces.  Pieces a worker has not met become rows (piece,
-place, id of the byte).  A recursive query joins neighbouring rows with the merges, contracts each piece's leftmost pair
+Encoding.  The pattern cuts a text into pieces.  Pieces a worker has not met become rows (piece, place, id of the byte).  A recursive query joins neighbouring rows with the merges, contracts each piece's leftmost pair
 of the least rank, and goes on until no pair of any piece is a merge.  Pieces above ``LONG_PIECE`` bytes go through a
 second query, which contracts all places of the least rank at once, left to right, where that is the same: the new id
-must be one whose later merges all rank behind it.  Both ask for ``MAX_ROWS`` rows at a time.  What a worker knows of words
-and pieces is a bounded memory for speed; it changes no result.
+must be one whose later merges all rank behind it.  Both ask for ``MAX_ROWS`` rows at a time.  What a worker knows of pieces
+is a bounded memory for speed; it changes no result.
 
-Decoding cuts sequences of ids in front of ids that open with a blank or a line end, and after ``MAX_ROWS`` ids at the latest.
-Runs a worker has not met become rows (run, place, id); they are joined with the bytes of the ids and aggregated in the
-order of the places.  No query grows with the length of a text.
+Decoding joins rows (span, place, id) with the bytes of the ids and aggregates them in the order of the places.  Texts of
+many ids are cut into spans, so that no query grows with the length of a text.
 
 Defined cases: null and empty texts have no ids and decode to no bytes; rows without doc_id and repeated rows give a row
 each; an empty table gives an empty result.  Only the named columns are read.  An id outside the vocabulary cannot be
@@ -24,7 +21,6 @@ from __future__ import annotations
 
 import base64
 import functools
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -35,13 +31,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .memory import Recent
-from .tokens import irregular
 
-KNOWN_WORDS, KNOWN_PIECES = 150_000, 180_000
+KNOWN_PIECES = 220_000
 LONG_PIECE = 256
-MAX_ROWS = 250_000
-TEXT_SLICE = 2 << 20
-UNIT = re.compile(r"\n| ?[^ \n]+")
+MAX_ROWS = 300_000
+TEXT_SLICE = 3 << 20
 ENCODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.BinaryType())])
 DECODED = T.StructType([*ENCODED.fields, T.StructField("decoded", T.BinaryType())])
 
@@ -84,7 +78,7 @@ SELECT round, list(id ORDER BY place) AS ids FROM steps WHERE round = (SELECT ma
 """
 
 DECODE = """
-SELECT run, string_agg(hex, '' ORDER BY place) AS hex FROM ids_of_runs JOIN vocabulary USING (id) GROUP BY run ORDER BY run
+SELECT span, string_agg(hex, '' ORDER BY place) AS hex, count(*) AS n FROM ids_of_spans JOIN vocabulary USING (id) GROUP BY span ORDER BY span
 """
 
 
@@ -106,7 +100,7 @@ def merges_of(ranks: dict[bytes, int]) -> pa.Table:
 
 
 class Codec:
-    """One worker's DuckDB tables of a rank file, and the words and pieces it has met."""
+    """One worker's DuckDB tables of a rank file, and the pieces it has met."""
 
     def __init__(self, content: bytes, pattern: str):
         import duckdb
@@ -120,10 +114,7 @@ class Codec:
         self._load("merges", merges_of(self.ranks))
         self._load("vocabulary", pa.table({"id": pa.array(self.ranks.values(), pa.int32()),
                                            "hex": [token.hex() for token in self.ranks]}))
-        self.exists, self.opens = np.zeros((2, max(self.ranks.values()) + 1), dtype=bool)
-        self.exists[list(self.ranks.values())] = True
-        self.opens[[rank for token, rank in self.ranks.items() if token[:1] in (b" ", b"\n")]] = True
-        self.words, self.pieces, self.runs = Recent(KNOWN_WORDS), Recent(KNOWN_PIECES), Recent(KNOWN_WORDS)
+        self.pieces = Recent(KNOWN_PIECES)
 
     def _load(self, name: str, rows: pa.Table) -> None:
         self.con.register("given", rows)
@@ -183,41 +174,28 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of every text as little-endian unsigned 32-bit integers."""
-        cut = [None if irregular(text) else UNIT.findall(text) for text in texts]
-        unknown = {word: self.pieces_of(word) for word in self.words.unknown(set().union(*filter(None, cut)))}
-        whole = [self.pieces_of(text) if units is None else () for text, units in zip(texts, cut)]
-        self._learn(self.pieces.unknown(set().union(*unknown.values(), *whole)))
+        cut = [self.pieces_of(text) for text in texts]
+        self._learn(self.pieces.unknown(set().union(*cut)))
         of_piece = self.pieces.now.__getitem__
-        self.words.learn((word, b"".join(map(of_piece, pieces))) for word, pieces in unknown.items())
-        of_word = self.words.now.__getitem__
-        return [b"".join(map(of_piece, pieces) if units is None else map(of_word, units)) for units, pieces in zip(cut, whole)]
-
-    def _join(self, runs: list[bytes]) -> Iterator[bytes]:
-        """The bytes behind runs of ids, in their order."""
-        lengths = np.array([len(run) // 4 for run in runs])
-        flat = np.frombuffer(b"".join(runs), "<u4").astype(np.int32)
-        starts = np.cumsum(lengths) - lengths
-        rows = pa.table({"run": np.repeat(np.arange(len(runs), dtype=np.int32), lengths),
-                         "place": (np.arange(len(flat)) - np.repeat(starts, lengths)).astype(np.int32), "id": flat})
-        return map(bytes.fromhex, self._ask(DECODE, "ids_of_runs", rows)["hex"].to_pylist())
-
-    def _cut(self, ids: bytes) -> list[bytes]:
-        numbers = np.frombuffer(ids, "<u4")
-        if len(numbers) and (numbers.max() >= len(self.opens) or not self.exists[numbers].all()):
-            raise ValueError("an id is not in the vocabulary")
-        cuts = np.flatnonzero(self.opens[numbers[1:]]) + 1
-        if len(numbers) > MAX_ROWS:
-            cuts = np.union1d(cuts, np.arange(MAX_ROWS, len(numbers), MAX_ROWS))
-        ends = (4 * cuts).tolist()
-        return [ids[start:end] for start, end in zip([0, *ends], [*ends, len(ids)])] if ids else []
+        return [b"".join(map(of_piece, pieces)) for pieces in cut]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """The bytes behind every sequence of ids."""
-        cut = [self._cut(sequence) for sequence in ids]
-        unknown = list(self.runs.unknown(set().union(*cut)))
-        for part in slices([len(run) // 4 for run in unknown], MAX_ROWS):
-            self.runs.learn(zip(unknown[part], self._join(unknown[part])))
-        return [b"".join(map(self.runs.now.__getitem__, runs)) for runs in cut]
+        decoded: list[list[bytes]] = [[] for _ in ids]
+        spans = [(owner, sequence[start:start + 4 * MAX_ROWS]) for owner, sequence in enumerate(ids)
+                 for start in range(0, len(sequence), 4 * MAX_ROWS)]
+        for part in slices([len(span) // 4 for _, span in spans], MAX_ROWS):
+            lengths = np.array([len(span) // 4 for _, span in spans[part]])
+            flat = np.frombuffer(b"".join([span for _, span in spans[part]]), "<u4")
+            starts = np.cumsum(lengths) - lengths
+            rows = pa.table({"span": np.repeat(np.arange(len(lengths), dtype=np.int32), lengths),
+                             "place": (np.arange(len(flat)) - np.repeat(starts, lengths)).astype(np.int32), "id": flat.astype(np.int64)})
+            found = self._ask(DECODE, "ids_of_spans", rows)
+            if sum(found["n"].to_pylist()) != len(flat):
+                raise ValueError("an id is not in the vocabulary")
+            for (owner, _), piece in zip(spans[part], found["hex"].to_pylist()):
+                decoded[owner].append(bytes.fromhex(piece))
+        return [b"".join(parts) for parts in decoded]
 
 
 @functools.lru_cache(maxsize=2)
