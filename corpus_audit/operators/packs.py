@@ -105,12 +105,18 @@ def for_language(rules: list[Rule], lang: str) -> list[Rule]:
     return [r for r in rules if r.lang in (None, lang)]
 
 
+# Rules that become code; larger packs stay tables (``pack_index``).
+MOST_COMPILED = 2000
+
+
 def load_pack(table: DataFrame) -> list[Rule]:
-    """Rules from a table.  Rules become code, so they come to the driver; there may be any number of them."""
+    """Rules from a table, as code.  They are counted first; more than ``MOST_COMPILED`` are for :func:`pack_index.scan_pack`."""
     columns = [c for c in Rule._fields if c in table.columns]
-    rows = [row.asDict() for row in table.select(*columns).orderBy("rule_id").collect()]
+    rows = table.select(*columns).limit(MOST_COMPILED + 1).collect()
+    if len(rows) > MOST_COMPILED:
+        raise ValueError(f"more than {MOST_COMPILED} rules: scan them as a table with pack_index.scan_pack")
     return [Rule(**{"owasp": None, **row, "needs": tuple(row.get("needs") or ()), "in_comments": bool(row.get("in_comments"))})
-            for row in rows]
+            for row in sorted((row.asDict() for row in rows), key=lambda row: row["rule_id"])]
 
 
 def rule_table(spark, rules: list[Rule]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import detectors, duplicates, layered, packs, rules, specs
+from ..operators import detectors, duplicates, layered, pack_index, packs, rules, specs
 from ..streaming import jobs
 from . import inputs as i
 from .catalog import query
@@ -205,6 +205,25 @@ def load_pack(t):
     return rules.scan_rules(i.code_files(t), packs.load_pack(table)).select("path", "rule_id", "line_start")
 
 
+# Rules that name a literal, rules whose pattern holds one, and rules that have to see every line.
+_PACK = r"""pk AS (SELECT 'SUP-' || s_suppkey AS rule_id, 'doc_' || s_suppkey || '([^0-9]|$)' AS regex, NULL AS path_regex FROM supplier UNION ALL
+SELECT 'NAT-' || n_nationkey, '(value|shared)' || n_nationkey || '[^0-9]', '[.](ts|tsx)$' FROM nation UNION ALL
+SELECT 'REG-' || r_regionkey, '[{(]' || r_regionkey || '[)}]', NULL FROM region)"""
+
+
+@query("udf03_scan_pack", i.ctes(i.CODE_LINES_SQL, _PACK) + """
+SELECT path, rule_id, line_no AS line_start FROM sl JOIN pk ON regexp_matches(line, regex) WHERE path_regex IS NULL OR regexp_matches(path, path_regex)""")
+def scan_pack(t):
+    rule = lambda key, kind, regex, path=None: F.struct(
+        F.concat(F.lit(f"{kind}-"), key).alias("rule_id"), F.lit(1).alias("axiom"), F.lit("Low").alias("severity"),
+        regex.alias("line_regex"), F.lit(path).cast("string").alias("path_regex"))
+    suppliers = t.supplier.select(rule("s_suppkey", "SUP", F.concat(F.lit("doc_"), "s_suppkey", F.lit("([^0-9]|$)"))).alias("r"))
+    nations = t.nation.select(rule("n_nationkey", "NAT", F.concat(F.lit("(value|shared)"), "n_nationkey", F.lit("[^0-9]")), "[.](ts|tsx)$").alias("r"))
+    regions = t.region.select(rule("r_regionkey", "REG", F.concat(F.lit("[{(]"), "r_regionkey", F.lit("[)}]"))).alias("r"))
+    pack = suppliers.unionByName(nations).unionByName(regions).select("r.*")
+    return pack_index.scan_pack(i.code_files(t), pack).select("path", "rule_id", "line_start")
+
+
 @query("udf04_custom_score", i.ctes(*BASE) + """
 SELECT axiom, round(sum(sqrt(n) * CASE severity WHEN 'error' THEN 3 ELSE 1 END), 6) AS score FROM (SELECT axiom, rule_id, severity, count(*) AS n FROM fnd GROUP BY ALL) GROUP BY 1""")
 def custom_score(t):
