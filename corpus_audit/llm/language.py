@@ -35,17 +35,17 @@ _letters: np.ndarray | None = None
 
 
 def _letter_table() -> np.ndarray:
-    """Which code points of the basic plane are letters; those beyond share the last place, a letter."""
+    """Which code points are letters."""
     global _letters
     if _letters is None:
-        _letters = np.array([chr(point).isalpha() for point in range(0xFFFF)] + [True])
+        _letters = np.array([chr(point).isalpha() for point in range(0x110000)])
     return _letters
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
     """Places and counts of the n-grams of one text; None if it has no letter."""
     points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    letter = _letter_table()[np.minimum(points, 0xFFFF)]
+    letter = _letter_table()[points]
     if not letter.any():
         return None
     points = np.concatenate([[32], np.where(letter, points, 32), [32]]).astype(np.uint32)

@@ -108,14 +108,14 @@ class Encoder:
 
     The byte-level pattern of the vocabulary never joins white space to what stands before it, a blank joins the word
     that follows it, and a line end before a visible character stands alone.  So a text may be cut at single blanks and
-    line ends.  Texts with other runs of white space are encoded whole.
+    line ends.  Texts with other runs of white space, and those that spell a special token, are encoded whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.specials = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.bits = bits_for(self.tokenizer.get_vocab_size(with_added_tokens=True))
         self._forget()
         self.line_end = self.line_start.whole("\n")
@@ -125,7 +125,7 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if irregular(text):
+        if irregular(text) or any(special in text for special in self.specials):
             return self.line_start.whole(text)
         if len(self.after_blank) + len(self.line_start) > KNOWN_WORDS:
             self._forget()

@@ -257,6 +257,10 @@ def test_encoder_agrees_with_the_library():
     for _ in range(20000):
         text = "".join(draw.choice("ab é1.'\n\n   \ts\xa0lÉß日$!_²½ǅ") for _ in range(draw.randint(0, 14)))
         assert np.frombuffer(mine.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+    for _ in range(3000):
+        text = "".join(draw.choice(["<|endoftext|>", "<|endoftext", "|>", "a", " ", "\n", "the"]) for _ in range(draw.randint(1, 9)))
+        assert np.frombuffer(mine.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+    assert np.frombuffer(mine.encode("a<|endoftext|>b"), "<u4").tolist() == [64, 50256, 65]
 
 
 def test_token_files_hold_every_document_in_order(spark):

@@ -56,6 +56,12 @@ def test_language(spark):
     assert language.identified(empty(spark)).collect() == []
 
 
+def test_signs_beyond_the_basic_plane_are_no_letters(spark):
+    rows = [(1, PROSE, "en", "a"), (2, "😀😀 🎉", "en", "a"), (3, "𝒜𝒷", "en", "a"), (4, "\uffff 123", "en", "a"), (6, PROSE, "en", "b")]
+    found = {row["doc_id"]: (row["lang_pred"], row["score"]) for row in language.identified(documents(spark, rows)).collect()}
+    assert found[2] == found[4] == ("und", 0.0) and found[3][0] == "en"
+
+
 def test_mixing(spark):
     found = mixing.mixed(documents(spark))
     rows = found.collect()
