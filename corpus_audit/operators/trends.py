@@ -57,31 +57,41 @@ def dedupe_history(trends: DataFrame) -> DataFrame:
             .select("record_id", "r.*").select(*trends.columns))
 
 
-def ancestry_rank(commits: DataFrame) -> DataFrame:
-    """(sha, generation): longest path from a root commit; wall clock plays no part.
+def chains(commits: DataFrame) -> DataFrame:
+    """(sha, head, dist): the unbranched stretch of every commit, named by its oldest one, and the steps down to it.
 
-    ``commits(sha, parent_sha)`` has one row per parent.  Unbranched stretches are shortened first by
-    pointer doubling, so the rounds follow the merges on a path and not the number of commits.
+    A commit continues the stretch of its parent if it is that parent's only child and has no other parent.  Found by
+    pointer doubling, so the rounds follow the logarithm of the longest stretch.
     """
-    commits = cut_lineage(commits.select("sha", "parent_sha").distinct())
     parents = commits.filter("parent_sha is not null")
-    only_parent = parents.groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.min("parent_sha").alias("up")).filter("n = 1").select("sha", "up")
-    only_child = parents.groupBy("parent_sha").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select(F.col("parent_sha").alias("up"))
-    inner = only_parent.join(only_child, "up").select("sha", "up")
+    only_parent = parents.groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.min("parent_sha").alias("head")).filter("n = 1").select("sha", "head")
+    only_child = parents.groupBy("parent_sha").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select(F.col("parent_sha").alias("head"))
+    inner = only_parent.join(only_child, "head").select("sha", "head")
     nodes = commits.select("sha").union(parents.select(F.col("parent_sha").alias("sha"))).distinct()
     pointers = cut_lineage(nodes.join(inner, "sha", "left").select(
-        "sha", F.coalesce("up", "sha").alias("up"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("bigint").alias("dist")))
+        "sha", F.coalesce("head", "sha").alias("head"), F.when(F.col("head").isNull(), 0).otherwise(1).cast("bigint").alias("dist")))
     while True:
-        further = pointers.select(F.col("sha").alias("up"), F.col("up").alias("up2"), F.col("dist").alias("dist2"))
-        stepped = cut_lineage(pointers.join(further, "up").select(
-            "sha", F.col("up2").alias("up"), (F.col("dist") + F.col("dist2")).alias("dist"), (F.col("dist2") > 0).alias("moved")))
+        further = pointers.select(F.col("sha").alias("head"), F.col("head").alias("head2"), F.col("dist").alias("dist2"))
+        stepped = cut_lineage(pointers.join(further, "head").select(
+            "sha", F.col("head2").alias("head"), (F.col("dist") + F.col("dist2")).alias("dist"), (F.col("dist2") > 0).alias("moved")))
         pointers = stepped.drop("moved")
         if stepped.filter("moved").isEmpty():
-            break
-    heads = pointers.filter("sha = up").select(F.col("sha").alias("head"))
+            return pointers
+
+
+def ancestry_rank(commits: DataFrame) -> DataFrame:
+    """(sha, generation): longest path from a root commit; wall clock plays no part.
+
+    ``commits(sha, parent_sha)`` has one row per parent.  Unbranched stretches are shortened first, so the rounds follow the
+    merges on a path and not the number of commits.
+    """
+    commits = cut_lineage(commits.select("sha", "parent_sha").distinct())
+    parents = commits.filter("parent_sha is not null")
+    pointers = chains(commits)
+    heads = pointers.filter("sha = head").select("head")
     steps = cut_lineage(
         parents.join(heads, F.col("sha") == F.col("head"), "left_semi")
-        .join(pointers.select(F.col("sha").alias("parent_sha"), F.col("up").alias("above"), "dist"), "parent_sha")
+        .join(pointers.select(F.col("sha").alias("parent_sha"), F.col("head").alias("above"), "dist"), "parent_sha")
         .groupBy(F.col("sha").alias("head"), "above").agg((F.max("dist") + 1).alias("weight")))
     ranks = cut_lineage(heads.withColumn("generation", F.lit(0).cast("bigint")))
     while True:
@@ -93,8 +103,7 @@ def ancestry_rank(commits: DataFrame) -> DataFrame:
         ranks = moved.drop("moved")
         if moved.filter("moved").isEmpty():
             break
-    return (pointers.join(ranks.withColumnRenamed("head", "up"), "up")
-            .select("sha", (F.col("generation") + F.col("dist")).alias("generation")))
+    return (pointers.join(ranks, "head").select("sha", (F.col("generation") + F.col("dist")).alias("generation")))
 
 
 def deltas(scored: DataFrame, ranks: DataFrame) -> DataFrame:
@@ -112,31 +121,66 @@ def deltas(scored: DataFrame, ranks: DataFrame) -> DataFrame:
     return known.unionByName(lost.withColumn("reason", F.lit("unknown commit")), allowMissingColumns=True)
 
 
+# Places of a stretch that are merged in one piece.
+STRETCH = 1 << 16
+
+
+def _last_known(asks: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """``asks`` with ``met``: the ``run`` of ``known`` at the greatest place up to ``place`` within ``keys``, null if none.
+
+    An as-of merge in pieces of ``STRETCH`` places; a piece takes over the last run of those below it.
+    """
+    piece = F.floor(F.col("place") / STRETCH)
+    asks, known = asks.withColumn("_piece", piece), known.withColumn("_piece", piece)
+    ends = known.groupBy(*keys, "_piece").agg(F.max_by("run", "place").alias("_end"))
+    pieces = ends.unionByName(asks.select(*keys, "_piece").distinct(), allowMissingColumns=True).groupBy(*keys, "_piece").agg(F.first("_end", ignorenulls=True).alias("_end"))
+    below = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    carried = pieces.select(*keys, "_piece", F.last("_end", ignorenulls=True).over(below).alias("_carried"))
+    both = known.select(*keys, "_piece", "place", "run").withColumn("_ask", F.lit(0)).unionByName(
+        asks.withColumn("_ask", F.lit(1)), allowMissingColumns=True)
+    inside = Window.partitionBy(*keys, "_piece").orderBy("place", "_ask").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    merged = both.withColumn("_inside", F.last("run", ignorenulls=True).over(inside)).filter("_ask = 1")
+    return (merged.join(carried, [*keys, "_piece"]).withColumn("met", F.coalesce("_inside", "_carried"))
+            .drop("_piece", "_ask", "_inside", "_carried", "run"))
+
+
 def ancestor_baseline(first_runs: DataFrame, scored: DataFrame, commits: DataFrame) -> DataFrame:
     """(record_id, distance, baseline): nearest ancestor commit with a run of the same scope and axis.
 
-    For runs without an earlier run on their branch.  The search climbs one commit per round and only
-    for runs that have not found a baseline yet.
+    For runs without an earlier run on their branch.  Commits lie on unbranched stretches; the nearest run on a stretch is
+    found by one merge in the order of places.  Who finds none goes on at the parents of the stretch's oldest commit, so the
+    rounds follow the stretches on a path, not its commits.  Of equally near runs that of the greatest commit counts.
     """
-    above = cut_lineage(commits.filter("parent_sha is not null").select(F.col("sha").alias("at_sha"), "parent_sha").distinct())
-    known = cut_lineage(scored.groupBy("commit_sha", "scope", "axiom").agg(F.max_by("score", "record_id").alias("baseline"))
-                        .select(F.col("commit_sha").alias("at_sha"), "scope", "axiom", "baseline"))
-    climbing = cut_lineage(first_runs.select("record_id", "scope", "axiom", F.col("commit_sha").alias("at_sha")))
-    found, distance = None, 0
+    commits = cut_lineage(commits.select("sha", "parent_sha").distinct())
+    places = chains(commits)
+    keys = ["head", "scope", "axiom"]
+    known = cut_lineage(
+        scored.groupBy("commit_sha", "scope", "axiom").agg(F.max_by("score", "record_id").alias("baseline"))
+        .join(places, F.col("commit_sha") == F.col("sha"))
+        .select(*keys, F.col("dist").alias("place"), F.struct(F.col("dist").alias("place"), "sha", "baseline").alias("run")))
+    steps = cut_lineage(commits.filter("parent_sha is not null")
+                        .join(places.filter("sha = head").select("sha"), "sha", "left_semi")
+                        .join(places.select(F.col("sha").alias("parent_sha"), F.col("head").alias("above"), "dist"), "parent_sha")
+                        .select(F.col("sha").alias("head"), "above", "dist"))
+    # ``steps`` counts from the record's commit to the commit at ``place``; the commit itself is not asked.
+    asks = (first_runs.join(places, F.col("commit_sha") == F.col("sha"))
+            .select("record_id", *keys, (F.col("dist") - 1).alias("place"), F.lit(1).cast("bigint").alias("steps")))
+    best = None
     while True:
-        distance += 1
-        climbing = cut_lineage(climbing.join(above, "at_sha").select(
-            "record_id", "scope", "axiom", F.col("parent_sha").alias("at_sha")).distinct())
-        if climbing.isEmpty():
-            break
-        hits = cut_lineage(climbing.join(known, ["at_sha", "scope", "axiom"]).groupBy("record_id")
-                           .agg(F.max_by("baseline", "at_sha").alias("baseline"))
-                           .select("record_id", F.lit(distance).alias("distance"), "baseline"))
-        found = hits if found is None else found.unionByName(hits)
-        climbing = climbing.join(hits.select("record_id"), "record_id", "left_anti")
-    if found is None:
-        return first_runs.select("record_id", F.lit(0).alias("distance"), F.lit(0.0).alias("baseline")).limit(0)
-    return found
+        answers = cut_lineage(_last_known(asks, known, keys))
+        met = answers.filter("met is not null").select(
+            "record_id", (F.col("steps") + F.col("place") - F.col("met.place")).alias("distance"), "met.sha", "met.baseline")
+        found = met if best is None else met.unionByName(best)
+        best = cut_lineage(found.groupBy("record_id").agg(F.max(F.struct((-F.col("distance")).alias("near"), "sha", "baseline")).alias("b"))
+                           .select("record_id", (-F.col("b.near")).alias("distance"), "b.sha", "b.baseline"))
+        onward = (answers.filter("met is null").join(steps.withColumnRenamed("dist", "_dist"), "head")
+                  .select("record_id", F.col("above").alias("head"), "scope", "axiom", F.col("_dist").alias("place"),
+                          (F.col("steps") + F.col("place") + 1).alias("steps"))
+                  .groupBy("record_id", *keys, "place").agg(F.min("steps").alias("steps")))
+        asks = cut_lineage(onward.join(best.select("record_id", "distance"), "record_id", "left")
+                           .filter("distance is null or steps <= distance").drop("distance"))
+        if asks.isEmpty():
+            return best.select("record_id", "distance", "baseline")
 
 
 def trend_label(delta: DataFrame, tolerance: float = 1.0) -> DataFrame:
@@ -258,10 +302,6 @@ def score_series(scored: DataFrame) -> DataFrame:
     return scored.select("branch", "axiom", "run_id", "record_id", "score").orderBy("branch", "axiom", "run_id", "record_id")
 
 
-# Pieces that one ordered computation is cut into.
-PIECES = 256
-
-
 def moving_scores(scored: DataFrame, k: int, keys: list[str] = ("axiom",), order: list[str] = ("run_id", "record_id"),
                   bucket: Column | None = None) -> DataFrame:
     """Add the mean over the last ``k`` + 1 scores and the mean so far, per axis.
@@ -271,13 +311,11 @@ def moving_scores(scored: DataFrame, k: int, keys: list[str] = ("axiom",), order
     """
     keys, order = list(keys), list(order)
     exact = F.col("score").cast("decimal(18,6)")
-    scored = cut_lineage(scored)
+    given = scored.columns
     if bucket is None:
-        # Pieces follow the quantiles of the order, so they are alike in size whatever the ids are: dense numbers, times or hashes.
-        shares = F.array(*[F.lit(n / PIECES) for n in range(1, PIECES)])
-        bounds = scored.agg(F.percentile_approx(order[0], shares, 10 * PIECES).alias("b")).first()["b"] or []
-        bucket = F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda b: b < F.col(order[0]))) if bounds else F.lit(0)
-    ranked = ordered.with_rank(scored, keys, order, bucket, "_rank")
+        # Pieces are the partitions of a range partitioning: alike in size and in order for ids of any type.
+        scored, bucket = scored.repartitionByRange(*order).withColumn("_piece", F.spark_partition_id()), F.col("_piece")
+    ranked = ordered.with_rank(cut_lineage(scored), keys, order, bucket, "_rank").select(*given, "_rank")
     moving = ordered.over_last_rows(ranked, keys, "_rank", k, {"_near": F.sum(exact)})
     running = ordered.with_running_sum(moving, keys, ["_rank"], F.floor(F.col("_rank") / 65536), exact, "_sum")
     mean = lambda total, n: F.round(total.cast("double") / n, 6)

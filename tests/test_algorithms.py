@@ -136,6 +136,50 @@ def test_ancestry_with_chains_and_merges(spark):
     assert {r.sha: r.generation for r in trends.ancestry_rank(df).collect()} == rank
 
 
+@pytest.mark.parametrize("seed", [21, 22])
+def test_nearest_ancestor_run(spark, monkeypatch, seed):
+    monkeypatch.setattr(trends, "STRETCH", 3)
+    rng = random.Random(seed)
+    parents = {n: sorted({n - 1} | ({rng.randrange(n)} if rng.random() < 0.15 else set())) for n in range(1, 60)}
+    runs = [(f"r{n}", f"c{rng.randrange(60):02d}", rng.choice("ab"), rng.randrange(2), float(n)) for n in range(60)]
+    known = {}
+    for record, commit, scope, axiom, score in runs:
+        known.setdefault((commit, scope, axiom), []).append((record, score))
+    expected = {}
+    for record, commit, scope, axiom, _ in runs:
+        level, distance = {int(commit[1:])}, 0
+        while level:
+            level, distance = {up for n in level for up in parents.get(n, [])}, distance + 1
+            hits = [f"c{n:02d}" for n in level if (f"c{n:02d}", scope, axiom) in known]
+            if hits:
+                expected[record] = (distance, max(known[max(hits), scope, axiom])[1])
+                break
+    commits = [("c00", None)] + [(f"c{n:02d}", f"c{up:02d}") for n, ups in parents.items() for up in ups]
+    scored = spark.createDataFrame(runs, "record_id string, commit_sha string, scope string, axiom int, score double")
+    got = trends.ancestor_baseline(scored, scored, spark.createDataFrame(commits, "sha string, parent_sha string")).collect()
+    assert {r.record_id: (r.distance, r.baseline) for r in got} == expected
+
+
+def test_old_run_on_a_long_line(spark):
+    line = spark.range(100_000).selectExpr("id AS sha", "nullif(id - 1, -1) AS parent_sha")
+    rounds, cut = [], trends.cut_lineage
+    trends.cut_lineage = lambda df: rounds.append(1) or cut(df)
+    try:
+        runs = spark.createDataFrame([("new", 99_999, "all", 1, 7.0), ("old", 12, "all", 1, 5.0)], "record_id string, commit_sha long, scope string, axiom int, score double")
+        got = trends.ancestor_baseline(runs.filter("record_id = 'new'"), runs, line).collect()
+    finally:
+        trends.cut_lineage = cut
+    assert [tuple(r) for r in got] == [("new", 99_987, 5.0)] and len(rounds) < 30
+
+
+def test_moving_scores_of_string_ids(spark):
+    rows = [(f"run-{n:03d}", f"rec-{n}", 1, float(n % 7)) for n in range(100)]
+    df = spark.createDataFrame(rows, "run_id string, record_id string, axiom int, score double")
+    got = {r.run_id: (r.moving, r.mean_so_far) for r in trends.moving_scores(df, 2).collect()}
+    scores = [row[3] for row in rows]
+    assert got == {row[0]: (round(sum(scores[max(0, n - 2):n + 1]) / min(n + 1, 3), 6), round(sum(scores[:n + 1]) / (n + 1), 6)) for n, row in enumerate(rows)}
+
+
 @pytest.mark.parametrize("seed", [9, 10])
 def test_leader_links(spark, seed):
     rng = random.Random(seed)
