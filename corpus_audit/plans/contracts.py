@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from ..operators import detectors, duplicates, layered, pack_index, packs, rules, specs
-from ..streaming import jobs
+from ..streaming import jobs, live
 from . import inputs as i
 from .catalog import query
 from .graphs import GRAPH, module_edges
@@ -312,6 +314,19 @@ def stream_state(t):
     return jobs.current_state(t.spark, out).select("finding_id", "state", "event_id")
 
 
+@query("str06_live_findings", """
+SELECT finding_id, CASE WHEN state IN ('error', 'signup') AND seen + INTERVAL 6 HOUR < (SELECT max(ts) FROM events) - INTERVAL 1 HOUR THEN 'expired' ELSE state END AS state,
+event_id, updates, reopened FROM (SELECT 'f' || user_id || '-' || regexp_extract(props, '[0-9]+') AS finding_id, arg_max(event_type, (ts, event_id)) AS state, max(ts) AS seen,
+arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS updates, greatest(count(*) FILTER (event_type IN ('error', 'signup')) - 1, 0) AS reopened FROM events GROUP BY 1)""")
+def live_findings(t):
+    """Findings whose last state is open expire six hours after it, by timers of the stream."""
+    out, progress = _run(t, "live")
+    key = F.concat(F.lit("f"), "user_id", F.lit("-"), F.regexp_extract("props", "[0-9]+", 0))
+    updates = _events(t).select(key.alias("finding_id"), "at", "event_id", F.col("event_type").alias("state"))
+    live.live_findings(updates, out, progress, ("error", "signup"), timedelta(hours=6), "1 hour")
+    return live.live_table(t.spark, out).select("finding_id", "state", "event_id", "updates", "reopened")
+
+
 @query("src09_write_findings", i.ctes(*BASE) + "SELECT path, rule_id, line_start, 'all' AS scope, 'run-2' AS run_id FROM fnd")
 def write_findings(t):
     """Writing a run twice leaves one copy of it."""
