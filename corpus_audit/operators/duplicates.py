@@ -32,7 +32,7 @@ def _normalized(files: DataFrame) -> DataFrame:
     return files.select("path", F.filter(lines, lambda x: x.line != "").alias("lines"))
 
 
-def _windows(files: DataFrame, k: int) -> DataFrame:
+def windows(files: DataFrame, k: int) -> DataFrame:
     """(path, idx, line_start, line_end, hash): every run of k normalized lines."""
     w = _normalized(files).filter(F.size("lines") >= k)
     spans = F.transform(F.sequence(F.lit(1), F.size("lines") - (k - 1)), lambda i: F.struct(
@@ -44,7 +44,7 @@ def _windows(files: DataFrame, k: int) -> DataFrame:
 
 def repeated_blocks(files: DataFrame, k: int) -> DataFrame:
     """(hash, occurrences, files): runs of k lines that occur more than once."""
-    per_file = _windows(files, k).groupBy("hash", "path").agg(F.count(F.lit(1)).alias("n"))
+    per_file = windows(files, k).groupBy("hash", "path").agg(F.count(F.lit(1)).alias("n"))
     return (per_file.groupBy("hash").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("files"))
             .filter("occurrences > 1"))
 
@@ -55,7 +55,7 @@ def block_duplicates(files: DataFrame, k: int) -> DataFrame:
     Pairs of places are never listed, so a block that sits in a third of all files costs one row per
     place.  The window covers the lines of one file, which arrived as one cell.
     """
-    places = _windows(files, k).join(repeated_blocks(files, k).select("hash"), "hash", "left_semi")
+    places = windows(files, k).join(repeated_blocks(files, k).select("hash"), "hash", "left_semi")
     island = F.col("idx") - F.row_number().over(Window.partitionBy("path").orderBy("idx"))
     return (places.withColumn("island", island).groupBy("path", "island")
             .agg(F.min("line_start").alias("line_start"), F.max("line_end").alias("line_end")).drop("island"))

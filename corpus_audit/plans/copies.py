@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import components, duplicates, graph, similarity
+from ..operators import clones, components, duplicates, graph, similarity
 from . import inputs as i
 from .catalog import query
 from .inputs import sql_text
@@ -43,6 +43,25 @@ def block_duplicates(t):
     return duplicates.block_duplicates(i.prose_files(t), 3)
 
 
+# Repeated runs grow window by window until each is alone; m windows are m + 2 lines.
+_RUNS = r"""marks AS MATERIALIZED (SELECT path, idx, line_start, line_end, hash FROM full_win WHERE hash IN (SELECT hash FROM rep)),
+runs AS (SELECT path, idx, 1 AS m, hash AS code FROM marks
+UNION ALL SELECT path, idx, m, code FROM (SELECT r.path, r.idx, r.m + 1 AS m, md5(r.code || w.hash) AS code
+FROM runs r JOIN marks w ON w.path = r.path AND w.idx = r.idx + r.m) QUALIFY count(*) OVER (PARTITION BY code) > 1),
+known AS MATERIALIZED (SELECT * FROM runs),
+tops AS (SELECT path, idx, max(m) AS m, max_by(code, m) AS code FROM known GROUP BY 1, 2),
+starts AS (SELECT * FROM tops t WHERE NOT EXISTS (SELECT 1 FROM tops b WHERE b.path = t.path AND b.idx = t.idx - 1 AND b.m = t.m + 1)),
+classes AS (SELECT m, code, count(*) AS copies, min(ROW(path, idx)) AS first FROM known GROUP BY 1, 2)
+SELECT s.path, a.line_start, z.line_end, (s.m + 2)::BIGINT AS lines, c.copies, o.path AS origin_path, o.line_start AS origin_line
+FROM starts s JOIN classes c USING (m, code) JOIN marks a ON a.path = s.path AND a.idx = s.idx
+JOIN marks z ON z.path = s.path AND z.idx = s.idx + s.m - 1 JOIN marks o ON ROW(o.path, o.idx) = c.first"""
+
+
+@query("dup02_clone_classes", i.ctes(i.PROSE_LINES_SQL, _WINDOWS) .rstrip() + ",\n" + _RUNS)
+def clone_classes(t):
+    return clones.clone_classes(i.prose_files(t), 3)
+
+
 @query("dup03_repeated_lines", i.ctes(i.PROSE_LINES_SQL) + """
 SELECT line, count(*) AS occurrences, count(DISTINCT path) AS files FROM pl GROUP BY 1 HAVING count(*) >= 3""")
 def repeated_lines(t):
