@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..session import cut_lineage
+from .components import components
 from .pointers import chain_ends
 
 # Kind of edge and the pattern whose first group is the target.
@@ -244,14 +245,59 @@ def misplaced(files: DataFrame, layout: DataFrame) -> DataFrame:
 
 
 def _core(edges: DataFrame) -> DataFrame:
-    """Drop edges of modules without a way in or out until only possible cycles are left."""
-    while True:
-        before = edges.count()
-        inner = (edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-                 .join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
-        edges = cut_lineage(inner.select("src", "dst"))
-        if edges.count() == before:
-            return edges
+    """Drop edges of modules without a way in or without a way out."""
+    return (edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+            .join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+
+
+def _stretches(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, head, tail) of modules with one way in and one way out, and (module, component) of bare rings.
+
+    Head and tail are the modules at which the stretch of such modules begins and ends.  Pointers double their reach
+    every round, so a stretch costs rounds by the logarithm of its length.
+    """
+    out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("next")).filter("n = 1")
+    into = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("prev")).filter("n = 1")
+    single = cut_lineage(out.select(F.col("src").alias("key"), "next")
+                         .join(into.select(F.col("dst").alias("key"), "prev"), "key"))
+    if single.isEmpty():
+        return single.select(F.col("key").alias("node"), F.col("prev").alias("head"), F.col("next").alias("tail")), None
+    tails = chain_ends(single.select("key", "next"))
+    heads = chain_ends(single.select("key", F.col("prev").alias("next")))
+    ring = cut_lineage(tails.filter("ring").select("key").join(single.select("key", "next"), "key"))
+    rings = None if ring.isEmpty() else components(ring, "key", "next").select(F.col("node").alias("module"), "component")
+    spans = (tails.filter("NOT ring").select(F.col("key").alias("node"), F.col("end").alias("tail"))
+             .join(heads.select(F.col("key").alias("node"), F.col("end").alias("head")), "node").select("node", "head", "tail"))
+    return cut_lineage(spans), rings
+
+
+def _contracted(edges: DataFrame) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
+    """What is left of ``edges`` without dead ends and stretches, the stretches taken out round by round, and the rings met.
+
+    A stretch is replaced by an edge from its head to its tail, which may make a new loop, dead end or stretch.  As long as dead
+    ends alone halve the graph, they are all that leaves it.
+    """
+    taken, rings = [], []
+    size = edges.count()
+    while size:
+        edges = cut_lineage(_core(edges))
+        before, size = size, edges.count()
+        if size <= before / 2:
+            continue
+        spans, ring = _stretches(edges)
+        if ring is not None:
+            rings.append(ring)
+        inner = spans.select(F.col("node").alias("src")) if ring is None else spans.select(F.col("node").alias("src")).union(
+            ring.select("module"))
+        if not inner.isEmpty():
+            taken.append(spans)
+            edges = cut_lineage(edges.join(inner, "src", "left_anti")
+                                .join(inner.withColumnRenamed("src", "dst"), "dst", "left_anti").select("src", "dst")
+                                .union(spans.filter("head <> tail").select("head", "tail")).distinct())
+            size = edges.count()
+        if size == before:
+            break
+    return edges, taken, rings
 
 
 def _smallest_reaching(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -269,14 +315,14 @@ def _smallest_reaching(edges: DataFrame, labels: DataFrame) -> DataFrame:
 def cycles(edges: DataFrame) -> DataFrame:
     """(module, component): modules that reach themselves, named by the smallest module of the cycle.
 
-    Each round finds, for every start, the smallest module that reaches it; a module that carries its own
-    name is the smallest of its cycle group, and the group is whatever of its colour reaches back to it.
-    Found groups leave the graph.  Nothing ever lists pairs of modules.
+    Dead ends and stretches without a fork leave the graph first.  Each round then finds, for every start, the smallest module that
+    reaches it; a module that carries its own name is the smallest of its cycle group, and the group is whatever of its colour
+    reaches back to it.  Found groups leave the graph.  Stretches come back from the last round to the first: their modules are
+    in a cycle if head and tail are in the same.  Nothing ever lists pairs of modules.
     """
     edges = cut_lineage(_distinct_edges(edges))
     loops = edges.filter("src = dst").select(F.col("src").alias("module"))
-    rest = _core(edges.filter("src <> dst"))
-    found = []
+    rest, taken, found = _contracted(edges.filter("src <> dst"))
     while not rest.isEmpty():
         nodes = rest.select(F.col("src").alias("node")).union(rest.select("dst")).distinct()
         colour = _smallest_reaching(rest, nodes.withColumn("label", F.col("node")))
@@ -295,13 +341,23 @@ def cycles(edges: DataFrame) -> DataFrame:
             member = cut_lineage(member.unionByName(fresh))
         group = member.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component")
         found.append(member.join(group, "component").select(F.col("node").alias("module"), "component"))
-        rest = _core(rest.join(member.select(F.col("node").alias("src")), "src", "left_anti")
-                     .join(member.select(F.col("node").alias("dst")), "dst", "left_anti"))
-    alone = loops.withColumn("component", F.col("module"))
-    if not found:
-        return alone
-    grouped = reduce(DataFrame.unionByName, found)
-    return grouped.unionByName(alone.join(grouped, "module", "left_anti"))
+        rest = (rest.join(member.select(F.col("node").alias("src")), "src", "left_anti")
+                .join(member.select(F.col("node").alias("dst")), "dst", "left_anti"))
+        # Earlier rounds' heads and tails are modules of later rounds, so stretches stay in the order they were taken.
+        rest, more, rings = _contracted(cut_lineage(rest.select("src", "dst")))
+        taken, found = taken + more, found + rings
+    known = reduce(DataFrame.unionByName, found) if found else loops.select("module", F.col("module").alias("component")).limit(0)
+    for spans in reversed(taken):
+        # A stretch that comes back to its head makes a cycle of its own where the head is in no larger one.
+        turned = spans.filter("head = tail").select(F.col("head").alias("module")).distinct()
+        known = known.unionByName(turned.join(known, "module", "left_anti").withColumn("component", F.col("module")))
+        inside = (spans.join(known.select(F.col("module").alias("head"), "component"), "head")
+                  .join(known.select(F.col("module").alias("tail"), F.col("component").alias("other")), "tail")
+                  .filter("component = other").select(F.col("node").alias("module"), "component"))
+        known = cut_lineage(known.unionByName(inside))
+    names = known.groupBy("component").agg(F.min("module").alias("name"))
+    grouped = known.join(names, "component").select("module", F.col("name").alias("component"))
+    return grouped.unionByName(loops.withColumn("component", F.col("module")).join(grouped, "module", "left_anti"))
 
 
 def blast_radius(edges: DataFrame, changed: DataFrame, depth: int) -> DataFrame:

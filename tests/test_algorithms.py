@@ -95,6 +95,54 @@ def test_cycles(spark, seed):
     assert {r.module: r.component for r in graph.cycles(df).collect()} == expected
 
 
+@pytest.mark.parametrize("seed", [0, 1])
+def test_cycles_behind_stretches(spark, seed):
+    """Sparse graphs whose edges were drawn out into stretches, with bare rings, handles and dead ends."""
+    rng = random.Random(seed)
+    edges, fresh = set(), iter(range(100, 10000))
+    for _ in range(14):
+        a, b = rng.randrange(10), rng.randrange(10)
+        for _ in range(rng.choice([0, 0, 1, 3, 9])):
+            inner = next(fresh)
+            edges.add((a, inner))
+            a = inner
+        edges.add((a, b))
+    ring = [next(fresh) for _ in range(7)]
+    edges |= set(zip(ring, ring[1:] + ring[:1])) | {(next(fresh), 3), (4, next(fresh))}
+    out, into = defaultdict(set), defaultdict(set)
+    for a, b in edges:
+        out[a].add(b)
+        into[b].add(a)
+    def reached(start, step):
+        seen, todo = set(), list(step[start])
+        while todo:
+            node = todo.pop()
+            if node not in seen:
+                seen.add(node)
+                todo += step[node]
+        return seen
+    both = {node: reached(node, out) & reached(node, into) for node in list(out)}
+    expected = {node: min(group) for node, group in both.items() if node in group}
+    df = spark.createDataFrame(sorted(edges), "src int, dst int")
+    assert {r.module: r.component for r in graph.cycles(df).collect()} == expected
+
+
+def test_long_ring_takes_few_rounds(spark, monkeypatch):
+    n, cuts = 20_000, []
+    def counted(df):
+        cuts.append(1)
+        return cut(df)
+    cut = graph.cut_lineage
+    for module in (graph, components, pointers):
+        monkeypatch.setattr(module, "cut_lineage", counted)
+    ids = spark.range(n).select(F.col("id").alias("src"), ((F.col("id") + 1) % n).alias("dst"))
+    line = spark.range(n, 2 * n).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    handle = spark.createDataFrame([(5, 3 * n), (3 * n, 5)], "src long, dst long")
+    rows = graph.cycles(ids.union(line).union(handle)).groupBy("component").count().collect()
+    assert [tuple(row) for row in rows] == [(0, n + 1)]
+    assert len(cuts) < 100
+
+
 def test_blast_radius(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "c")], "src string, dst string")
     got = graph.blast_radius(edges, spark.createDataFrame([("d",)], "module string"), 2).collect()
