@@ -1,7 +1,7 @@
 """Quality rules judged per document and per host.
 
 Every document is measured on its own.  The failures of each rule are then counted by host, the rate of each host is
-shrunk towards the rate of all hosts with a beta prior fitted to the hosts' rates (method of moments), and a host
+shrunk towards the rate of all documents with a beta prior fitted by the moments of a beta-binomial, and a host
 whose shrunk rate of any rule is above ``max_rate`` is turned down together with its documents.  A host with few
 documents thus stays close to the common rate, a host with many stands for itself.
 
@@ -21,6 +21,7 @@ from .storage import stored
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\v\f\r"
+MIN_WEIGHT = 2.0
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -68,25 +69,39 @@ def rules() -> dict[str, Column]:
     }
 
 
+def prior(hosts: int, docs: int | None, squares: float | None, failures: int | None, own: float | None) -> tuple[float, float | None]:
+    """Mean and weight of the prior; no weight means that hosts do not differ beyond chance.
+
+    ``squares`` sums the squared sizes of the hosts, ``own`` the squared failures of each over its size.
+    """
+    if not docs:
+        return 0.0, None
+    mean, free = failures / docs, hosts - 1
+    room = docs - squares / docs - free
+    if not 0 < mean < 1 or room < 1e-9:
+        return mean, None
+    alike = ((own - failures * mean) / (mean * (1 - mean)) - free) / room
+    return mean, None if alike < 1e-9 else max(1 / alike - 1, MIN_WEIGHT)
+
+
 def host_verdicts(measured: DataFrame, max_rate: float = 0.75) -> DataFrame:
     """(host, n_docs, rate_<rule>..., host_failed): shrunk failure rates of every host.
 
-    The prior of a rule has the mean and the variance of the hosts' raw rates.  Hosts that do not differ, or a single
-    host, have no variance; their prior is the common mean with full weight.
+    The prior of a rule has the mean of all documents.  Its weight comes from the spread of the hosts' rates beyond what hosts of
+    their sizes show by chance, and is ``MIN_WEIGHT`` documents at least, so a host of one document stays near the common rate.
+    Hosts that do not differ beyond chance, hosts of one document each or a single host all get the common rate.
     """
     names = list(rules())
     hosts = (measured.filter("host IS NOT NULL").groupBy("host")
              .agg(F.count(F.lit(1)).alias("n_docs"), *[F.count_if(rule).alias(name) for name, rule in rules().items()]))
     hosts = stored(hosts, "hosts")
-    spread = hosts.agg(*[f(F.col(name) / F.col("n_docs")).alias(f"{part}_{name}") for name in names
-                         for part, f in (("mean", F.avg), ("var", F.var_pop))]).first()
+    size = F.col("n_docs").cast("double")
+    sums = hosts.agg(F.count(F.lit(1)).alias("hosts"), F.sum("n_docs").alias("docs"), F.sum(size * size).alias("squares"),
+                     *[F.sum(name).alias(f"sum_{name}") for name in names],
+                     *[F.sum(F.col(name).cast("double") * F.col(name) / size).alias(f"own_{name}") for name in names]).first()
     for name in names:
-        mean, var = spread[f"mean_{name}"], spread[f"var_{name}"]
-        if mean is None or not 1e-12 < var < mean * (1 - mean):
-            rate = F.lit(float(mean or 0.0))
-        else:
-            weight = mean * (1 - mean) / var - 1
-            rate = (F.col(name) + mean * weight) / (F.col("n_docs") + weight)
+        mean, weight = prior(sums["hosts"], sums["docs"], sums["squares"], sums[f"sum_{name}"], sums[f"own_{name}"])
+        rate = F.lit(mean) if weight is None else (F.col(name) + mean * weight) / (F.col("n_docs") + weight)
         hosts = hosts.withColumn(f"rate_{name}", F.round(rate, 6))
     failed = F.greatest(*[F.col(f"rate_{name}") for name in names]) > max_rate
     return hosts.select("host", "n_docs", *[f"rate_{name}" for name in names], failed.alias("host_failed"))

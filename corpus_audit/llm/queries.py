@@ -59,9 +59,12 @@ WITH words AS (
     count_if(10 * n_symbols > word_chars), count_if(10 * n_dup_lines > n_words)] AS failures
   FROM measured WHERE host IS NOT NULL GROUP BY host
 ), rates AS (SELECT host, n, unnest(failures) AS k, unnest([1, 2, 3, 4]) AS rule FROM hosts
-), prior AS (SELECT rule, avg(k / n) AS m, var_pop(k / n) AS v FROM rates GROUP BY rule
+), sums AS (
+  SELECT rule, sum(k) / sum(n) AS m, count(*) - 1 AS free, sum(n) - sum(n::DOUBLE * n) / sum(n) - (count(*) - 1) AS room,
+    sum(k::DOUBLE * k / n) - sum(k) * (sum(k) / sum(n)) AS s FROM rates GROUP BY rule
+), prior AS (SELECT rule, m, CASE WHEN m > 0 AND m < 1 AND room >= 1e-9 THEN (s / (m * (1 - m)) - free) / room ELSE 0 END AS alike FROM sums
 ), shrunk AS (
-  SELECT host, round(CASE WHEN v > 1e-12 AND v < m * (1 - m) THEN (k + m * (m * (1 - m) / v - 1)) / (n + m * (1 - m) / v - 1)
+  SELECT host, round(CASE WHEN alike >= 1e-9 THEN (k + m * greatest(1 / alike - 1, 2)) / (n + greatest(1 / alike - 1, 2))
     ELSE m END, 6) AS rate FROM rates JOIN prior USING (rule)
 ), verdicts AS (SELECT host, max(rate) > 0.75 AS host_failed FROM shrunk GROUP BY host)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,

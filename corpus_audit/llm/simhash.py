@@ -18,6 +18,9 @@ empty table gives an empty result.  Only the named columns are read.
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import batched
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -161,14 +164,79 @@ def grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words_e
             .select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id"))
 
 
-def kept(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words_each: int = 5, max_bits: int = 7) -> DataFrame:
-    """``docs`` with one row of every group, the first by doc_id (null last), with all its columns."""
+def fingerprint_pair(text: str | None, words_each: int) -> tuple[int, int]:
+    """Two independent 64-bit fingerprints, from the halves of every shingle's XXH128 (seed 42)."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    shingles = zip(*(words[at:] for at in range(words_each))) if len(words) >= words_each else [words] if words else []
+    counts, total = np.zeros(128, dtype=np.int64), 0
+    for part in batched(map(b" ".join, shingles), STEPS):
+        digests = np.frombuffer(b"".join(xxhash.xxh128_digest(shingle, 42) for shingle in part), np.uint8).reshape(-1, 16)
+        counts += np.unpackbits(digests, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        total += len(digests)
+    low, high = np.packbits(counts * 2 > total, bitorder="little").view("<i8")
+    return int(low), int(high)
+
+
+def fingerprint_pairs(text: Column, words_each: int) -> Column:
+    @F.pandas_udf("f0 long, f1 long")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([fingerprint_pair(t, words_each) for t in texts], columns=["f0", "f1"], dtype="int64")
+    return of(text)
+
+
+def shingle_sets(text: Column, words_each: int) -> Column:
+    """The distinct shingle hashes of every text."""
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t, words_each)).view(np.int64) for t in texts])
+    return of(text)
+
+
+def _near_links(nodes: DataFrame, max_bits: int) -> DataFrame:
+    """(a, b): nodes that one of their two fingerprints puts within ``max_bits``, as a forest for each of the two.
+
+    Nodes that share a fingerprint hang onto the smallest of them, which meets the others for them.
+    """
+    found = []
+    for name in ("f0", "f1"):
+        shared = stored(nodes.groupBy(name).agg(F.min("node").alias("head")), "shared")
+        found.append(nodes.join(shared, name).filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")))
+        near = links(shared.select(F.col(name).alias("node")), max_bits)
+        found.append(near.join(shared.select(F.col(name).alias("a"), F.col("head").alias("ha")), "a")
+                     .join(shared.select(F.col(name).alias("b"), F.col("head").alias("hb")), "b").select("ha", "hb"))
+    pairs = reduce(DataFrame.union, found)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those ``pairs`` whose shingle sets have at least this Jaccard similarity; two empty sets are alike."""
+    of = lambda side: sets.select(F.col("node").alias(side), F.col("grams").alias(f"grams_{side}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("n", F.size(F.array_intersect("grams_a", "grams_b")))
+    either = F.size("grams_a") + F.size("grams_b") - F.col("n")
+    return both.filter((either == 0) | (F.col("n") >= similarity * either)).select("a", "b")
+
+
+def kept(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words_each: int = 2, max_bits: int = 7,
+         verify_words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row of every group, the first by doc_id (null last), with all its columns.
+
+    Candidates are texts of which one of two fingerprints of ``words_each``-word shingles differs in at most ``max_bits`` bits; they are
+    linked if the sets of their ``verify_words``-word shingles are similar enough.  Texts equal in all 128 bits count as copies.
+    """
     record = F.struct(*[F.col(f"`{name}`") for name in docs.columns])
-    marked = stored(docs.select(record.alias("record"), F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"),
-                                fingerprints(F.col(text), words_each).alias("node")), "fingerprints")
+    marked = docs.select(record.alias("record"), F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"),
+                         fingerprint_pairs(F.col(text), words_each).alias("f"))
+    marked = stored(marked.select("record", "doc_id", "row", "f.f0", "f.f1", F.xxhash64("f.f0", "f.f1").alias("node")), "fingerprints")
     # Rows are counted in by fingerprint before groups come in, so that a large group of copies is one row from then on.
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("row"))
-    firsts = marked.groupBy("node").agg(F.min(place).alias("first")).join(_rooted(marked, max_bits).select("node", "root"), "node")
+    firsts = stored(marked.groupBy("node", "f0", "f1").agg(F.min(place).alias("first")), "nodes")
+    pairs = stored(_near_links(firsts, max_bits), "candidates")
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    asked = firsts.join(asked, "node", "left_semi").select("node", F.col("first.row").alias("row"))
+    texts = marked.select("row", F.col(f"record.`{text}`").alias("text")).join(asked, "row")
+    sets = stored(texts.select("node", shingle_sets(F.col("text"), verify_words).alias("grams")), "shingles")
+    roots = components(_similar(pairs, sets, similarity)).withColumnRenamed("component", "root")
+    firsts = firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     heads = firsts.groupBy("root").agg(F.min("first").alias("head"))
     heads = firsts.join(heads, "root").select("node", F.col("head.row").alias("head"))
     dropped = stored(marked.select("node", "row").join(heads, "node").filter("row <> head").select("row"), "near-copies")
