@@ -19,7 +19,8 @@ that pass it are emitted, and the join decides.  A large benchmark fills the bit
 Defined cases: null and empty texts have no windows; a window with fewer than two plain words is not compared, since
 placeholders alone say nothing; an item whose literal tokens weigh less than ``MIN_WEIGHT`` (a character 1, others 2) is too
 little to tell from chance and is not searched word for word; repeated items are found
-each under its own id, repeated rows of a document give one result; rows without doc_id are taken together under null;
+each under its own id, repeated rows of a document give one result; rows that share a doc_id (or an item_id) but not a text are
+compared one by one and the best result of the id is returned, those without an id under null;
 an empty table on either side gives an empty result.  Only the named columns are read.
 """
 
@@ -61,7 +62,7 @@ LITERAL = re.compile(r"\d+(?:[.,:/]\d+)*|[-+*/^=<>%$€£°±×÷−√∑∫≤
                      + "|(?:(?!" + BLANKLESS.pattern + r")[^\W\d_])+")
 KINDS = {"\x01": "<name>", "\x02": "<unit>"}
 WINDOWS = T.StructType([
-    T.StructField("key", T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField("hash", T.LongType()),
+    T.StructField("key", T.LongType()), T.StructField("content", T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField("hash", T.LongType()),
     T.StructField("template", T.StringType()), T.StructField("slots", T.ArrayType(T.StringType())),
     T.StructField("n_windows", T.IntegerType()), T.StructField("length", T.IntegerType()),
 ])
@@ -155,6 +156,7 @@ def windows(rows: DataFrame, key: str, text: str, bitmap: bytes | None = None, l
     """The windows by which each item is searched; with a bitmap the windows of every text whose hash is in it.
 
     ``length`` is 0 for a template window, else the number of literal tokens; texts are cut into those of ``lengths``.
+    ``content`` is the hash of the whole text, which tells rows apart that share a key.
     """
     session = rows.sparkSession
     shared = session.sparkContext.broadcast(bitmap) if bitmap is not None else None
@@ -166,6 +168,7 @@ def windows(rows: DataFrame, key: str, text: str, bitmap: bytes | None = None, l
             found = []
             for owner, words in zip(batch["key"], batch["text"]):
                 owner = None if pd.isna(owner) else int(owner)
+                content = xxhash.xxh64_intdigest((words or "").encode("utf-8", "surrogatepass")) - (1 << 63)
                 tokens = template_tokens(words)
                 hashes = window_hashes(tokens, known)
                 places = range(len(hashes)) if wanted is None else _passing(hashes, wanted)
@@ -189,8 +192,8 @@ def windows(rows: DataFrame, key: str, text: str, bitmap: bytes | None = None, l
                                     for length, marks in literal_hashes(tokens, [literal_length(len(tokens))], literals)]
                     if not templated:
                         own = []
-                found += [(owner, *window, len(own), 0) for window in own]
-                found += [(owner, int(at), int(marks[at].view(np.int64)), " ".join(tokens[at:at + length]), [], len(at_all), length)
+                found += [(owner, content, *window, len(own), 0) for window in own]
+                found += [(owner, content, int(at), int(marks[at].view(np.int64)), " ".join(tokens[at:at + length]), [], len(at_all), length)
                           for length, marks, at_all in cuts for at in at_all]
             frame = pd.DataFrame(found, columns=WINDOWS.fieldNames())
             yield frame.astype({"key": "Int64"})
@@ -218,34 +221,37 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str
     n_items = items.count()
     lengths = sorted(row["length"] for row in items.filter("length > 0").select("length").distinct().collect())
     found = windows(docs, doc_id, text, _bitmap(items), lengths).select(
-        F.col("key").alias("doc_id"), F.col("pos").alias("doc_pos"), "hash", "template", F.col("slots").alias("doc_slots"), "length")
-    side = items.select(F.col("key").alias("item_id"), F.col("pos").alias("item_pos"), "hash", "template",
+        F.col("key").alias("doc_id"), "content", F.col("pos").alias("doc_pos"), "hash", "template", F.col("slots").alias("doc_slots"), "length")
+    side = items.select(F.col("key").alias("item_id"), F.col("content").alias("item_content"), F.col("pos").alias("item_pos"), "hash", "template",
                         F.col("slots").alias("item_slots"), "n_windows", "length")
     met = found.join(F.broadcast(side) if n_items <= BROADCAST_WINDOWS else side, ["hash", "template", "length"])
     met = stored(met.withColumn("shift", F.col("doc_pos") - F.col("item_pos")).drop("hash", "template"), "met-windows")
 
     literal, met = met.filter("length > 0"), met.filter("length = 0")
-    literal = (literal.groupBy("doc_id", "item_id", "shift")
+    literal = (literal.groupBy("doc_id", "content", "item_id", "item_content", "shift")
                .agg(F.count_distinct("item_pos").alias("n_matched"), F.max("n_windows").alias("n_windows"))
                .filter("n_matched = n_windows").select("doc_id", "item_id", F.lit(1.0).alias("coverage"), F.lit(True).alias("verbatim"),
                                                        "n_matched", "n_windows"))
 
-    # A slot value and its counterpart, in both directions, must be one to one on a diagonal.
+    # A slot value and its counterpart, in both directions, must be one to one on a diagonal, which belongs to
+    # two texts: rows that share an id but not a text do not spoil each other.
+    diagonal = ["doc_id", "content", "item_id", "item_content", "shift"]
     slots = (met.filter(F.size("item_slots") > 0)
-             .select("doc_id", "item_id", "shift", F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("s")).distinct())
-    loose = slots.select("doc_id", "item_id", "shift", F.explode(F.array(
+             .select(*diagonal, F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("s")).distinct())
+    loose = slots.select(*diagonal, F.explode(F.array(
         F.struct(F.lit(0).alias("side"), F.col("s.item_slots").alias("value")),
         F.struct(F.lit(1).alias("side"), F.col("s.doc_slots").alias("value")))).alias("v"))
-    clash = (loose.groupBy("doc_id", "item_id", "shift", "v").count().filter("count > 1")
-             .select("doc_id", F.col("item_id").alias("i"), F.col("shift").alias("s"), F.lit(True).alias("clash")).distinct()
-             .withColumnRenamed("doc_id", "d"))
-    diagonals = met.groupBy("doc_id", "item_id", "shift").agg(
+    clash = (loose.groupBy(*diagonal, "v").count().filter("count > 1")
+             .select(F.col("doc_id").alias("d"), F.col("content").alias("c"), F.col("item_id").alias("i"),
+                     F.col("item_content").alias("ic"), F.col("shift").alias("s"), F.lit(True).alias("clash")).distinct())
+    diagonals = met.groupBy(*diagonal).agg(
         F.count_distinct("item_pos").alias("run"), F.collect_set("item_pos").alias("places"),
         F.max("n_windows").alias("n_windows"), F.bool_and(F.col("item_slots") == F.col("doc_slots")).alias("verbatim"))
     consistent = diagonals.join(clash, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("item_id").eqNullSafe(F.col("i"))
+                                & (F.col("content") == F.col("c")) & (F.col("item_content") == F.col("ic"))
                                 & (F.col("shift") == F.col("s")), "left").filter("clash IS NULL")
     covered = F.size(F.array_distinct(F.flatten(F.collect_list("places"))))
-    by_templates = (consistent.groupBy("doc_id", "item_id")
+    by_templates = (consistent.groupBy("doc_id", "content", "item_id", "item_content")
                     .agg(covered.alias("n_matched"), F.max("n_windows").alias("n_windows"), F.max("run").alias("run"),
                          F.bool_and("verbatim").alias("verbatim"))
                     .withColumn("coverage", F.round(F.col("n_matched") / F.col("n_windows"), 6))

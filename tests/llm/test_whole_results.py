@@ -72,6 +72,17 @@ def test_only_comparable_windows_count_as_an_items_windows(spark):
     assert row["n_windows"] == comparable < len(tokens) - 4 and row["coverage"] == 1.0
 
 
+def test_texts_under_one_id_are_compared_one_by_one(spark):
+    item = "A farmer named Alice sold 12 apples to her friend and then gave 7 pears to the old man at the market before noon"
+    other = item.replace("12", "40").replace("7", "9")
+    docs, items = "doc_id long, text string, content long, shift int", "item_id long, text string, content long, item_slots string"
+    rows = [(1, item, 5, 5), (1, other, 6, 6), (1, None, 5, 5), (None, other, 5, 5), (None, item, None, None), (2, other, 5, 5)]
+    asked = [(9, item, 5, "x"), (9, "What else stands under this number? It is something different, of course, and longer by far", 5, "x")]
+    found = decontaminate.leaks(spark.createDataFrame(rows, docs), spark.createDataFrame(asked, items)).collect()
+    assert {(row["doc_id"], row["item_id"]): row["verbatim"] for row in found} == {(1, 9): True, (None, 9): True, (2, 9): False}
+    assert len(found) == 3 and all(row["coverage"] == 1.0 for row in found)
+
+
 def test_clean_rows_stay_whatever_rows_share_their_id(spark, tmp_path):
     spark.createDataFrame([(1, PROSE)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     half = len(PROSE.split()) // 2
