@@ -65,15 +65,16 @@ def bigrams(ids: np.ndarray) -> np.ndarray:
 
 
 def _pair_counts(rows: DataFrame) -> DataFrame:
-    """(key, n): toxic occurrences of a bigram in the upper, ordinary ones in the lower half of ``n``."""
+    """(key, n0, n1): ordinary and toxic occurrences of every bigram."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for toxic, part in batch.groupby("toxic"):
                 keys = [bigrams(ids) for ids in map(word_ids, part["text"]) if len(ids)]
                 if keys:
                     found, n = np.unique(np.concatenate(keys), return_counts=True)
-                    yield pd.DataFrame({"key": found.view(np.int64), "n": n << 32 if toxic else n})
-    return rows.mapInPandas(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+                    yield pd.DataFrame({"key": found.view(np.int64), "n0": 0 if toxic else n, "n1": n if toxic else 0})
+    counted = rows.mapInPandas(count, "key long, n0 long, n1 long")
+    return counted.groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
 WORDS = ("n0", "n1", "types0", "types1", "types")
@@ -84,14 +85,13 @@ def _split(pairs: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, counts = [], []
         for batch in batches:
-            keys, n = batch["key"].to_numpy(np.int64), batch["n"].to_numpy(np.int64)
-            low, high = n & 0xFFFFFFFF, n >> 32
+            keys, low, high = (batch[name].to_numpy(np.int64) for name in ("key", "n0", "n1"))
             kept = low + high >= MIN_COUNT
             empty = pd.array([None] * int(kept.sum()), dtype="Int64")
             yield pd.DataFrame({"key": keys[kept], "n0": low[kept], "n1": high[kept], "types0": empty, "types1": empty,
                                 "types": empty})
             words.append((keys.view(np.uint64) & LOW).astype(np.uint32))
-            counts.append(np.stack([low, high]).astype(np.int32))
+            counts.append(np.stack([low, high]))
         if words:
             found, place, types = np.unique(np.concatenate(words), return_inverse=True, return_counts=True)
             both = np.concatenate(counts, axis=1)

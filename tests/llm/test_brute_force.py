@@ -186,6 +186,16 @@ def test_toxicity_on_held_out_documents_and_by_join(spark):
     assert sum(row["predicted"] for row, label in held if not label) <= 0.05 * len(clean)
 
 
+def test_expression_counts_are_kept_by_class_whatever_their_size(spark):
+    texts = spark.createDataFrame([("one two one", 1), ("one two", 0), ("one two", 0), ("", 0), (None, 1)], "text string, toxic int")
+    key = {pair: int(toxicity.bigrams(toxicity.word_ids(pair))[1]) for pair in ("one two", "two one")}
+    found = {row["key"] & (2 ** 64 - 1): (row["n0"], row["n1"]) for row in toxicity._pair_counts(texts).collect()}
+    assert found[key["one two"]] == (2, 1) and found[key["two one"]] == (0, 1)
+    large = spark.createDataFrame([(7, 5_000_000_000, 3), (2 ** 32 + 7, 1, 6_000_000_000)], "key long, n0 long, n1 long")
+    words = toxicity._split(large.coalesce(1)).filter("types IS NOT NULL").collect()
+    assert [(row["key"], row["n0"], row["n1"], row["types0"], row["types1"]) for row in words] == [(7, 5_000_000_001, 6_000_000_003, 2, 2)]
+
+
 def test_poisson_copies_have_the_target_mean(spark):
     docs = spark.range(4000).selectExpr("id AS doc_id", "repeat('x', 10) AS text", "if(id % 4 = 0, 'a', 'b') AS source")
     targets = spark.createDataFrame([("a", 3.0), ("b", 1.0)], "source string, weight double")
