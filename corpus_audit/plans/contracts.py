@@ -6,7 +6,7 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from ..operators import detectors, duplicates, layered, pack_index, packs, rules, specs
+from ..operators import config_documents, detectors, duplicates, layered, pack_index, packs, rules, specs
 from ..streaming import jobs, live
 from . import inputs as i
 from .catalog import query
@@ -149,6 +149,52 @@ def extract(t):
     return layered.extract(layered.resolve(config(t)), ["economy.red.bolt", "small", "absent.key"]).select("project", "path", "value")
 
 
+# Every part is the document of one layer; four parts are a project.  One setting is a scalar, a table or absent.
+_DOCS = """pl AS (SELECT 'app-' || (p_partkey // 4) AS project, p_partkey % 4 AS layer, p_size % 3 AS shape, p_size % 4 AS k, p_size, p_type, p_retailprice::DECIMAL(12,2) AS price FROM part),
+ag AS (SELECT project, layer, unnest([0, 1]) AS place, unnest(['a' || (p_size % 3), 'b' || (p_size % 2)]) AS code FROM pl),
+tp AS (SELECT project, max(layer) AS layer, arg_max(shape, layer) AS shape FROM pl WHERE shape < 2 GROUP BY 1),
+sc AS (SELECT project, max(layer) AS until FROM pl WHERE shape = 0 GROUP BY 1),
+rd AS (SELECT project, 'name' AS path, '"' || arg_max(p_type, layer) || '"' AS value, max(layer) AS layer FROM pl GROUP BY 1
+UNION ALL SELECT project, 'limits.by.k' || k, arg_max(price, layer)::VARCHAR, max(layer) FROM pl GROUP BY project, k
+UNION ALL SELECT project, 'mode', '"' || p_type || '"', layer FROM pl JOIN tp USING (project, layer) WHERE tp.shape = 0
+UNION ALL SELECT project, 'mode.k' || k, arg_max(p_size, pl.layer)::VARCHAR, max(pl.layer) FROM pl JOIN tp USING (project) LEFT JOIN sc USING (project) WHERE tp.shape = 1 AND pl.shape = 1 AND pl.layer > coalesce(until, -1) GROUP BY project, k
+UNION ALL SELECT project, 'tags', '[' || string_agg('"' || p_type || '",' || p_size, ',' ORDER BY layer) || ']', max(layer) FROM pl GROUP BY 1
+UNION ALL SELECT project, 'agents', '[' || string_agg('{"code":"' || code || '","layer":' || latest || '}', ',' ORDER BY first_place) || ']', max(latest)
+FROM (SELECT project, code, max(layer) AS latest, min(layer * 2 + place) AS first_place FROM ag GROUP BY 1, 2) GROUP BY 1)"""
+
+
+def config_layers(t):
+    """(project, layer, document) with nested tables, keyed and plain arrays."""
+    quoted = F.concat(F.lit('"'), "p_type", F.lit('"'))
+    shape, k, size = F.col("p_size") % 3, F.concat(F.lit('"k'), F.col("p_size") % 4, F.lit('"')), F.col("p_size").cast("string")
+    layer = (F.col("p_partkey") % 4).cast("string")
+    mode = (F.when(shape == 0, F.concat(F.lit(',"mode":'), quoted)).when(shape == 1, F.concat(F.lit(',"mode":{'), k, F.lit(":"), size, F.lit("}")))
+            .otherwise(""))
+    agents = [F.concat(F.lit(f'{{"code":"{name}'), (F.col("p_size") % n).cast("string"), F.lit('","layer":'), layer, F.lit("}"))
+              for name, n in (("a", 3), ("b", 2))]
+    document = F.concat(F.lit('{"name":'), quoted, F.lit(',"limits":{"by":{'), k, F.lit(":"), F.col("p_retailprice").cast("decimal(12,2)").cast("string"),
+                        F.lit("}}"), mode, F.lit(',"tags":['), quoted, F.lit(","), size, F.lit('],"agents":['), agents[0], F.lit(","), agents[1], F.lit("]}"))
+    return t.part.select(F.concat(F.lit("app-"), F.floor(F.col("p_partkey") / 4)).alias("project"),
+                         (F.col("p_partkey") % 4).alias("layer"), document.alias("document"))
+
+
+# Prices are compared as numbers, since a JSON number has no trailing zeros.
+_NUMBERS = "CASE WHEN path LIKE 'limits.%' THEN round(value::DOUBLE, 2)::VARCHAR ELSE value END AS value"
+
+
+@query("cfg01_resolve_documents", i.ctes(_DOCS) + f"SELECT project, path, {_NUMBERS}, layer FROM rd")
+def resolve_documents(t):
+    found = config_documents.resolve(config_layers(t))
+    number = F.round(F.col("value").try_cast("double"), 2).cast("string")
+    return found.select("project", "path", F.when(F.col("path").startswith("limits."), number).otherwise(F.col("value")).alias("value"), "layer")
+
+
+@query("cfg03_extract_documents", i.ctes(_DOCS) + "SELECT project, path, value, layer FROM rd WHERE path LIKE 'mode%' OR path = 'agents'")
+def extract_documents(t):
+    found = layered.extract(config_documents.resolve(config_layers(t)), ["mode", "agents", "absent.key"])
+    return found.select("project", "path", "value", "layer")
+
+
 DEFAULTS = {"economy.red.bolt": "900.00", "small.blue.ring": "901.10", "absent.key": "1"}
 
 
