@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import clones, components, duplicates, graph, similarity
+from ..operators import clones, components, duplicates, graph, similarity, sketches
+from ..session import cut_lineage
 from . import inputs as i
 from .catalog import query
 from .inputs import sql_text
@@ -179,6 +180,18 @@ def hotspots(t):
         "path", "zone", "complexity", F.round("zone_bar", 6).alias("zone_bar"))
 
 
+@query("dup09_complexity_sketches", i.ctes(i.CODE_SQL, _CX) + "SELECT zone, count(*) AS n, true AS within FROM cx GROUP BY 1")
+def complexity_sketches(t):
+    """The 0.9 quantile of each zone from the sketches of four runs, whose exact rank is at most 1 % off."""
+    measured = cut_lineage(duplicates.complexity(i.code_files(t)))
+    runs = sketches.measure_sketches(measured, "complexity", F.concat(F.lit("run-"), F.pmod(F.xxhash64("path"), F.lit(4))))
+    bars = sketches.quantiles(runs, 0.9)
+    share = [F.avg((F.col("complexity") < F.col("bar")).cast("double")), F.avg((F.col("complexity") <= F.col("bar")).cast("double"))]
+    off = 0.01 + 1 / F.first("n")
+    return measured.join(bars, "zone").groupBy("zone").agg(
+        F.first("n").alias("n"), ((share[0] <= 0.9 + off) & (share[1] >= 0.9 - off)).alias("within"))
+
+
 @query("dup10_untested_modules", i.ctes(i.CODE_SQL) + f"""
 SELECT path FROM code WHERE regexp_matches(text, {sql_text(duplicates.LOGIC)})
 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)""")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import corpus_map, graph, refresh
+from ..operators import corpus_map, graph, refresh, sketches
 from . import inputs as i
 from .catalog import query
 from .graphs import ALIASES, GRAPH, module_edges, zoned
@@ -126,6 +126,17 @@ def author_spread(t):
     return corpus_map.author_spread(h, h.filter("value > 200").select("author"))
 
 
+@query("map09_author_sketches", i.ctes(i.HISTORY_SQL) + "SELECT zone, count(DISTINCT author) AS authors, true AS within FROM history GROUP BY 1")
+def author_sketches(t):
+    """The spread from kept and refreshed sketches, held against the exact one: at most 2 % off."""
+    h = i.history(t)
+    kept = sketches.author_sketches(h.filter("changed_at < timestamp_ntz'2024-01-16'"), period="week")
+    spread = sketches.author_spread(sketches.refreshed_authors(kept, h.filter("changed_at >= timestamp_ntz'2024-01-14'"), "week"))
+    exact = h.groupBy("zone").agg(F.countDistinct("author").alias("authors"))
+    near = F.abs(F.col("estimate") - F.col("authors")) <= 0.02 * F.col("authors")
+    return exact.join(spread.withColumnRenamed("authors", "estimate"), "zone").select("zone", "authors", near.alias("within"))
+
+
 @query("map10_hot_zones", i.ctes(i.HISTORY_SQL) + "SELECT zone, count(*) AS changes FROM history GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 def hot_zones(t):
     return corpus_map.hot_zones(i.history(t))
