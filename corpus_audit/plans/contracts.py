@@ -6,7 +6,7 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from ..operators import config_documents, detectors, duplicates, layered, pack_index, packs, rules, specs
+from ..operators import config_documents, detectors, duplicates, layered, pack_index, packs, rules, specs, table_detectors
 from ..streaming import jobs, live
 from . import inputs as i
 from .catalog import query
@@ -245,6 +245,49 @@ def per_file_detector(t):
     return detectors.per_file(i.code_files(t), _long_functions, axiom=3).select("path", "line_start", "line_end")
 
 
+def _spans_unless_weak(path, text):
+    """Function spans; files that name a weak hash are refused."""
+    if "md5(" in text:
+        raise ValueError("weak hash")
+    for _, start, end, message in _long_functions(path, text):
+        yield "FN-span", start, end, message, end - start + 1
+
+
+@query("udf02_table_function", i.ctes(i.CODE_LINES_SQL) + """
+SELECT path, line_start, line_no AS line_end, line_no - line_start + 1 AS size, 'none' AS degraded FROM (SELECT path, line_no, raw, max(CASE WHEN starts_with(raw, 'export function') THEN line_no END) OVER w AS line_start,
+max(CASE WHEN raw = '}' THEN line_no END) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS closed, max(contains(raw, 'md5(')) OVER (PARTITION BY path) AS weak FROM cl WINDOW w AS (PARTITION BY path ORDER BY line_no))
+WHERE raw = '}' AND line_start IS NOT NULL AND coalesce(closed, 0) < line_start AND NOT weak UNION ALL SELECT DISTINCT path, -1, -1, -1, 'ValueError: weak hash' FROM cl WHERE contains(raw, 'md5(')""")
+def table_function(t):
+    found = table_detectors.per_file(i.code_files(t), _spans_unless_weak, "size int")
+    return found.select("path", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("line_start", "line_end", "size")],
+                        F.coalesce("degraded", F.lit("none")).alias("degraded"))
+
+
+class _Returns:
+    """Changes by whoever made the change before."""
+
+    def __init__(self):
+        self.author, self.at = None, 0
+
+    def row(self, row):
+        self.at += 1
+        if row["author"] == self.author:
+            yield "HIS-again", self.at - 1, self.at, row["author"], row["event_id"]
+        self.author = row["author"]
+
+    def end(self):
+        yield "HIS-changes", 1, self.at, None, None
+
+
+@query("udf02_partitioned_table", i.ctes(i.HISTORY_SQL) + """
+SELECT zone, 'HIS-again' AS rule_id, place - 1 AS line_start, place AS line_end, event_id FROM (SELECT *, row_number() OVER w AS place, lag(author) OVER w AS before FROM history WINDOW w AS (PARTITION BY zone ORDER BY changed_at, event_id))
+WHERE author = before UNION ALL SELECT zone, 'HIS-changes', 1, count(*), -1 FROM history GROUP BY 1""")
+def partitioned_table(t):
+    history = i.history(t).select("zone", "author", "changed_at", F.col("event_id").cast("bigint").alias("event_id"))
+    found = table_detectors.per_group(history, _Returns, "zone", ["changed_at", "event_id"], "event_id bigint")
+    return found.select("zone", "rule_id", "line_start", "line_end", F.coalesce("event_id", F.lit(-1)).alias("event_id"))
+
+
 @query("udf03_load_pack", i.ctes(i.CODE_LINES_SQL) + """
 SELECT path, 'NAT-' || n_nationkey AS rule_id, line_no AS line_start FROM sl JOIN nation ON regexp_matches(line, 'src' || n_nationkey || '/doc_')""")
 def load_pack(t):
