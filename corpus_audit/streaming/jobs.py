@@ -31,12 +31,16 @@ def work_folder(spark: SparkSession, name: str) -> str:
 
 
 def stream_table(spark: SparkSession, folder: str, pattern: str, files_per_batch: int | None = None) -> DataFrame:
-    """Parquet files arriving in a folder; the schema is that of the files already there."""
-    schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    """Parquet files arriving in a folder; the schema is that of the files already there.
+
+    What matches ``pattern`` may be a file or a folder of part files.
+    """
+    # As a glob, so that Spark does not take a single file for the base folder of a table.
+    path = f"{folder}/{{{pattern}}}"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    return reader.parquet(path)
 
 
 def write_batches(stream: DataFrame, out: str, checkpoint: str, mode: str = "append",

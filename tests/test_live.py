@@ -36,3 +36,13 @@ def test_states_expire_and_survive_a_restart(spark, tmp_path):
     found = rows_of(spark, out)
     assert found["a"][0] == found["b"][0] == live.EXPIRED
     assert found["d"] == ("open", 60, 2, 1) and found["e"] == ("open", 60, 1, 0) and found["z"][0] == "fixed"
+
+
+def test_tables_may_be_files_or_folders(spark, tmp_path):
+    spark.range(5).coalesce(1).write.parquet(str(tmp_path / "in/parts.parquet"))
+    spark.range(5, 8).coalesce(1).write.parquet(str(tmp_path / "one"))
+    next((tmp_path / "one").glob("part-*")).rename(tmp_path / "in/single.parquet")
+    for pattern, ids in (("parts.parquet", range(5)), ("single.parquet", range(5, 8)), ("*.parquet", range(8))):
+        out, progress = jobs.work_folder(spark, "copied"), jobs.work_folder(spark, "copied-progress")
+        jobs.write_batches(jobs.stream_table(spark, str(tmp_path / "in"), pattern), out, progress)
+        assert sorted(row["id"] for row in jobs.read_batches(spark, out).collect()) == list(ids)
