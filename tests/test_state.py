@@ -151,3 +151,12 @@ def test_stream_ingest_counts_late_rows(spark, tmp_path):
     second = run()
     assert sorted(r.record_id for r in jobs.read_batches(spark, out).collect()) == ["a", "b", "c"]
     assert (first, second) == (0, 1)
+
+
+def test_entry_at_half_its_incidence_does_not_fade(spark, tmp_path):
+    from corpus_audit.plans import governance
+    from corpus_audit.plans.catalog import Tables
+    spark.sql("select 7L as p_partkey, 't' as p_type, 'b' as p_brand, 'n' as p_name, 16 as p_size").write.parquet(str(tmp_path / "part.parquet"))
+    # 16 of 60 at confirmation, 4 of 30 now.
+    spark.range(30).selectExpr("7L as l_partkey", "if(id < 4, 'A', 'N') as l_returnflag").write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert [row["status"] for row in governance.decay(Tables(spark, str(tmp_path))).collect()] == ["confirmed"]
