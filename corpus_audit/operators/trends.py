@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -83,7 +84,8 @@ def ancestry_rank(commits: DataFrame) -> DataFrame:
     """(sha, generation): longest path from a root commit; wall clock plays no part.
 
     ``commits(sha, parent_sha)`` has one row per parent.  Unbranched stretches are shortened first, so the rounds follow the
-    merges on a path and not the number of commits.
+    merges on a path and not the number of commits.  A stretch is ranked once, in the round in which the last of its parents
+    is, and only stretches ranked in the round before make offers.
     """
     commits = cut_lineage(commits.select("sha", "parent_sha").distinct())
     parents = commits.filter("parent_sha is not null")
@@ -93,17 +95,33 @@ def ancestry_rank(commits: DataFrame) -> DataFrame:
         parents.join(heads, F.col("sha") == F.col("head"), "left_semi")
         .join(pointers.select(F.col("sha").alias("parent_sha"), F.col("head").alias("above"), "dist"), "parent_sha")
         .groupBy(F.col("sha").alias("head"), "above").agg((F.max("dist") + 1).alias("weight")))
-    ranks = cut_lineage(heads.withColumn("generation", F.lit(0).cast("bigint")))
-    while True:
-        offers = (steps.join(ranks.select(F.col("head").alias("above"), "generation"), "above")
-                  .groupBy("head").agg(F.max(F.col("generation") + F.col("weight")).alias("offer")))
-        moved = cut_lineage(ranks.join(offers, "head", "left").select(
-            "head", F.greatest("generation", F.coalesce("offer", "generation")).alias("generation"),
-            F.coalesce(F.col("offer") > F.col("generation"), F.lit(False)).alias("moved")))
-        ranks = moved.drop("moved")
-        if moved.filter("moved").isEmpty():
-            break
-    return (pointers.join(ranks, "head").select("sha", (F.col("generation") + F.col("dist")).alias("generation")))
+    needs = steps.groupBy("head").agg(F.count(F.lit(1)).alias("need"))
+    steps = cut_lineage(steps.join(needs, "head"))
+    frontier = cut_lineage(heads.join(steps, "head", "left_anti").withColumn("generation", F.lit(0).cast("bigint")))
+    ranked, waiting = [frontier], None
+    while size := frontier.count():
+        offers = (steps.join(_small(frontier.withColumnRenamed("head", "above"), size), "above")
+                  .select("head", "need", F.lit(1).cast("bigint").alias("got"), (F.col("generation") + F.col("weight")).alias("generation")))
+        offers = offers if waiting is None else offers.unionByName(waiting)
+        met = cut_lineage(offers.groupBy("head", "need").agg(F.sum("got").alias("got"), F.max("generation").alias("generation")))
+        frontier, waiting = met.filter("got = need").select("head", "generation"), met.filter("got < need")
+        ranked = _few([*ranked, frontier])
+    ranks = reduce(DataFrame.unionByName, ranked)
+    return pointers.join(ranks, "head").select("sha", (F.col("generation") + F.col("dist")).alias("generation"))
+
+
+# Rows of one round that every task may hold, and tables of rounds that one plan may read.
+SMALL, FEW = 100_000, 16
+
+
+def _small(rows: DataFrame, size: int) -> DataFrame:
+    """``rows`` for a join: with a broadcast hint if they are few."""
+    return F.broadcast(rows) if size <= SMALL else rows
+
+
+def _few(rounds: list[DataFrame]) -> list[DataFrame]:
+    """The same rows in fewer tables, so that plans do not grow with the rounds."""
+    return rounds if len(rounds) < FEW else [cut_lineage(reduce(DataFrame.unionByName, rounds))]
 
 
 def deltas(scored: DataFrame, ranks: DataFrame) -> DataFrame:
@@ -165,22 +183,25 @@ def ancestor_baseline(first_runs: DataFrame, scored: DataFrame, commits: DataFra
     # ``steps`` counts from the record's commit to the commit at ``place``; the commit itself is not asked.
     asks = (first_runs.join(places, F.col("commit_sha") == F.col("sha"))
             .select("record_id", *keys, (F.col("dist") - 1).alias("place"), F.lit(1).cast("bigint").alias("steps")))
-    best = None
-    while True:
-        answers = cut_lineage(_last_known(asks, known, keys))
+    asks = cut_lineage(asks.withColumn("nearest", F.lit(None).cast("bigint")))
+    found = []
+    while (size := asks.count()) or not found:
+        # Of the runs only those on stretches that are asked take part.
+        asked = known if size > SMALL else known.join(F.broadcast(asks.select(*keys).distinct()), keys, "left_semi")
+        answers = cut_lineage(_last_known(asks, asked, keys))
         met = answers.filter("met is not null").select(
             "record_id", (F.col("steps") + F.col("place") - F.col("met.place")).alias("distance"), "met.sha", "met.baseline")
-        found = met if best is None else met.unionByName(best)
-        best = cut_lineage(found.groupBy("record_id").agg(F.max(F.struct((-F.col("distance")).alias("near"), "sha", "baseline")).alias("b"))
-                           .select("record_id", (-F.col("b.near")).alias("distance"), "b.sha", "b.baseline"))
+        found = _few([*found, met])
         onward = (answers.filter("met is null").join(steps.withColumnRenamed("dist", "_dist"), "head")
                   .select("record_id", F.col("above").alias("head"), "scope", "axiom", F.col("_dist").alias("place"),
-                          (F.col("steps") + F.col("place") + 1).alias("steps"))
-                  .groupBy("record_id", *keys, "place").agg(F.min("steps").alias("steps")))
-        asks = cut_lineage(onward.join(best.select("record_id", "distance"), "record_id", "left")
-                           .filter("distance is null or steps <= distance").drop("distance"))
-        if asks.isEmpty():
-            return best.select("record_id", "distance", "baseline")
+                          (F.col("steps") + F.col("place") + 1).alias("steps"), "nearest")
+                  .groupBy("record_id", *keys, "place").agg(F.min("steps").alias("steps"), F.min("nearest").alias("nearest")))
+        now = met.groupBy("record_id").agg(F.min("distance").alias("distance"))
+        asks = cut_lineage(onward.join(now, "record_id", "left").withColumn("nearest", F.least("nearest", "distance")).drop("distance")
+                           .filter("nearest is null or steps <= nearest"))
+    best = (reduce(DataFrame.unionByName, found).groupBy("record_id")
+            .agg(F.max(F.struct((-F.col("distance")).alias("near"), "sha", "baseline")).alias("b")))
+    return best.select("record_id", (-F.col("b.near")).alias("distance"), F.col("b.baseline").alias("baseline"))
 
 
 def trend_label(delta: DataFrame, tolerance: float = 1.0) -> DataFrame:

@@ -361,3 +361,24 @@ def test_findings_do_not_depend_on_row_order(spark):
     b = a.orderBy(F.col("line_start").desc()).repartition(7)
     result = findings.same_findings(a, b).first()
     assert (result.only_a, result.only_b, result.same) == (0, 0, True)
+
+
+def test_ancestry_rounds_touch_a_commit_once(spark, monkeypatch):
+    """Every commit is in the table of one round only, whatever the number of rounds; many rounds stay few tables."""
+    monkeypatch.setattr(trends, "SMALL", 8)
+    monkeypatch.setattr(trends, "FEW", 3)
+    parents = [(0, None)] + [(n, (n - 1) // 2) for n in range(1, 400)] + [(n, (n - 1) // 3) for n in range(4, 400)]
+    rank = {0: 0}
+    for n in range(1, 400):
+        rank[n] = rank[(n - 1) // 2] + 1
+    widest, cut = [], trends.cut_lineage
+
+    def counted(df):
+        done = cut(df)
+        if done.columns == ["head", "need", "got", "generation"]:
+            widest.append(done.filter("got = need").count())
+        return done
+    monkeypatch.setattr(trends, "cut_lineage", counted)
+    df = spark.createDataFrame(parents, "sha int, parent_sha int")
+    assert {r.sha: r.generation for r in trends.ancestry_rank(df).collect()} == rank
+    assert widest and sum(widest) < 400
