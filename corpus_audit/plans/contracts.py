@@ -408,7 +408,7 @@ SELECT finding_id, CASE WHEN state IN ('error', 'signup') AND seen + INTERVAL 6
 event_id, updates, reopened FROM (SELECT 'f' || user_id || '-' || regexp_extract(props, '[0-9]+') AS finding_id, arg_max(event_type, (ts, event_id)) AS state, max(ts) AS seen,
 arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS updates, greatest(count(*) FILTER (event_type IN ('error', 'signup')) - 1, 0) AS reopened FROM events GROUP BY 1)""")
 def live_findings(t):
-    """Findings whose last state is open expire six hours after it, by timers of the stream."""
+    """Findings whose last state is open expire six hours after it."""
     out, progress = _run(t, "live")
     key = F.concat(F.lit("f"), "user_id", F.lit("-"), F.regexp_extract("props", "[0-9]+", 0))
     updates = _events(t).select(key.alias("finding_id"), "at", "event_id", F.col("event_type").alias("state"))

@@ -46,3 +46,17 @@ def test_tables_may_be_files_or_folders(spark, tmp_path):
         out, progress = jobs.work_folder(spark, "copied"), jobs.work_folder(spark, "copied-progress")
         jobs.write_batches(jobs.stream_table(spark, str(tmp_path / "in"), pattern), out, progress)
         assert sorted(row["id"] for row in jobs.read_batches(spark, out).collect()) == list(ids)
+
+
+def test_no_python_per_finding_and_late_updates_count(spark, tmp_path):
+    incoming, out, progress = str(tmp_path / "in"), jobs.work_folder(spark, "late"), jobs.work_folder(spark, "late-progress")
+    plans = []
+
+    def run(states, *args, **kwargs):
+        plans.append(states._jdf.queryExecution().analyzed().toString())
+        return jobs.write_batches(states, *args, **kwargs)
+    for name, rows in (("one", [(1, ("a", 40, "fixed")), (2, ("b", 3, "open"))]), ("two", [(3, ("a", 5, "open"))])):
+        write(spark, incoming, name, rows)
+        live.live_findings(jobs.stream_table(spark, f"{incoming}/*.parquet", "*.parquet"), out, progress, run=run)
+    assert rows_of(spark, out) == {"a": ("fixed", 40, 2, 0), "b": (live.EXPIRED, 3, 1, 0)}
+    assert not any(word in plan for plan in plans for word in ("Pandas", "Python"))
