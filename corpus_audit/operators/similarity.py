@@ -1,18 +1,19 @@
-"""Near duplicates by an exact join of shingle sets; semantic duplicates by banded hashing and bucket leaders.
+"""Near duplicates by an exact join of shingle sets; semantic duplicates by products of blocks of vectors.
 
-For vectors, comparing all members of a bucket is quadratic in the size of a group of copies.  Here every bucket has
-one leader, its smallest member; all others are verified against it and leave the bucket when they
-match.  Whoever does not match stays, and the rest elects a new leader, until every bucket is empty.  So
-each member is either a leader or carries a verified link.  The first round compares a member once;
-later rounds, when the copies are gone, settle 2, 4, 8 and then 16 leaders of a bucket at a time.
+``leader_links`` serves members in buckets of any kind.  Every bucket has one leader, its smallest member; all others are
+verified against it and leave the bucket when they match.  Whoever does not match stays, and the rest elects a new leader,
+until every bucket is empty.  So each member is either a leader or carries a verified link.  The first round compares a
+member once; later rounds, when the copies are gone, settle 2, 4, 8 and then 16 leaders of a bucket at a time.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,28 +140,109 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
 
 
-def semantic_duplicates(vectors: DataFrame, threshold: float, bits: int = 8, recall: float = 0.995) -> DataFrame:
-    """(vec_id, leader, score): vectors whose cosine with their bucket's leader reaches the threshold.
+# Vectors of a block, and of the slice of a block that is multiplied at once.
+BLOCK, SLICE = 8192, 1024
+# Products of single precision that are this close to the threshold are decided in double precision.
+MARGIN = 1e-4
 
-    Equal vectors are joined to the smallest id first.  The buckets follow from ``threshold``, ``bits`` and ``recall``
-    alone, so further vectors never change a link between those that are there: they only fill the buckets.  More bits
-    make smaller buckets and more of them: 8 bits suit a million vectors, 16 a billion.  A vector without length has no
-    direction and links only to its copies.
+
+def _unit(vectors: DataFrame) -> DataFrame:
+    """(id, dims, unit): vectors of length one as the bytes of their floats; vectors without a direction are left out."""
+    @F.pandas_udf("binary")
+    def unit(values: pd.Series) -> pd.Series:
+        def of(v):
+            v = np.array(v, dtype=np.float64)
+            length = np.linalg.norm(v / max(np.abs(v).max(initial=0.0), 1e-300)) * np.abs(v).max(initial=0.0)
+            return (v / length).astype("<f4").tobytes() if np.isfinite(length) and length > 0 else None
+        return pd.Series([None if v is None else of(v) for v in values], dtype=object)
+    return (vectors.select("id", F.size("embedding").alias("dims"), unit(F.col("embedding")).alias("unit")).filter("unit is not null"))
+
+
+def _products(left: pd.DataFrame, right: pd.DataFrame, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places in both blocks and products of the pairs from ``least`` on, a slice of the left block at a time."""
+    stacked = lambda rows: np.frombuffer(b"".join(rows["unit"]), "<f4").reshape(len(rows), -1)
+    b = stacked(right).T
+    for start in range(0, len(left), SLICE):
+        products = stacked(left.iloc[start:start + SLICE]) @ b
+        x, y = np.nonzero(products >= least)
+        yield x + start, y, products[x, y]
+
+
+def _first_links(vectors: DataFrame, threshold: float) -> DataFrame:
+    """(id, leader, score) of all pairs that reach the threshold and whose leader has no such pair with a smaller id.
+
+    Also a row (id, null, null) for members that have such pairs, but with other members only.  All blocks meet all blocks, in
+    tasks of two blocks.  A vector that meets a smaller id in its own block leads none, so a large group of near copies makes
+    rows for few leaders a block.
+    """
+    units = _unit(vectors)
+    units = cut_lineage(units)
+    blocks = max(1, math.ceil(units.count() / BLOCK))
+    units = units.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    kind = vectors.schema["id"].dataType.simpleString()
+
+    def follow(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        ids, found = rows["id"].to_numpy(), np.zeros(len(rows), bool)
+        for x, y, _ in _products(rows, rows, threshold + MARGIN):
+            found[x[ids[x] > ids[y]]] = True
+        return rows.assign(follows=found)
+
+    marked = cut_lineage(units.groupBy("dims", "block").applyInPandas(
+        follow, f"id {kind}, dims int, unit binary, block int, follows boolean"))
+    cells = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda other: F.struct(
+        F.least("block", other).alias("i"), F.greatest("block", other).alias("j")))
+    spread = marked.withColumn("cell", F.explode(cells)).select("dims", "cell.i", "cell.j", "block", "id", "unit", "follows")
+
+    def meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        left, right = rows[rows["block"] == key[1]], rows[rows["block"] == key[2]]
+        a, b = left["id"].to_numpy(), right["id"].to_numpy()
+        a_follows, b_follows = left["follows"].to_numpy(bool), right["follows"].to_numpy(bool)
+        members, leaders, sure = [a[:0]], [a[:0]], [a[:0]]
+        for x, y, product in _products(left, right, threshold - MARGIN):
+            for own, other, smaller in ((a[x], b[y], b_follows[y]), (b[y], a[x], a_follows[x])):
+                later = own > other
+                certain = product > threshold + MARGIN
+                asked = later & ~(smaller & certain)
+                members.append(own[asked])
+                leaders.append(other[asked])
+                sure.append(np.unique(own[later & smaller & certain]))
+        sure = np.unique(np.concatenate(sure))
+        pairs = pd.DataFrame({"id": np.concatenate(members), "leader": np.concatenate(leaders)}).drop_duplicates()
+        return pd.concat([pairs.assign(known=False), pd.DataFrame({"id": sure, "leader": sure, "known": True})])
+
+    met = cut_lineage(spread.groupBy("dims", "i", "j").applyInPandas(meet, f"id {kind}, leader {kind}, known boolean"))
+    of = lambda side, name: vectors.select(F.col("id").alias(side), F.col("embedding").alias(name))
+    asked = met.filter("not known").select("id", "leader").join(of("id", "e1"), "id").join(of("leader", "e2"), "leader")
+    hits = cut_lineage(asked.select("id", "leader", F.round(cosine(F.col("e1"), F.col("e2")), 6).alias("score"))
+                       .filter(F.col("score") >= threshold))
+    members = cut_lineage(hits.select("id").unionByName(met.filter("known").select("id")).distinct())
+    links = hits.join(members.select(F.col("id").alias("leader")), "leader", "left_anti").select("id", "leader", "score")
+    return links.unionByName(members.join(links, "id", "left_anti"), allowMissingColumns=True)
+
+
+def semantic_duplicates(vectors: DataFrame, threshold: float) -> DataFrame:
+    """(vec_id, leader, score): vectors whose cosine with a leader reaches the threshold, with every leader they reach.
+
+    A leader is a vector without such a link to a smaller id; of vectors that reach members only, the first ones lead again, until
+    every vector leads or is linked.  Equal vectors are joined to the smallest id first and have its links.  All pairs of
+    different vectors are compared, so none is missed and further vectors change nothing between those that come before them.
+    A vector without length has no direction and links only to its copies.
     """
     keyed = vectors.select("vec_id", F.md5(F.concat_ws(",", F.col("embedding").cast("array<string>"))).alias("key"))
-    first = keyed.groupBy("key").agg(F.min("vec_id").alias("leader"))
-    copies = keyed.join(first, "key").filter("vec_id <> leader").select("vec_id", "leader", F.lit(1.0).alias("score"))
-    own = cut_lineage(vectors.join(first.select(F.col("leader").alias("vec_id")), "vec_id", "left_semi")
-                      .select(F.col("vec_id").alias("id"), "embedding", sign_bits(F.col("embedding")).alias("sides")))
-    masks = band_masks(bands_for(threshold, bits, recall), bits)
-    buckets = F.array(*[F.concat(F.lit(f"{band}:"), F.col("sides").bitwiseAND(F.lit(mask).cast("bigint")).cast("string"))
-                        for band, mask in enumerate(masks)])
-    members = own.select("id", F.explode(buckets).alias("bucket"))
-
-    def score(pairs: DataFrame) -> DataFrame:
-        both = (pairs.join(own.select("id", F.col("embedding").alias("e1")), "id")
-                .join(own.select(F.col("id").alias("leader"), F.col("embedding").alias("e2")), "leader"))
-        return both.select("id", "leader", F.round(cosine(F.col("e1"), F.col("e2")), 6).alias("score"))
-
-    links = leader_links(members, score, threshold)
-    return links.withColumnRenamed("id", "vec_id").unionByName(copies)
+    first = keyed.groupBy("key").agg(F.min("vec_id").alias("first"))
+    copies = cut_lineage(keyed.join(first, "key").filter("vec_id <> first").select("vec_id", "first"))
+    rest = cut_lineage(vectors.join(first.select(F.col("first").alias("vec_id")), "vec_id", "left_semi")
+                       .select(F.col("vec_id").alias("id"), "embedding"))
+    found = []
+    while True:
+        links = cut_lineage(_first_links(rest, threshold))
+        found.append(links.filter("leader is not null"))
+        left = links.filter("leader is null").select("id")
+        if left.isEmpty():
+            break
+        rest = cut_lineage(rest.join(left, "id", "left_semi"))
+    links = reduce(DataFrame.unionByName, found)
+    of_first = links.select(F.col("id").alias("first"), "leader", "score")
+    again = copies.join(of_first, "first", "left").select(
+        "vec_id", F.coalesce("leader", "first").alias("leader"), F.coalesce("score", F.lit(1.0)).alias("score"))
+    return links.withColumnRenamed("id", "vec_id").unionByName(again)

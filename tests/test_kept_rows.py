@@ -126,3 +126,29 @@ def test_late_rows_are_counted_by_a_listener(spark, tmp_path):
     stream = jobs.stream_table(spark, str(tmp_path / "in/x.parquet"), "*.parquet")
     query, late = jobs.stream_ingest(stream, "at", "1 day", str(tmp_path / "out"), str(tmp_path / "cp"))
     assert late == 0 and jobs.read_batches(spark, str(tmp_path / "out")).count() == 1
+
+
+def test_every_pair_with_a_leader_is_found(spark, monkeypatch):
+    """Vectors at all distances around the threshold, in many blocks; a group of near copies; a chain and copies."""
+    import numpy as np
+    monkeypatch.setattr(similarity, "BLOCK", 64)
+    monkeypatch.setattr(similarity, "SLICE", 16)
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(120, 16))
+    near = base + rng.normal(size=base.shape) * rng.uniform(0.2, 0.9, size=(120, 1))
+    group = base[:1] + 0.05 * rng.normal(size=(150, 16))
+    turned = np.zeros((4, 16))
+    turned[:, 14], turned[:, 15] = np.cos(np.arange(4) * 0.6) * 100, np.sin(np.arange(4) * 0.6) * 100
+    data = np.concatenate([base, near, group, turned, group[-3:], near[:5]])
+    unit = data / np.linalg.norm(data, axis=1, keepdims=True)
+    hit = np.tril(np.round(unit @ unit.T, 6) >= 0.8, -1)
+    leads = np.zeros(len(data), bool)
+    for n in range(len(data)):
+        leads[n] = not (hit[n] & leads).any()
+    rows = [(n, v.tolist()) for n, v in enumerate(data)]
+    got = similarity.semantic_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), 0.8).collect()
+    first = ~hit.any(axis=1)
+    whole = {(int(x), int(y)) for x, y in zip(*np.nonzero(hit)) if first[y]}
+    assert whole <= {(r.vec_id, r.leader) for r in got}
+    assert all(leads[r.leader] and hit[r.vec_id, r.leader] for r in got)
+    assert {r.vec_id for r in got} == {n for n in range(len(data)) if not leads[n]} and len(got) == len({(r.vec_id, r.leader) for r in got})
