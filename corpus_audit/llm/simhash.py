@@ -208,6 +208,47 @@ def _near_links(nodes: DataFrame, max_bits: int) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _met(own: list[Column], members: list[Column], max_bits: int) -> Column:
+    """All pairs of (fingerprint, node, root) within ``max_bits`` whose roots differ."""
+    @F.pandas_udf(LINKS)
+    def of(own_bits: pd.Series, own_nodes: pd.Series, own_roots: pd.Series, bits: pd.Series, nodes: pd.Series, roots: pd.Series) -> pd.Series:
+        found = []
+        for row in zip(own_bits, own_nodes, own_roots, bits, nodes, roots):
+            x, a, a_root, y, b, b_root = (np.asarray(values, np.int64) for values in row)
+            near = np.bitwise_count(x.view(np.uint64)[:, None] ^ y.view(np.uint64)[None, :]) <= max_bits
+            at, other = np.nonzero(near & (a_root[:, None] != b_root[None, :]))
+            found.append(list(zip(a[at].tolist(), b[other].tolist())))
+        return pd.Series(found)
+    return of(*own, *members)
+
+
+def _open_pairs(nodes: DataFrame, pairs: DataFrame, linked: DataFrame, max_bits: int) -> DataFrame:
+    """(a, b): what the forest ``pairs`` left out, all pairs within ``max_bits`` that ``linked`` does not connect.
+
+    Only groups of the forest that verification took apart have such pairs, and in them only cells that hold several parts.
+    """
+    groups = components(pairs).withColumnRenamed("component", "group")
+    roots = components(linked).withColumnRenamed("component", "root")
+    parts = stored(groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "parts")
+    apart = parts.groupBy("group").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("group")
+    left = stored(nodes.join(parts.join(apart, "group", "left_semi").select("node", "root"), "node").select("node", "f0", "f1", "root"), "open")
+    found = []
+    for name in ("f0", "f1"):
+        row = F.struct(F.col(name).alias("bits"), F.col("node"), F.col("root"))
+        entries = left.select(row.alias("row"), F.explode(_cells(F.col(name), max_bits)).alias("c")).select("row", "c.cell", "c.own")
+        crowds = (entries.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.count_if("own").alias("n_own"),
+                                              F.min("row.root").alias("least"), F.max("row.root").alias("most"))
+                  .filter("n_own > 0 AND least <> most").select("cell", F.ceil(F.col("n") / BLOCK).alias("blocks")))
+        blocks = stored(entries.join(crowds, "cell")
+                        .groupBy("cell", F.pmod(F.xxhash64("row.node"), F.col("blocks")).alias("block"))
+                        .agg(F.collect_list(F.when(F.col("own"), F.col("row"))).alias("owners"), F.collect_list("row").alias("members")), "open-cells")
+        meetings = (blocks.filter(F.size("owners") > 0).select("cell", "owners").join(blocks.select("cell", "members"), "cell"))
+        fields = lambda side: [F.col(f"{side}.{field}") for field in ("bits", "node", "root")]
+        found.append(meetings.select(F.explode(_met(fields("owners"), fields("members"), max_bits)).alias("l")).select("l.a", "l.b"))
+    met = reduce(DataFrame.union, found)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those ``pairs`` whose shingle sets have at least this Jaccard similarity; two empty sets are alike."""
     of = lambda side: sets.select(F.col("node").alias(side), F.col("grams").alias(f"grams_{side}"))
@@ -221,7 +262,8 @@ def kept(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words_each
     """``docs`` with one row of every group, the first by doc_id (null last), with all its columns.
 
     Candidates are texts of which one of two fingerprints of ``words_each``-word shingles differs in at most ``max_bits`` bits; they are
-    linked if the sets of their ``verify_words``-word shingles are similar enough.  Texts equal in all 128 bits count as copies.
+    linked if the sets of their ``verify_words``-word shingles are similar enough.  A forest of the candidates is verified first, then
+    all candidates that this leaves apart, so no link is lost.  Texts equal in all 128 bits count as copies.
     """
     record = F.struct(*[F.col(f"`{name}`") for name in docs.columns])
     marked = docs.select(record.alias("record"), F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"),
@@ -235,7 +277,9 @@ def kept(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words_each
     asked = firsts.join(asked, "node", "left_semi").select("node", F.col("first.row").alias("row"))
     texts = marked.select("row", F.col(f"record.`{text}`").alias("text")).join(asked, "row")
     sets = stored(texts.select("node", shingle_sets(F.col("text"), verify_words).alias("grams")), "shingles")
-    roots = components(_similar(pairs, sets, similarity)).withColumnRenamed("component", "root")
+    linked = stored(_similar(pairs, sets, similarity), "similar")
+    again = _similar(_open_pairs(firsts, pairs, linked, max_bits), sets, similarity)
+    roots = components(linked.union(again)).withColumnRenamed("component", "root")
     firsts = firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     heads = firsts.groupBy("root").agg(F.min("first").alias("head"))
     heads = firsts.join(heads, "root").select("node", F.col("head.row").alias("head"))

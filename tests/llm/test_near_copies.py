@@ -52,6 +52,19 @@ def test_groups_larger_than_a_block_leave_one(spark, monkeypatch):
     assert [row["doc_id"] for row in rows] == [0]
 
 
+def test_candidates_beside_the_forest_are_verified(spark, monkeypatch):
+    """All texts share one fingerprint and hang on one of them, which is like none; the two that are alike still meet."""
+    F = simhash.F
+    monkeypatch.setattr(simhash, "fingerprint_pairs", lambda text, words: F.struct(F.lit(0).cast("long").alias("f0"), F.xxhash64(text).alias("f1")))
+    draw = random.Random(4)
+    docs = [(doc, " ".join(f"v{n}" for n in draw.choices(range(3000), k=200))) for doc in range(24)]
+    docs += [(100 + doc, text.replace(" ", " new ", 1)) for doc, text in docs[:3]]
+    for block in (1024, 4):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        rows = simhash.kept(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+        assert sorted(row["doc_id"] for row in rows) == list(range(24))
+
+
 def hosts(spark, rows):
     """rows: (host, documents, short ones)."""
     long = " ".join(f"word{n}" for n in range(60))
