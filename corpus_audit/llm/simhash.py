@@ -34,6 +34,8 @@ from .storage import stored
 MAX_BITS = 3
 SEGMENTS = 32
 BLOCK = 1024
+# Blocks whose members carry their shingles.
+OPEN_BLOCK = 256
 BROADCAST_ROWS = 1_000_000
 PAIR_MASK = 0x55555555
 STEPS = 1 << 16
@@ -208,45 +210,73 @@ def _near_links(nodes: DataFrame, max_bits: int) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _met(own: list[Column], members: list[Column], max_bits: int) -> Column:
-    """All pairs of (fingerprint, node, root) within ``max_bits`` whose roots differ."""
-    @F.pandas_udf(LINKS)
-    def of(own_bits: pd.Series, own_nodes: pd.Series, own_roots: pd.Series, bits: pd.Series, nodes: pd.Series, roots: pd.Series) -> pd.Series:
-        found = []
-        for row in zip(own_bits, own_nodes, own_roots, bits, nodes, roots):
-            x, a, a_root, y, b, b_root = (np.asarray(values, np.int64) for values in row)
-            near = np.bitwise_count(x.view(np.uint64)[:, None] ^ y.view(np.uint64)[None, :]) <= max_bits
-            at, other = np.nonzero(near & (a_root[:, None] != b_root[None, :]))
-            found.append(list(zip(a[at].tolist(), b[other].tolist())))
-        return pd.Series(found)
-    return of(*own, *members)
-
+def _forest_across(left: pd.DataFrame, right: pd.DataFrame | None, max_bits: int, similarity: float) -> list[tuple[int, int]]:
+    """A forest of the links between rows (node, f0, f1, root, grams) of different roots; without ``right`` among ``left`` themselves.
 
-def _open_pairs(nodes: DataFrame, pairs: DataFrame, linked: DataFrame, max_bits: int) -> DataFrame:
-    """(a, b): what the forest ``pairs`` left out, all pairs within ``max_bits`` that ``linked`` does not connect.
-
-    Only groups of the forest that verification took apart have such pairs, and in them only cells that hold several parts.
+    A link needs one of the fingerprints within ``max_bits`` and sets that are similar enough.  Roots that a link connects are one from then on.
+    """
+    rows = left if right is None else pd.concat([left, right], ignore_index=True)
+    nodes, (_, roots) = rows["node"].to_numpy(), np.unique(rows["root"].to_numpy(), return_inverse=True)
+    f0, f1 = (rows[name].to_numpy(np.int64).view(np.uint64) for name in ("f0", "f1"))
+    sets = [np.asarray(grams, np.int64) for grams in rows["grams"]]
+    sizes = np.array([len(grams) for grams in sets])
+    ends = np.cumsum(sizes)
+    distinct, tokens = np.unique(np.concatenate(sets), return_inverse=True)
+    marked, links = np.zeros(len(distinct), bool), []
+    for at in range(len(left)):
+        first = at + 1 if right is None else len(left)
+        near = (np.bitwise_count(f0[first:] ^ f0[at]) <= max_bits) | (np.bitwise_count(f1[first:] ^ f1[at]) <= max_bits)
+        others = first + np.flatnonzero(near & (roots[first:] != roots[at]))
+        if not len(others):
+            continue
+        own = tokens[ends[at] - sizes[at]:ends[at]]
+        marked[own] = True
+        for other in others:
+            if roots[other] == roots[at]:
+                continue
+            shared = np.count_nonzero(marked[tokens[ends[other] - sizes[other]:ends[other]]])
+            either = sizes[at] + sizes[other] - shared
+            if either == 0 or shared >= similarity * either:
+                links.append((int(nodes[at]), int(nodes[other])))
+                roots[roots == roots[other]] = roots[at]
+        marked[own] = False
+    return links
+
+
+def _open_links(nodes: DataFrame, pairs: DataFrame, linked: DataFrame, sets: DataFrame, max_bits: int, similarity: float) -> DataFrame:
+    """(a, b): a forest of what the forest ``pairs`` left out, links within ``max_bits`` that ``linked`` does not connect.
+
+    Only groups of the forest that verification took apart have such links.  The largest part of a group meets the rest, and the rest
+    itself, in blocks that verify their own pairs and return a forest, so no pair is a row.
     """
     groups = components(pairs).withColumnRenamed("component", "group")
     roots = components(linked).withColumnRenamed("component", "root")
     parts = stored(groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "parts")
-    apart = parts.groupBy("group").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("group")
-    left = stored(nodes.join(parts.join(apart, "group", "left_semi").select("node", "root"), "node").select("node", "f0", "f1", "root"), "open")
-    found = []
-    for name in ("f0", "f1"):
-        row = F.struct(F.col(name).alias("bits"), F.col("node"), F.col("root"))
-        entries = left.select(row.alias("row"), F.explode(_cells(F.col(name), max_bits)).alias("c")).select("row", "c.cell", "c.own")
-        crowds = (entries.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.count_if("own").alias("n_own"),
-                                              F.min("row.root").alias("least"), F.max("row.root").alias("most"))
-                  .filter("n_own > 0 AND least <> most").select("cell", F.ceil(F.col("n") / BLOCK).alias("blocks")))
-        blocks = stored(entries.join(crowds, "cell")
-                        .groupBy("cell", F.pmod(F.xxhash64("row.node"), F.col("blocks")).alias("block"))
-                        .agg(F.collect_list(F.when(F.col("own"), F.col("row"))).alias("owners"), F.collect_list("row").alias("members")), "open-cells")
-        meetings = (blocks.filter(F.size("owners") > 0).select("cell", "owners").join(blocks.select("cell", "members"), "cell"))
-        fields = lambda side: [F.col(f"{side}.{field}") for field in ("bits", "node", "root")]
-        found.append(meetings.select(F.explode(_met(fields("owners"), fields("members"), max_bits)).alias("l")).select("l.a", "l.b"))
-    met = reduce(DataFrame.union, found)
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sizes = (parts.groupBy("group", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("group")
+             .agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("in_main"), F.sum("n").alias("all"))
+             .filter("in_main < all"))
+    blocks = lambda n: F.ceil(n / OPEN_BLOCK).cast("int")
+    rows = (parts.join(sizes, "group").withColumn("inside", F.col("root") == F.col("main"))
+            .withColumns({"mains": blocks(F.col("in_main")), "others": blocks(F.col("all") - F.col("in_main"))}))
+    home = F.pmod(F.xxhash64("node"), F.when(F.col("inside"), F.col("mains")).otherwise(F.col("others"))).cast("int")
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    # A cell is (block of the main part, block of the others); others also meet each other in cells (-1 - i, j).
+    cells = F.when(F.col("inside"), F.transform(every(F.col("others")), lambda j: F.struct(F.col("home").alias("i"), j.alias("j")))).otherwise(
+        F.concat(F.transform(every(F.col("mains")), lambda i: F.struct(i.alias("i"), F.col("home").alias("j"))),
+                 F.transform(every(F.col("others")), lambda j: F.struct((-1 - F.least("home", j)).alias("i"), F.greatest("home", j).alias("j")))))
+    spread = (rows.withColumn("home", home).withColumn("cell", F.explode(cells)).join(nodes.select("node", "f0", "f1"), "node").join(sets, "node")
+              .select("group", "cell.i", "cell.j", "inside", "home", "node", "f0", "f1", "root", "grams"))
+
+    def compare(key: tuple, members: pd.DataFrame) -> pd.DataFrame:
+        if key[1] < 0 and -1 - key[1] == key[2]:
+            left, right = members, None
+        else:
+            side = members["inside"] if key[1] >= 0 else members["home"] == key[2]
+            left, right = members[side], members[~side]
+        found = _forest_across(left.reset_index(drop=True), right, max_bits, similarity) if len(members) else []
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return spread.groupBy("group", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -278,7 +308,7 @@ def kept(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words_each
     texts = marked.select("row", F.col(f"record.`{text}`").alias("text")).join(asked, "row")
     sets = stored(texts.select("node", shingle_sets(F.col("text"), verify_words).alias("grams")), "shingles")
     linked = stored(_similar(pairs, sets, similarity), "similar")
-    again = _similar(_open_pairs(firsts, pairs, linked, max_bits), sets, similarity)
+    again = stored(_open_links(firsts, pairs, linked, sets, max_bits, similarity), "open-links")
     roots = components(linked.union(again)).withColumnRenamed("component", "root")
     firsts = firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     heads = firsts.groupBy("root").agg(F.min("first").alias("head"))

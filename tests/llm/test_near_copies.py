@@ -65,6 +65,27 @@ def test_candidates_beside_the_forest_are_verified(spark, monkeypatch):
         assert sorted(row["doc_id"] for row in rows) == list(range(24))
 
 
+def test_open_candidates_are_no_rows(spark, monkeypatch):
+    """Texts that share a fingerprint but are like none are compared inside blocks; only a forest of pairs becomes rows."""
+    F, asked, similar = simhash.F, [], simhash._similar
+
+    def counted(pairs, *others):
+        asked.append(pairs.count())
+        return similar(pairs, *others)
+
+    monkeypatch.setattr(simhash, "fingerprint_pairs", lambda text, words: F.struct(F.lit(0).cast("long").alias("f0"), F.xxhash64(text).alias("f1")))
+    monkeypatch.setattr(simhash, "_similar", counted)
+    draw = random.Random(5)
+    docs = [(doc, " ".join(f"v{n}" for n in draw.choices(range(3000), k=200))) for doc in range(60)]
+    docs += [(100 + doc, text.replace(" ", f" new{doc} ", 1)) for doc, text in docs[:20]] + [(200, docs[0][1].replace(" ", " newer ", 1))]
+    for block in (256, 7):
+        asked.clear()
+        monkeypatch.setattr(simhash, "OPEN_BLOCK", block, raising=False)
+        rows = simhash.kept(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+        assert sorted(row["doc_id"] for row in rows) == list(range(60))
+        assert sum(asked) < len(docs)
+
+
 def hosts(spark, rows):
     """rows: (host, documents, short ones)."""
     long = " ".join(f"word{n}" for n in range(60))
