@@ -8,15 +8,24 @@ distinct range are enough for the transitive closure.
 
 Covering is looked up by an equi join: half of each range is cut into aligned power-of-two cells, the
 longest range per cell is kept, and a middle looks up the one cell it lies in per cell size.
+
+That search is kept for long islands.  Ranges that do not touch through others lie on different islands, so an island of
+one range is a group, and one of up to ``ISLAND`` ranges is grouped where it lies, by the same rule.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..session import cut_lineage
 from .components import components
 
+ISLAND = 1024
+
 
 def _cells(low: Column, high: Column, levels: int) -> Column:
     """Aligned cells (level, cell) that make up low..high."""
@@ -63,10 +72,46 @@ def overlap_links(ranges: DataFrame, keys: list[str]) -> DataFrame:
             .filter(F.col("id") != F.col("best.id")).select(F.col("id").alias("a"), F.col("best.id").alias("b")))
 
 
+def _leaders(low: np.ndarray, high: np.ndarray) -> list[int]:
+    """For every range the place of the first one of its group, in the order given."""
+    shared = np.minimum(high[:, None], high[None, :]) - np.maximum(low[:, None], low[None, :]) + 1
+    linked = shared * 2 > np.minimum((high - low)[:, None], (high - low)[None, :]) + 1
+    leaders = np.full(len(low), -1)
+    for first in range(len(low)):
+        waiting = [first] if leaders[first] < 0 else []
+        while waiting:
+            fresh = np.flatnonzero(linked[waiting.pop()] & (leaders < 0))
+            leaders[fresh] = first
+            waiting += fresh.tolist()
+        leaders[first] = first if leaders[first] < 0 else leaders[first]
+    return leaders.tolist()
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _led(low: pd.Series, high: pd.Series) -> pd.Series:
+    return pd.Series([_leaders(np.asarray(a, np.int64), np.asarray(b, np.int64)) for a, b in zip(low, high)])
+
+
 def overlap_groups(ranges: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, line_start, line_end, group) for distinct ranges; linked ranges share a group."""
     bounds = [*keys, "line_start", "line_end"]
-    distinct = ranges.select(*bounds).distinct().withColumn("id", F.concat_ws("\u0001", *bounds))
-    grouped = components(overlap_links(distinct, keys))
-    return (distinct.join(grouped, F.col("id") == F.col("node"), "left")
-            .select(*bounds, F.coalesce("component", "id").alias("group")))
+    before = Window.partitionBy(*keys).orderBy("line_start", "line_end")
+    reach = F.max("line_end").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(F.col("line_start") <= F.col("_reach"), 0).otherwise(1)
+    distinct = (ranges.select(*bounds).distinct().withColumn("id", F.concat_ws("\u0001", *bounds)).withColumn("_reach", reach)
+                .withColumn("_island", F.sum(opens).over(before.rowsBetween(Window.unboundedPreceding, 0))).drop("_reach"))
+    distinct = cut_lineage(distinct.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys, "_island"))))
+    lone = distinct.filter("_n = 1").select(*bounds, F.col("id").alias("group"))
+    few = (distinct.filter(f"_n between 2 and {ISLAND}").groupBy(*keys, "_island")
+           .agg(F.sort_array(F.collect_list(F.struct("id", "line_start", "line_end"))).alias("r"))
+           .select(*keys, "r", _led(F.col("r.line_start"), F.col("r.line_end")).alias("led")))
+    placed = F.transform("r", lambda x, at: F.struct(x.line_start.alias("line_start"), x.line_end.alias("line_end"),
+                                                     F.get("r", F.get("led", at)).id.alias("group")))
+    few = few.select(*keys, F.explode(placed).alias("p")).select(*keys, "p.*")
+    found = lone.unionByName(few)
+    many = distinct.filter(f"_n > {ISLAND}").drop("_n", "_island")
+    if many.isEmpty():
+        return found
+    grouped = components(overlap_links(many, keys))
+    return found.unionByName(many.join(grouped, F.col("id") == F.col("node"), "left")
+                             .select(*bounds, F.coalesce("component", "id").alias("group")))

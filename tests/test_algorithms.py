@@ -81,6 +81,27 @@ def test_ordered_helpers(spark):
     assert sorted((r.k, r.n, r.prev_v, r.r, r.s, r.m) for r in got.fillna(-1).collect()) == expected
 
 
+def test_short_islands_need_no_rounds(spark, monkeypatch):
+    """Ranges that touch few others are grouped in one pass, as by the rounds that long islands take."""
+    draw = random.Random(8)
+    rows = [(f"f{draw.randrange(4)}", start, start + draw.choice([0, 0, 1, 3, 9])) for start in draw.choices(range(150), k=120)]
+    df = spark.createDataFrame(rows, "path string, line_start int, line_end int")
+
+    def groups():
+        found = {}
+        for row in intervals.overlap_groups(df, ["path"]).collect():
+            found.setdefault(row["group"], set()).add((row["path"], row["line_start"], row["line_end"]))
+        assert sum(map(len, found.values())) == len(set(rows))
+        return {frozenset(members) for members in found.values()}
+
+    rounds = []
+    monkeypatch.setattr(intervals, "components", lambda links: rounds.append(1) or components.components(links))
+    short = groups()
+    assert not rounds
+    monkeypatch.setattr(intervals, "ISLAND", 1)
+    assert groups() == short and rounds
+
+
 @pytest.mark.parametrize("seed", [7, 8])
 def test_cycles(spark, seed):
     rng = random.Random(seed)
