@@ -232,6 +232,27 @@ def test_passages_exact_and_fuzzy(spark):
     assert {fuzzy["a_start"], fuzzy["b_start"]} == {90, 15} and fuzzy["a_end"] - fuzzy["a_start"] >= 148
 
 
+def test_passages_of_pieces_that_others_hold(spark):
+    """Two texts share 66 words, each third of which two earlier and two nearer texts hold as well."""
+    draw, place = random.Random(12), passages.F.xxhash64
+    words = [f"q{number}" for number in range(5000)]
+    own = lambda n: draw.choices(words, k=n)
+    thirds = [own(26) for _ in range(3)]
+    pair = [own(60) + sum(thirds, []) + own(60) for _ in range(2)]
+    texts = [" ".join(text) for text in pair + [own(60) + third + own(60) for third in thirds for _ in range(40)]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "place long, text string").withColumn("class", place("text"))
+    order = {row["place"]: row["class"] for row in frame.collect()}
+    # Of the others, as many stay as are needed before the first and between the two.
+    low, high = sorted((order[0], order[1]))
+    kept = [0, 1]
+    for third in range(3):
+        of_third = range(2 + 40 * third, 42 + 40 * third)
+        kept += [at for at in of_third if order[at] < low][:1] + [at for at in of_third if low < order[at] < high][:14]
+    rows = passages.repeated(frame.filter(passages.F.col("place").isin(kept)), doc_id="place").collect()
+    assert (0, 1) in {tuple(sorted((row["doc_id"], row["match_doc_id"]))) for row in rows}
+    assert {row["group"] for row in rows if row["doc_id"] in (0, 1)} == {0}
+
+
 def test_chains_are_collinear_and_best():
     draw = np.random.default_rng(2)
     for _ in range(30):
