@@ -3,7 +3,8 @@
 The members of all sets are put into one order, rare ones first.  Two sets of ``n`` members that reach the threshold share
 one of their first ``n - ceil(threshold * n) + 1``, so only those are posted under their member (prefix filter).  A
 meeting counts if the sizes allow the threshold (length filter) and so do the places in the order (position filter).  The
-order comes from a table of counters of fixed size; any order gives the same links, a good one meets less.
+order is that of exact counts: any order gives the same links, but with counts that grow coarse on large inputs frequent
+members would be posted, and their meetings grow with the square.  Members of one set only are counted, not carried.
 
 Members that at most ``CROWD`` sets post are joined with themselves.  Of the others, neighbours are verified first, which
 connects groups of near copies in a linear number of comparisons.  What is then left are meetings of sets that are not
@@ -13,63 +14,64 @@ rest against itself, so no task sees more than two blocks and no pair within a g
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ordered
 from ..session import cut_lineage
 from .components import components
 
-COUNTERS = 1 << 16
 CROWD, BLOCK = 32, 512
+BROADCAST_IDS = 1_000_000
 # Scores are compared after rounding to six digits.
 ROUNDING = 1e-6
 POSTED = "id string, root string, token bigint, size int, place int"
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    shared = F.size(F.array_intersect(a, b))
-    return F.round(shared / (F.size(a) + F.size(b) - shared), 6)
-
+    return _jaccard(F.size(F.array_intersect(a, b)), F.size(a), F.size(b))
 
-def scores(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, score) of pairs (a, b) of sets (id, members)."""
-    left = pairs.select("a", "b").distinct().join(sets.select(F.col("id").alias("a"), F.col("members").alias("_a")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("members").alias("_b")), "b")
-    return both.select("a", "b", jaccard(F.col("_a"), F.col("_b")).alias("score"))
 
+def _jaccard(shared: Column, a_size: Column, b_size: Column) -> Column:
+    return F.round(shared / (a_size + b_size - shared), 6)
 
-def _counters(sets: DataFrame) -> np.ndarray:
-    """How many members fall on each counter; the table has the same size for any corpus."""
-    counts = (sets.select(F.explode("members").alias("token")).groupBy(F.col("token").bitwiseAND(COUNTERS - 1).alias("at"))
-              .agg(F.count(F.lit(1)).alias("n")))
-    found = np.zeros(COUNTERS, dtype=np.int64)
-    for row in counts.collect():
-        found[row["at"]] = row["n"]
-    return found
 
+def scores(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, score) of pairs (a, b) of sets (id, members); with a column ``size``, ``members`` may lack those of no other set."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    if asked.count() <= BROADCAST_IDS:
+        sets = sets.join(F.broadcast(asked), "id", "left_semi")
+    size = F.col("size") if "size" in sets.columns else F.size("members")
+    side = lambda name: sets.select(F.col("id").alias(name), F.col("members").alias(f"_{name}"), size.alias(f"_{name}_size"))
+    both = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
+    shared = F.size(F.array_intersect("_a", "_b"))
+    return both.select("a", "b", _jaccard(shared, F.col("_a_size"), F.col("_b_size")).alias("score"))
+
+
+def ordered_sets(sets: DataFrame) -> DataFrame:
+    """(id, size, members): the members that other sets have too, rarest first; ``size`` counts all members.
+
+    One shuffle of the members counts them, and only shared ones go back to their sets.  A member has a row for each of its
+    sets in one task, a set being there once.
+    """
+    rows = sets.select("id", F.size("members").alias("size"), F.explode("members").alias("token"))
+    shared = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("n > 1")
+    order = F.sort_array(F.collect_list(F.struct("n", "token")))
+    return shared.groupBy("id", "size").agg(order.alias("order")).select("id", "size", F.col("order.token").alias("members"))
 
-def postings(sets: DataFrame, reach: float) -> DataFrame:
-    """(id, token, size, place): the first members of every set in the common order."""
-    shared = sets.sparkSession.sparkContext.broadcast(_counters(sets))
 
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = shared.value
-        for batch in batches:
-            ids, tokens = [], []
-            for owner, members in zip(batch["id"], batch["members"]):
-                members = np.asarray(members, dtype=np.int64)
-                order = np.lexsort((members, counts[members & (COUNTERS - 1)]))
-                ids.append(owner)
-                tokens.append(members[order[:len(members) - int(np.ceil(reach * len(members))) + 1]])
-            yield pd.DataFrame({"id": ids, "size": [len(x) for x in batch["members"]], "tokens": tokens})
+def postings(ordered_members: DataFrame, reach: float) -> DataFrame:
+    """(id, token, size, place): those of the first members of every set in the common order that others have.
 
-    rows = sets.filter(F.size("members") > 0).mapInPandas(first, "id string, size int, tokens array<bigint>")
-    return rows.select("id", "size", F.posexplode("tokens").alias("place", "token"))
+    Members that no other set has come first in that order, but nobody meets there.
+    """
+    alone = F.col("size") - F.size("members")
+    first = F.col("size") - F.ceil(F.lit(reach) * F.col("size")).cast("int") + 1
+    some = F.slice("members", F.lit(1), F.greatest(F.lit(0), first - alone))
+    return (ordered_members.select("id", "size", alone.alias("alone"), F.posexplode(some).alias("at", "token"))
+            .select("id", "size", (F.col("alone") + F.col("at")).alias("place"), "token"))
 
 
 def _may_reach(a_size, a_place, b_size, b_place, reach: float, least, most):
@@ -152,19 +154,23 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     ``members`` are distinct longs, ``id`` is a string.  Within crowded groups not every pair is listed, but none of
     them is left unconnected.  Empty sets are like none.
     """
+    return links(cut_lineage(ordered_sets(sets)), threshold)
+
+
+def links(sets: DataFrame, threshold: float) -> DataFrame:
+    """The links of ``similar_sets`` from stored ``ordered_sets``."""
     reach = threshold - ROUNDING
-    sets = cut_lineage(sets.select("id", "members"))
     posted = cut_lineage(postings(sets, reach))
     numbers = cut_lineage(posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    verified = lambda pairs: cut_lineage(scores(pairs, sets).filter(F.col("score") >= threshold))
-    links = verified(_lone_pairs(posted.join(numbers.filter(F.col("n") <= CROWD).select("token"), "token"), reach))
+    verified = lambda pairs: cut_lineage(scores(cut_lineage(pairs), sets).filter(F.col("score") >= threshold))
+    lone = _lone_pairs(posted.join(numbers.filter(F.col("n") <= CROWD).select("token"), "token"), reach)
     crowded = numbers.filter(F.col("n") > CROWD).select("token")
     if crowded.isEmpty():
-        return links
+        return verified(lone)
     rest = cut_lineage(posted.join(crowded, "token", "left_semi").withColumn("turn", F.xxhash64("id")))
     # Near copies that follow each other by hash, then, of those still apart, by size.
-    links = links.unionByName(verified(_neighbours(rest, reach, ["turn", "id"], F.shiftright("turn", 57))))
-    rest = _rooted(rest, links)
-    links = links.unionByName(verified(_neighbours(rest, reach, ["size", "turn", "id"], F.col("size"))))
-    rest = _rooted(rest.drop("root"), links)
-    return cut_lineage(links.unionByName(verified(_open_pairs(rest, reach))).distinct())
+    found = verified(lone.unionByName(_neighbours(rest, reach, ["turn", "id"], F.shiftright("turn", 57))))
+    rest = _rooted(rest, found)
+    found = found.unionByName(verified(_neighbours(rest, reach, ["size", "turn", "id"], F.col("size"))))
+    rest = _rooted(rest.drop("root"), found)
+    return cut_lineage(found.unionByName(verified(_open_pairs(rest, reach))).distinct())

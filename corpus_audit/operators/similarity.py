@@ -74,12 +74,11 @@ def leader_links(members: DataFrame, score: Callable[[DataFrame], DataFrame], th
     return reduce(DataFrame.unionByName, links).distinct()
 
 
-def shingles(text: Column, size: int = 3) -> Column:
-    """Distinct word shingles; a shorter text is one shingle."""
+def shingle_hashes(text: Column, size: int = 3) -> Column:
+    """Distinct hashes of word shingles, without putting them together; a shorter text is one shingle."""
     def build(w: Column) -> Column:
-        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (size - 1), F.lit(1))),
-                            lambda i: F.concat_ws(" ", F.slice(w, i, size)))
-        return F.array_distinct(grams)
+        return F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - size, F.lit(0))),
+                                            lambda i: F.xxhash64(*[F.get(w, i + at) for at in range(size)])))
     return tx.let(tx.words(text), build)
 
 
@@ -90,17 +89,20 @@ def near_duplicates(files: DataFrame, threshold: float = 0.7, size: int = 3) ->
     and ``score`` may be below the threshold for files that others connect with it.  No pair that reaches the threshold is
     lost.  Files with the same word sequence enter as one.  Files without words are like none.
     """
-    keyed = cut_lineage(files.select("path", F.md5(F.concat_ws(" ", tx.words(F.col("text")))).alias("sequence"))
-                        .filter(F.col("sequence") != F.md5(F.lit(""))))
-    first = keyed.groupBy("sequence").agg(F.min("path").alias("first"))
-    members = F.array_distinct(F.transform(shingles(F.col("text"), size), lambda gram: F.xxhash64(gram)))
-    sets = cut_lineage(files.join(first.select(F.col("first").alias("path")), "path", "left_semi")
-                       .select(F.col("path").alias("id"), members.alias("members")))
-    groups = cut_lineage(components(setjoin.similar_sets(sets, threshold)))
-    others = groups.filter("node <> component")
-    scored = (setjoin.scores(others.select(F.col("component").alias("a"), F.col("node").alias("b")), sets)
-              .select(F.col("b").alias("first"), F.col("a").alias("leader"), "score"))
-    copies = keyed.join(first, "sequence").select("path", "first")
+    no_words = F.col("sequence") == F.md5(F.lit(""))
+    every = cut_lineage(files.select("path", F.md5(F.concat_ws(" ", tx.words(F.col("text")))).alias("sequence")).filter("path is not null"))
+    keyed = every.filter(~no_words)
+    copies = cut_lineage(keyed.join(keyed.groupBy("sequence").agg(F.min("path").alias("first")), "sequence").select("path", "first"))
+    # The few that go are named, not the many that stay, so that texts need no shuffle.
+    dropped = copies.filter("path <> first").select("path").unionByName(every.filter(no_words).select("path"))
+    if dropped.count() <= setjoin.BROADCAST_IDS:
+        dropped = F.broadcast(dropped)
+    sets = (files.filter("path is not null").join(dropped, "path", "left_anti")
+            .select(F.col("path").alias("id"), shingle_hashes(F.col("text"), size).alias("members")))
+    sets = cut_lineage(setjoin.ordered_sets(sets))
+    groups = cut_lineage(components(setjoin.links(sets, threshold)))
+    others = cut_lineage(groups.filter("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")))
+    scored = setjoin.scores(others, sets).select(F.col("b").alias("first"), F.col("a").alias("leader"), "score")
     return (copies.join(scored, "first", "left").select(
         "path", F.coalesce("leader", "first").alias("leader"), F.coalesce("score", F.lit(1.0)).alias("score")).filter("path <> leader"))
 

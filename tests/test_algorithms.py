@@ -305,6 +305,17 @@ def test_similar_sets(spark, monkeypatch, crowd, block, count):
     assert union_find(range(count), links) == union_find(range(count), linked)
 
 
+def test_sets_that_share_a_little_are_not_compared(spark, monkeypatch):
+    """Members of some three sets each lie among a million of one set; only sets 0 and 1 are alike."""
+    compared, scores = [], setjoin.scores
+    monkeypatch.setattr(setjoin, "scores", lambda pairs, sets: compared.append(pairs.count()) or scores(pairs, sets))
+    own = F.transform(F.sequence(F.lit(1), F.lit(500)), lambda x: F.xxhash64(F.greatest("no", F.lit(1)), x))
+    pool = F.transform(F.sequence(F.lit(1), F.lit(10)), lambda x: F.pmod(F.xxhash64("no", -x), F.lit(7000)))
+    df = spark.range(2000).toDF("no").select(F.format_string("%05d", "no").alias("id"), F.array_distinct(F.concat(own, pool)).alias("members"))
+    assert {(row.a, row.b) for row in setjoin.similar_sets(df, 0.7).collect()} == {("00000", "00001")}
+    assert sum(compared) == 1
+
+
 def test_near_duplicates_of_chains(spark):
     words = [f"w{n}" for n in range(200)]
     rows = []
