@@ -253,6 +253,18 @@ def test_passages_of_pieces_that_others_hold(spark):
     assert {row["group"] for row in rows if row["doc_id"] in (0, 1)} == {0}
 
 
+def test_frequent_seeds_are_dealt_once(spark, monkeypatch):
+    taken, previous = [], passages._with_previous
+    monkeypatch.setattr(passages, "_with_previous", lambda live: taken.append(live) or previous(live))
+    words, n = [f"q{number}" for number in range(60)], passages.CROWD + 8
+    docs = [(doc, " ".join(words + [f"r{doc}x{number}" for number in range(60)])) for doc in range(n)]
+    rows = passages.repeated(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {row["doc_id"] for row in rows} | {row["match_doc_id"] for row in rows} == set(range(n)) and {row["group"] for row in rows} == {0}
+    frequent, = taken
+    assert "Join" not in frequent._jdf.queryExecution().optimizedPlan().toString()
+    assert {row["n"] for row in frequent.groupBy("seed").agg(F.count_distinct("class").alias("n")).collect()} == {n}
+
+
 def test_chains_are_collinear_and_best():
     draw = np.random.default_rng(2)
     for _ in range(30):
