@@ -127,6 +127,30 @@ def test_line_groups(spark):
     assert all(row["kept"] == ((row["doc_id"], row["line_no"]) == (row["group_doc"], row["group_line"])) for row in rows)
 
 
+def test_lines_of_one_word_make_no_row_for_a_pair(spark, monkeypatch):
+    draw = random.Random(3)
+    others = ["".join(draw.choices("bcdfghjklm", k=9)) for _ in range(400)]
+    kinds = [" ".join(["la"] * 7 + others[3 * at:3 * at + 3]) for at in range(120)]
+    kinds += [" ".join(["la"] * 7 + [others[3 * at], others[3 * at + 1], others[-1 - at]]) for at in range(10)]
+    counts, keep = [], lines.stored
+
+    def counted(df, label):
+        kept = keep(df, label)
+        counts.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(lines, "stored", counted)
+    rows = lines.decided(spark.createDataFrame(list(enumerate(kinds)), "doc_id long, text string")).collect()
+    codes = {line: [xxhash.xxh64_intdigest(word, 42) >> 40 & (lines.CODES - 1) for word in line.split()] for line in kinds}
+    roots = grouped(kinds, lambda a, b: words_apart(codes[a], codes[b]) <= 2)
+    assert 100 < len(set(roots.values())) <= 120
+    heads = {}
+    for doc, line in enumerate(kinds):
+        heads.setdefault(roots[line], doc)
+    assert {row["doc_id"]: row["group_doc"] for row in rows} == {doc: heads[roots[line]] for doc, line in enumerate(kinds)}
+    assert max(counts) <= 3 * len(kinds)
+
+
 def test_long_lines_count_in_wider_lanes(spark):
     words = [f"v{number % 977}x" for number in range(1300)]
     df = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
