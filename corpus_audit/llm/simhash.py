@@ -36,7 +36,7 @@ SEGMENTS = 32
 BLOCK = 1024
 # Blocks whose members carry their shingles.
 OPEN_BLOCK = 256
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS, BROADCAST_CELLS = 1_000_000, 100_000
 PAIR_MASK = 0x55555555
 STEPS = 1 << 16
 LINKS = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
@@ -135,8 +135,10 @@ def _verified(own: Column, members: Column, max_bits: int) -> Column:
 def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(a, b): a forest that connects all distinct fingerprints ``node`` with links of at most ``max_bits`` bits."""
     entries = nodes.select("node", F.explode(_cells(F.col("node"), max_bits)).alias("c")).select("node", "c.cell", "c.own")
-    crowds = (entries.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.count_if("own").alias("n_own"))
-              .filter("n_own > 0 AND n > 1").select("cell", F.ceil(F.col("n") / BLOCK).alias("blocks")))
+    crowds = stored(entries.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.count_if("own").alias("n_own"))
+                    .filter("n_own > 0 AND n > 1").select("cell", F.ceil(F.col("n") / BLOCK).alias("blocks")), "crowds")
+    # Spark takes the entries for no more than the nodes they were exploded from, and would broadcast them.
+    crowds = F.broadcast(crowds) if crowds.count() <= BROADCAST_CELLS else crowds.hint("merge")
     blocks = (entries.join(crowds, "cell")
               .groupBy("cell", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
               .agg(F.collect_list(F.when(F.col("own"), F.col("node"))).alias("owners"),
